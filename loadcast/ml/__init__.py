@@ -1,0 +1,53 @@
+"""Models by name.
+
+Plain types need no series description; ``enhanced_*`` and ``ensemble`` search over time
+folds and take ``spec``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from ..series import SeriesSpec
+from . import models, search
+from .ensemble import Ensemble
+from .models import FittedModel, read_details
+from .quantile import FittedQuantileModel, QuantileBoosting
+
+
+def _ensemble(spec: SeriesSpec, members: list | None = None, holdout: bool = False) -> Ensemble:
+    chosen = members or [search.enhanced_linear(spec), search.enhanced_random_forest(spec),
+                         search.enhanced_boosting(spec)]
+    return Ensemble(chosen, spec, holdout)
+
+
+BUILDERS = {
+    "linear": models.linear,
+    "random_forest": models.random_forest,
+    "lightgbm": models.leafy_boosting,
+    "gradient_boosting": models.boosting,
+    "gradient_boosting_quantile": QuantileBoosting,
+    "enhanced_linear": search.enhanced_linear,
+    "enhanced_random_forest": search.enhanced_random_forest,
+    "enhanced_lightgbm": search.enhanced_boosting,
+    "ensemble": _ensemble,
+}
+
+SUPPORTS_INTERVALS = {"gradient_boosting_quantile"}
+
+
+def create_model(model_type: str, **params):
+    """An unfitted model; call ``fit(table, feature_names, target)`` on it."""
+    if model_type not in BUILDERS:
+        raise ValueError(f"unknown model type {model_type!r}; one of {', '.join(BUILDERS)}")
+    return BUILDERS[model_type](**params)
+
+
+def available_models() -> dict[str, dict]:
+    """The plain model types with their display names and whether they give intervals."""
+    return {t: {"name": n, "supports_intervals": t in SUPPORTS_INTERVALS} for t, n in models.NAMES.items()}
+
+
+def load_model(spark: SparkSession, path: str) -> FittedModel | FittedQuantileModel:
+    kind = read_details(spark, path)["kind"]
+    return {"pipeline": FittedModel, "quantile": FittedQuantileModel}[kind].load(spark, path)

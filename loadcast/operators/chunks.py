@@ -93,7 +93,8 @@ def series_length(df: DataFrame, spec: SeriesSpec, name: str = "_n") -> DataFram
 class Chunks:
     """A table of series cut into chunks, and the window frames that fit them.
 
-    ``frame`` carries the copied halo rows; :meth:`settle` removes them again.
+    ``frame`` carries the copied halo rows; :meth:`settle` removes them again. Positions
+    already present as column ``_pos`` are used as they are.
     """
 
     def __init__(self, df: DataFrame, spec: SeriesSpec, halo: int,
@@ -102,7 +103,9 @@ class Chunks:
         self.halo = halo
         self.rows = max(rows_per_chunk or max(ROWS_PER_CHUNK, 4 * halo), halo, 1)
         self.columns = df.columns
-        if spec.step:
+        if POS in df.columns:
+            placed = df
+        elif spec.step:
             placed = df.withColumn(POS, floor_div(epoch_us(df, spec.ts), step_us(spec.step)))
         else:
             placed = with_position(df, spec)
@@ -141,5 +144,6 @@ class Chunks:
     def settle(self, df: DataFrame, keep_chunk: bool = False) -> DataFrame:
         """Drop the copied rows; with ``keep_chunk`` the chunk column stays for a next step
         that wants the same partitioning."""
-        helpers = [POS, COPY] if keep_chunk else [POS, COPY, CHUNK]
+        helpers = [c for c in (POS, COPY) if c not in self.columns]
+        helpers += [] if keep_chunk else [CHUNK]
         return df.where(~F.col(COPY)).drop(*helpers)
