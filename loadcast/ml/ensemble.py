@@ -56,11 +56,12 @@ class FittedEnsemble:
         return self._member_predictions(df).withColumn("yhat", sum(terms[1:], terms[0])).drop(*names)
 
     def contributions(self, df: DataFrame) -> DataFrame:
-        """Each member's share of the prediction, under the member's name."""
-        out = self._member_predictions(df)
-        for i, (m, w) in enumerate(zip(self.members, self.member_weights)):
-            out = out.withColumn(m.name, F.col(f"_m{i}") * w).drop(f"_m{i}")
-        return out
+        """Each member's share under the member's name, and their sum as ``yhat``."""
+        shares = {m.name: F.col(f"_m{i}") * w
+                  for i, (m, w) in enumerate(zip(self.members, self.member_weights))}
+        total = sum(list(shares.values())[1:], next(iter(shares.values())))
+        names = [f"_m{i}" for i in range(len(self.members))]
+        return self._member_predictions(df).withColumns({**shares, "yhat": total}).drop(*names)
 
 
 class Ensemble:

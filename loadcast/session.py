@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "loadcast", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with UTC, ANSI and adaptive execution; extra settings as ``spark_x_y="v"``."""
+    """Session with UTC, ANSI and adaptive execution.
+
+    Extra settings come as ``spark_x_y="v"``, with underscores for dots.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
