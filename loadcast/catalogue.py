@@ -23,7 +23,7 @@ from .operators import ewma, fairness as fair, fill, profile, project, resample,
 from .operators.chunks import Chunks, with_position
 from .operators.quantiles import exact_quantiles
 from .plans import audit, features, forecast
-from .series import SeriesSpec
+from .series import SeriesSpec, add, q
 from .sources import records, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,13 +55,13 @@ def presented(df: DataFrame, places: int = 6) -> DataFrame:
     """
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = q(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double") + F.lit(0.00037 * 10 ** -places), places) + F.lit(0.0)
+            c = f"round(CAST({c} AS DOUBLE) + {0.00037 * 10 ** -places!r}D, {places}) + 0D"
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("long")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            c = f"CAST({c} AS BIGINT)"
+        out.append(f"{c} AS {q(f.name)}")
+    return df.selectExpr(*out)
 
 
 def _resampled(how: str) -> Query:
@@ -302,10 +302,9 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     h = hourly(spark, d, "mean")
     c = Chunks(h, HOURLY, 24)
     day = c.last_rows(24)
-    levels = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
-    out = c.frame.withColumns({
-        "lag_1": c.lag("y", 1), "lag_24": c.lag("y", 24), "mean_24": F.avg("y").over(day),
-        "sigma": F.stddev_samp("y").over(day), "_q": F.percentile(F.col("y"), levels).over(day)})
+    out = add(c.frame, {
+        "lag_1": c.lag("y", 1), "lag_24": c.lag("y", 24), "mean_24": f"avg(y) {day}",
+        "sigma": f"stddev_samp(y) {day}", "_q": f"percentile(y, array(0.1D, 0.5D, 0.9D)) {day}"})
     out = c.settle(out)
     return out.withColumns({n: F.col("_q")[i] for i, n in enumerate(("q10", "q50", "q90"))}).drop("_q")
 
@@ -573,7 +572,7 @@ def flagship(spark, d):
     c = Chunks(h.withColumns(cal.temporal("ts")), HOURLY, 167)
     look_back = {**windows.lag_columns(c, "y", windows.BASIC_LAGS),
                  **windows.mean_std_columns(c, "y", windows.BASIC_WINDOWS)}
-    rows = splits.temporal(c.settle(c.frame.withColumns(look_back)), HOURLY)
+    rows = splits.temporal(c.settle(add(c.frame, look_back)), HOURLY)
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("yhat"))
                                  for m in ("y_lag_1", "y_lag_24", "y_rolling_mean_24")])).alias("m")
     test = rows.where(F.col("split") == "test").select(

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..series import SeriesSpec, epoch_us, floor_div, step_us
+from ..series import SeriesSpec, epoch_us, floor_div, q, step_us
 
 ROWS_PER_CHUNK = 8192
 ROWS_PER_BUCKET = 1 << 20
@@ -126,16 +126,25 @@ class Chunks:
     def ordered(self) -> WindowSpec:
         return Window.partitionBy(*self.partition).orderBy(*self.spec.order)
 
-    def last_rows(self, n: int) -> WindowSpec:
-        """Frame of the current row and the ``n - 1`` before it."""
+    def _over(self, frame: str = "") -> str:
+        part, order = (", ".join(map(q, names)) for names in (self.partition, self.spec.order))
+        return f"OVER (PARTITION BY {part} ORDER BY {order}{frame})"
+
+    def last_rows(self, n: int) -> str:
+        """SQL window over the current row and the ``n - 1`` before it."""
         if n - 1 > self.halo:
             raise ValueError(f"a frame of {n} rows needs a halo of {n - 1}, have {self.halo}")
-        return self.ordered.rowsBetween(-(n - 1), Window.currentRow)
+        return self._over(f" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
+
+    def whole(self) -> str:
+        """SQL window over all rows of the chunk, copies included."""
+        return self._over(" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
 
-    def lag(self, column: Column | str, k: int) -> Column:
+    def lag(self, column: str, k: int) -> str:
+        """SQL for the value ``k`` rows before."""
         if k > self.halo:
             raise ValueError(f"a lag of {k} rows needs a halo of {k}, have {self.halo}")
-        return F.lag(column, k).over(self.ordered)
+        return f"lag({q(column)}, {k}) {self._over()}"
 
     def offset(self) -> Column:
         """Position inside the chunk, counted from the first halo row."""

@@ -11,11 +11,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame
 
-from ..series import SeriesSpec
+from ..series import SeriesSpec, add, q
 from .chunks import Chunks
 from .fill import fill
 
@@ -56,34 +54,30 @@ def add_ewma(frame: DataFrame, c: Chunks, y: str, alphas: list[float]) -> DataFr
     """Add the means to a frame of ``c``; null wherever the target is null."""
     if c.halo < halo_rows(alphas):
         raise ValueError(f"ewma needs a halo of {halo_rows(alphas)} rows, have {c.halo}")
-    known = F.col(y).isNotNull()
+    partition, order = ", ".join(map(q, c.partition)), ", ".join(map(q, c.spec.order))
     for block, members in _block_groups(alphas):
-        index = c.offset()
-        frame = frame.withColumns({"_block": F.call_function("div", index, F.lit(block).cast("long")),
-                                   "_r": F.pmod(index, F.lit(block).cast("long"))})
-        inside = (Window.partitionBy(*c.partition, "_block").orderBy(*c.spec.order)
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        sums: dict[str, Column] = {}
+        frame = frame.withColumn("_i", c.offset())
+        frame = add(frame, {"_block": f"_i div {block}", "_r": f"_i % {block}"})
+        inside = (f"OVER (PARTITION BY {partition}, _block ORDER BY {order} "
+                  "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        earlier = (f"OVER (PARTITION BY {partition} ORDER BY {order} "
+                   "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+        sums, carries, means = {}, {}, {}
         for i, a in enumerate(members):
-            d = F.lit(1 - a)
-            grow, shrink = F.pow(d, -F.col("_r")), F.pow(d, F.col("_r"))
-            sums[f"_num{i}"] = shrink * F.sum(F.when(known, F.col(y) * grow).otherwise(0.0)).over(inside)
-            sums[f"_den{i}"] = shrink * F.sum(F.when(known, grow).otherwise(0.0)).over(inside)
-        frame = frame.withColumns(sums)
-        earlier = c.ordered.rowsBetween(Window.unboundedPreceding, -1)
-        ends = F.col("_r") == block - 1
-        carries: dict[str, Column] = {}
-        for name in sums:
-            held = F.last(F.when(ends, F.col(name)), True).over(earlier)
-            carries[f"{name}c"] = F.coalesce(held, F.lit(0.0))
-        frame = frame.withColumns(carries)
-        means: dict[str, Column] = {}
-        for i, a in enumerate(members):
-            reach = F.pow(F.lit(1 - a), F.col("_r") + 1)
-            num = F.col(f"_num{i}") + reach * F.col(f"_num{i}c")
-            den = F.col(f"_den{i}") + reach * F.col(f"_den{i}c")
-            means[ewma_name(y, a)] = F.when(known, F.try_divide(num, den))
-        frame = frame.withColumns(means).drop("_block", "_r", *sums, *carries)
+            d = f"{1 - a!r}D"
+            value = f"CASE WHEN {q(y)} IS NULL THEN 0D ELSE {q(y)} * pow({d}, -_r) END"
+            weight = f"CASE WHEN {q(y)} IS NULL THEN 0D ELSE pow({d}, -_r) END"
+            sums[f"_num{i}"] = f"pow({d}, _r) * sum({value}) {inside}"
+            sums[f"_den{i}"] = f"pow({d}, _r) * sum({weight}) {inside}"
+            for s in (f"_num{i}", f"_den{i}"):
+                ends = f"CASE WHEN _r = {block - 1} THEN {s} END"
+                carries[f"{s}c"] = f"coalesce(last_value({ends}) IGNORE NULLS {earlier}, 0D)"
+            reach = f"pow({d}, _r + 1)"
+            means[ewma_name(y, a)] = (
+                f"CASE WHEN {q(y)} IS NOT NULL THEN "
+                f"try_divide(_num{i} + {reach} * _num{i}c, _den{i} + {reach} * _den{i}c) END")
+        frame = add(add(add(frame, sums), carries), means)
+        frame = frame.drop("_i", "_block", "_r", *sums, *carries)
     return frame
 
 

@@ -8,12 +8,11 @@ partitioned by.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from ..series import SeriesSpec
+from ..series import SeriesSpec, q
 from .chunks import CHUNK, Chunks, attach
 
 
@@ -34,44 +33,41 @@ def fill(df: DataFrame, spec: SeriesSpec, columns: list[str], forward: bool = Tr
 
 def _fill_chunks(df: DataFrame, spec: SeriesSpec, columns: list[str], forward: bool,
                  backward: bool, constant: float | None) -> DataFrame:
-    keys = list(spec.keys)
-    order = spec.order_value
-    ends = []
-    for i, name in enumerate(columns):
-        known = F.when(F.col(name).isNotNull(), order)
-        ends.append(F.max_by(name, known).alias(f"_last{i}"))
-        ends.append(F.min_by(name, known).alias(f"_first{i}"))
-    summary = df.groupBy(*keys, CHUNK).agg(*ends)
-    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
-    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_chunk.rowsBetween(1, Window.unboundedFollowing) if not forward else None
-    everywhere = by_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carried: list[Column] = []
-    for i in range(len(columns)):
-        if forward:
-            carried.append(F.last(f"_last{i}", True).over(before).alias(f"_carry{i}"))
-        if backward:
-            frame = everywhere if forward else after
-            carried.append(F.first(f"_first{i}", True).over(frame).alias(f"_head{i}"))
-    if not carried:
-        return df.fillna(constant, subset=columns) if constant is not None else df
-    scan = summary.select(*keys, CHUNK, *carried)
-    rows = Window.partitionBy(*keys, CHUNK).orderBy(*spec.order)
-    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    backwards = Window.partitionBy(*keys, CHUNK).orderBy(*[F.desc(c) for c in spec.order])
-    from_here = backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not (forward or backward):
+        return df if constant is None else df.na.fill(constant, subset=columns)
+    identity = [q(k) for k in (*spec.keys, CHUNK)]
+    order = f"struct({', '.join(map(q, spec.order))})" if spec.tie else q(spec.ts)
+    ends, across = [], []
+    by_chunk = f"({_partition(spec.keys)}ORDER BY {CHUNK} ROWS BETWEEN "
+    before = f"{by_chunk}UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ahead = f"{by_chunk}{'UNBOUNDED PRECEDING' if forward else '1 FOLLOWING'} AND UNBOUNDED FOLLOWING)"
+    rows = f"(PARTITION BY {', '.join(identity)} ORDER BY {', '.join(map(q, spec.order))} ROWS BETWEEN "
+    nearest = (f"last_value({{0}}) IGNORE NULLS OVER {rows}UNBOUNDED PRECEDING AND CURRENT ROW)" if forward else
+               "last_value({0}) IGNORE NULLS OVER "
+               f"(PARTITION BY {', '.join(identity)} ORDER BY {', '.join(q(c) + ' DESC' for c in spec.order)} "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     filled = {}
     for i, name in enumerate(columns):
-        choices = [F.last(name, True).over(so_far) if forward else F.last(name, True).over(from_here)]
+        known = f"FILTER (WHERE {q(name)} IS NOT NULL)"
+        choices = [nearest.format(q(name))]
         if forward:
-            choices.append(F.col(f"_carry{i}"))
+            ends.append(F.expr(f"max_by({q(name)}, {order}) {known} AS _last{i}"))
+            across.append(f"last_value(_last{i}) IGNORE NULLS OVER {before} AS _carry{i}")
+            choices.append(f"_carry{i}")
         if backward:
-            choices.append(F.col(f"_head{i}"))
+            ends.append(F.expr(f"min_by({q(name)}, {order}) {known} AS _first{i}"))
+            across.append(f"first_value(_first{i}) IGNORE NULLS OVER {ahead} AS _head{i}")
+            choices.append(f"_head{i}")
         if constant is not None:
-            choices.append(F.lit(constant).cast(df.schema[name].dataType))
-        filled[name] = F.coalesce(*choices)
-    joined = df.join(scan, [*keys, CHUNK], "left")
-    return joined.withColumns(filled).select(*df.columns)
+            choices.append(f"CAST({constant} AS {df.schema[name].dataType.simpleString()})")
+        filled[name] = f"coalesce({', '.join(choices)})"
+    scan = df.groupBy(*spec.keys, CHUNK).agg(*ends).selectExpr(*identity, *across)
+    joined = df.join(scan, [*spec.keys, CHUNK], "left")
+    return joined.selectExpr(*[f"{filled[c]} AS {q(c)}" if c in filled else q(c) for c in df.columns])
+
+
+def _partition(keys: tuple[str, ...]) -> str:
+    return f"PARTITION BY {', '.join(map(q, keys))} " if keys else ""
 
 
 def numeric_columns(df: DataFrame, besides: list[str] | tuple[str, ...] = ()) -> list[str]:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 
 BINS = 4096
-SORT_LIMIT = 200_000
+SORT_LIMIT = 1_000_000
 
 
 def _select_ranks(values: DataFrame, ids: list[str], ranks: DataFrame, sort_limit: int) -> DataFrame:

@@ -1,17 +1,18 @@
 """Lag, difference and rolling features as window expressions over chunks.
 
-The ``*_columns`` functions return named expressions, so a caller can put any number of
-them into one projection: same partitioning and order, hence one shuffle and one sort.
+The ``*_columns`` functions return named SQL expressions, so a caller can put any number
+of them into one projection: same partitioning and order, hence one shuffle and one sort.
 The ``with_*`` functions are the DataFrame forms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..series import SeriesSpec
+from ..series import SeriesSpec, add, q
 from .chunks import Chunks
+from .fill import fill
 
 # The default lags and window lengths, in rows.
 BASIC_LAGS = [1, 2, 3, 6, 12, 24]
@@ -24,75 +25,72 @@ DIFFERENCES = [1, 24]
 STD_EPSILON = 1e-8
 
 
-def lag_columns(c: Chunks, y: str, lags: list[int]) -> dict[str, Column]:
+def lag_columns(c: Chunks, y: str, lags: list[int]) -> dict[str, str]:
     return {f"{y}_lag_{k}": c.lag(y, k) for k in lags}
 
 
-def mean_std_columns(c: Chunks, y: str, windows: list[int]) -> dict[str, Column]:
+def mean_std_columns(c: Chunks, y: str, windows: list[int]) -> dict[str, str]:
     """Mean and sample deviation of the last rows; the deviation of one value is null."""
     columns = {}
     for w in windows:
-        columns[f"{y}_rolling_mean_{w}"] = F.avg(y).over(c.last_rows(w))
-        columns[f"{y}_rolling_std_{w}"] = F.stddev_samp(y).over(c.last_rows(w))
+        columns[f"{y}_rolling_mean_{w}"] = f"avg({q(y)}) {c.last_rows(w)}"
+        columns[f"{y}_rolling_std_{w}"] = f"stddev_samp({q(y)}) {c.last_rows(w)}"
     return columns
 
 
-def min_max_columns(c: Chunks, y: str, windows: list[int]) -> dict[str, Column]:
+def min_max_columns(c: Chunks, y: str, windows: list[int]) -> dict[str, str]:
     columns = {}
     for w in windows:
-        low, high = F.min(y).over(c.last_rows(w)), F.max(y).over(c.last_rows(w))
+        low, high = f"min({q(y)}) {c.last_rows(w)}", f"max({q(y)}) {c.last_rows(w)}"
         columns[f"{y}_rolling_min_{w}"] = low
         columns[f"{y}_rolling_max_{w}"] = high
-        columns[f"{y}_rolling_range_{w}"] = high - low
+        columns[f"{y}_rolling_range_{w}"] = f"{high} - {low}"
     return columns
 
 
-def quantile_columns(c: Chunks, y: str, windows: list[int]) -> dict[str, Column]:
+def quantile_columns(c: Chunks, y: str, windows: list[int]) -> dict[str, str]:
     """Exact quartiles of the last rows as one array column per window, ``_q_<w>``."""
-    levels = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return {f"_q_{w}": F.percentile(F.col(y), levels).over(c.last_rows(w)) for w in windows}
+    return {f"_q_{w}": f"percentile({q(y)}, array(0.25D, 0.5D, 0.75D)) {c.last_rows(w)}" for w in windows}
 
 
-def median_columns(y: str, windows: list[int]) -> dict[str, Column]:
-    return {f"{y}_rolling_median_{w}": F.col(f"_q_{w}")[1] for w in windows}
+def median_columns(y: str, windows: list[int]) -> dict[str, str]:
+    return {f"{y}_rolling_median_{w}": f"_q_{w}[1]" for w in windows}
 
 
-def quartile_columns(y: str, windows: list[int]) -> dict[str, Column]:
+def quartile_columns(y: str, windows: list[int]) -> dict[str, str]:
     columns = {}
     for w in windows:
-        low, high = F.col(f"_q_{w}")[0], F.col(f"_q_{w}")[2]
-        columns[f"{y}_q25_{w}"] = low
-        columns[f"{y}_q75_{w}"] = high
-        columns[f"{y}_iqr_{w}"] = high - low
+        columns[f"{y}_q25_{w}"] = f"_q_{w}[0]"
+        columns[f"{y}_q75_{w}"] = f"_q_{w}[2]"
+        columns[f"{y}_iqr_{w}"] = f"_q_{w}[2] - _q_{w}[0]"
     return columns
 
 
-def zscore(y: str, w: int) -> Column:
+def zscore(y: str, w: int) -> str:
     """Distance from the rolling mean in rolling deviations."""
-    return ((F.col(y) - F.col(f"{y}_rolling_mean_{w}"))
-            / (F.col(f"{y}_rolling_std_{w}") + F.lit(STD_EPSILON)))
+    return f"({q(y)} - {q(f'{y}_rolling_mean_{w}')}) / ({q(f'{y}_rolling_std_{w}')} + {STD_EPSILON}D)"
 
 
-def zscore_columns(y: str, windows: list[int]) -> dict[str, Column]:
+def zscore_columns(y: str, windows: list[int]) -> dict[str, str]:
     return {f"{y}_zscore_{w}": zscore(y, w) for w in windows}
 
 
-def percentile_columns(y: str, windows: list[int]) -> dict[str, Column]:
+def percentile_columns(y: str, windows: list[int]) -> dict[str, str]:
     """Called percentile for compatibility; the value is the z-score, not a rank."""
     return {f"{y}_percentile_{w}": zscore(y, w) for w in windows}
 
 
-def difference_columns(c: Chunks, y: str, steps: list[int]) -> dict[str, Column]:
-    return {f"{y}_diff_{k}": F.col(y) - c.lag(y, k) for k in steps}
+def difference_columns(c: Chunks, y: str, steps: list[int]) -> dict[str, str]:
+    return {f"{y}_diff_{k}": f"{q(y)} - {c.lag(y, k)}" for k in steps}
 
 
-def change_columns(c: Chunks, y: str, steps: list[int], filled: str | None = None) -> dict[str, Column]:
+def change_columns(c: Chunks, y: str, steps: list[int], filled: str | None = None) -> dict[str, str]:
     """Relative change against ``k`` rows before, null where that row is 0.
 
     ``filled`` names a forward-filled copy of the target to compare instead.
     """
     source = filled or y
-    return {f"{y}_pct_change_{k}": F.try_divide(F.col(source), c.lag(source, k)) - 1 for k in steps}
+    return {f"{y}_pct_change_{k}": f"try_divide({q(source)}, {c.lag(source, k)}) - 1" for k in steps}
 
 
 def _finish(df: DataFrame, c: Chunks, out: DataFrame, extra: list[str]) -> DataFrame:
@@ -104,7 +102,7 @@ def with_lags(df: DataFrame, spec: SeriesSpec, lags: list[int] | None = None,
     lags = lags or BASIC_LAGS
     c = Chunks(df, spec, max(lags), rows_per_chunk)
     new = lag_columns(c, spec.target, lags)
-    return _finish(df, c, c.frame.withColumns(new), list(new))
+    return _finish(df, c, add(c.frame, new), list(new))
 
 
 def with_rolling(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = None,
@@ -112,7 +110,7 @@ def with_rolling(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = No
     windows = windows or BASIC_WINDOWS
     c = Chunks(df, spec, max(windows) - 1, rows_per_chunk)
     new = mean_std_columns(c, spec.target, windows)
-    return _finish(df, c, c.frame.withColumns(new), list(new))
+    return _finish(df, c, add(c.frame, new), list(new))
 
 
 def with_rolling_range(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = None,
@@ -120,25 +118,25 @@ def with_rolling_range(df: DataFrame, spec: SeriesSpec, windows: list[int] | Non
     windows = windows or ADVANCED_WINDOWS
     c = Chunks(df, spec, max(windows) - 1, rows_per_chunk)
     new = min_max_columns(c, spec.target, windows)
-    return _finish(df, c, c.frame.withColumns(new), list(new))
+    return _finish(df, c, add(c.frame, new), list(new))
 
 
 def with_rolling_median(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = None,
                         rows_per_chunk: int | None = None) -> DataFrame:
     windows = windows or ADVANCED_WINDOWS
     c = Chunks(df, spec, max(windows) - 1, rows_per_chunk)
-    out = c.frame.withColumns(quantile_columns(c, spec.target, windows))
+    out = add(c.frame, quantile_columns(c, spec.target, windows))
     new = median_columns(spec.target, windows)
-    return _finish(df, c, out.withColumns(new), list(new))
+    return _finish(df, c, add(out, new), list(new))
 
 
 def with_rolling_quartiles(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = None,
                            rows_per_chunk: int | None = None) -> DataFrame:
     windows = windows or STATISTIC_WINDOWS
     c = Chunks(df, spec, max(windows) - 1, rows_per_chunk)
-    out = c.frame.withColumns(quantile_columns(c, spec.target, windows))
+    out = add(c.frame, quantile_columns(c, spec.target, windows))
     new = quartile_columns(spec.target, windows)
-    return _finish(df, c, out.withColumns(new), list(new))
+    return _finish(df, c, add(out, new), list(new))
 
 
 def with_zscores(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = None,
@@ -148,10 +146,10 @@ def with_zscores(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = No
     percentile_windows = STATISTIC_WINDOWS if percentile_windows is None else percentile_windows
     both = list(dict.fromkeys([*windows, *percentile_windows]))
     c = Chunks(df, spec, max(both) - 1, rows_per_chunk)
-    out = c.frame.withColumns(mean_std_columns(c, spec.target, both))
+    out = add(c.frame, mean_std_columns(c, spec.target, both))
     new = {**zscore_columns(spec.target, windows),
            **percentile_columns(spec.target, percentile_windows)}
-    return _finish(df, c, out.withColumns(new), list(new))
+    return _finish(df, c, add(out, new), list(new))
 
 
 def with_differences(df: DataFrame, spec: SeriesSpec, steps: list[int] | None = None,
@@ -159,19 +157,17 @@ def with_differences(df: DataFrame, spec: SeriesSpec, steps: list[int] | None =
     steps = steps or DIFFERENCES
     c = Chunks(df, spec, max(steps), rows_per_chunk)
     new = difference_columns(c, spec.target, steps)
-    return _finish(df, c, c.frame.withColumns(new), list(new))
+    return _finish(df, c, add(c.frame, new), list(new))
 
 
 def with_changes(df: DataFrame, spec: SeriesSpec, steps: list[int] | None = None,
                  rows_per_chunk: int | None = None) -> DataFrame:
     """Percent change; gaps in the target are forward-filled before comparing."""
-    from .fill import fill
-
     steps = steps or DIFFERENCES
     filled = fill(df.withColumn("_filled", F.col(spec.target)), spec, ["_filled"],
                   backward=False, rows_per_chunk=rows_per_chunk)
     c = Chunks(filled, spec, max(steps), rows_per_chunk)
     new = change_columns(c, spec.target, steps, "_filled")
-    return _finish(df, c, c.frame.withColumns(new), list(new))
+    return _finish(df, c, add(c.frame, new), list(new))
 
 

@@ -14,7 +14,7 @@ from ..operators import ewma, windows as win
 from ..operators.chunks import CHUNK, POS, Chunks, with_position
 from ..operators.fill import fill, handle_missing, numeric_columns
 from ..operators.project import drop_missing, fill_constant, resolve_target
-from ..series import SeriesSpec
+from ..series import SeriesSpec, add, q
 
 COMPACT_SIZE = 15
 COMPACT_MEAN_WINDOWS = [24, 168]
@@ -47,7 +47,7 @@ def basic(df: DataFrame, spec: SeriesSpec, bfill: bool = True, tz: str | None =
     c = Chunks(df.withColumns(cal.temporal(spec.ts, tz)), spec, halo, rows_per_chunk)
     look_back = {**win.lag_columns(c, y, win.BASIC_LAGS),
                  **win.mean_std_columns(c, y, win.BASIC_WINDOWS)}
-    frame = ewma.add_ewma(c.frame.withColumns(look_back), c, y, ewma.BASIC_ALPHAS)
+    frame = ewma.add_ewma(add(c.frame, look_back), c, y, ewma.BASIC_ALPHAS)
     means = [ewma.ewma_name(y, a) for a in ewma.BASIC_ALPHAS]
     features = c.settle(frame, keep_chunk=True)
     filled = handle_missing(features, spec, [*measured, *look_back, *means], bfill=bfill)
@@ -83,13 +83,13 @@ def _advanced(c: Chunks, y: str, filled: str, statistics: bool) -> tuple[DataFra
              **win.difference_columns(c, y, win.DIFFERENCES),
              **win.change_columns(c, y, win.DIFFERENCES, filled)}
     quartiles = win.quantile_columns(c, y, win.ADVANCED_WINDOWS)
-    frame = c.frame.withColumns({**first, **quartiles})
+    frame = add(c.frame, {**first, **quartiles})
     second = {**win.median_columns(y, win.ADVANCED_WINDOWS),
               **win.zscore_columns(y, win.ADVANCED_WINDOWS)}
     if statistics:
         second |= win.quartile_columns(y, win.STATISTIC_WINDOWS)
         second |= win.percentile_columns(y, win.STATISTIC_WINDOWS)
-    frame = frame.withColumns(second).drop(*quartiles)
+    frame = add(frame, second).drop(*quartiles)
     frame = ewma.add_ewma(frame, c, y, ewma.ADVANCED_ALPHAS)
     means = [ewma.ewma_name(y, a) for a in ewma.ADVANCED_ALPHAS]
     return frame, [*first, *second, *means]
@@ -108,17 +108,22 @@ def comprehensive(df: DataFrame, spec: SeriesSpec, bfill: bool = True, tz: str |
     df = handle_missing(df, spec, measured, bfill=bfill, rows_per_chunk=rows_per_chunk)
     calendar = {**cal.temporal(spec.ts, tz), **cal.advanced(spec.ts)}
     df = df.withColumns(calendar)
-    df = with_position(df, spec, "_index") if spec.step else df.withColumn("_index", F.col(POS))
-    waves = cal.fourier(F.col("_index"))
-    df = df.withColumns(waves).drop("_index")
+    if spec.step:
+        df = with_position(df, spec)
+    waves = cal.fourier(F.col(POS))
+    df = df.withColumns(waves)
     c = Chunks(df, spec, _advanced_halo(), rows_per_chunk)
     frame, look_back = _advanced(c, y, y, statistics=True)
     joint = cal.interactions(frame.columns)
-    frame = c.settle(frame.withColumns(joint), keep_chunk=True)
-    can_lack = [n for n in [*look_back, *joint]
-                if any(p in n for p in ("_lag_", "_std_", "_zscore_", "_diff_", "_pct_", "_percentile_",
-                                        "lag1_", "lag24_"))]
-    full = fill(frame, spec, can_lack, backward=bfill, constant=0.0)
+    frame = frame.withColumns(joint)
+    # The target has no gaps here, so these lack values only in a series' first rows, and
+    # those lie in its first chunk: positions count from the start of the series.
+    late = [n for n in [*look_back, *joint]
+            if any(p in n for p in ("_lag_", "_std_", "_zscore_", "_diff_", "_percentile_", "lag1_", "lag24_"))]
+    head = f", first_value({{0}}) IGNORE NULLS {c.whole()}" if bfill else ""
+    frame = add(frame, {n: f"coalesce({q(n)}{head.format(q(n))}, 0D)" for n in late})
+    changes = [n for n in look_back if "_pct_change_" in n]
+    full = fill(c.settle(frame, keep_chunk=True), spec, changes, backward=bfill, constant=0.0)
     return drop_missing(full, y).select(*source, *calendar, *look_back, *joint, *waves)
 
 
@@ -137,11 +142,11 @@ def compact(df: DataFrame, spec: SeriesSpec, max_features: int = COMPACT_SIZE,
     simple["weekend_evening"] = (cal.is_weekend(F.col(spec.ts)) & (hour > 18)).cast("int")
     halo = max(*win.COMPACT_LAGS, *COMPACT_MEAN_WINDOWS)
     c = Chunks(df.withColumns(simple), spec, halo, rows_per_chunk)
-    rolling = {f"{y}_rolling_mean_{w}": F.avg(y).over(c.last_rows(w)) for w in COMPACT_MEAN_WINDOWS}
-    rolling[f"{y}_rolling_std_{COMPACT_STD_WINDOW}"] = F.stddev_samp(y).over(
-        c.last_rows(COMPACT_STD_WINDOW))
+    rolling = {f"{y}_rolling_mean_{w}": f"avg({q(y)}) {c.last_rows(w)}" for w in COMPACT_MEAN_WINDOWS}
+    w = COMPACT_STD_WINDOW
+    rolling[f"{y}_rolling_std_{w}"] = f"stddev_samp({q(y)}) {c.last_rows(w)}"
     look_back = {**win.lag_columns(c, y, win.COMPACT_LAGS), **rolling}
-    frame = c.settle(c.frame.withColumns(look_back), keep_chunk=True)
+    frame = c.settle(add(c.frame, look_back), keep_chunk=True)
     full = fill(frame, spec, [*measured, *look_back], backward=False, constant=0.0)
     order = [*extra, "hour", "day_of_week", "month", "is_weekend", *look_back,
              "hour_sin", "hour_cos", "is_peak_hour", "weekend_evening"]

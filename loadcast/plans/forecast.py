@@ -12,6 +12,7 @@ from ..ml import create_model
 from ..operators.project import fill_constant, fixed_interval, last_row, tail
 from ..operators.resample import future
 from ..series import SeriesSpec
+from ..session import cut_lineage
 from .features import basic, feature_names, model_table
 
 TRAINING_ROWS = 1000
@@ -66,8 +67,11 @@ def _finished(rows: DataFrame, spec: SeriesSpec, with_intervals: bool, model_nam
 def train_and_forecast(df: DataFrame, spec: SeriesSpec, model_type: str = "linear",
                        horizon: int = 24, step: str = "1 hour", with_intervals: bool = False,
                        training_rows: int | None = TRAINING_ROWS, **params) -> DataFrame:
-    """Features, a model fitted on each series' newest rows, and its forecast."""
-    features = basic(df, spec)
+    """Features, a model fitted on each series' newest rows, and its forecast.
+
+    The features are stored once: fitting reads them several times.
+    """
+    features = cut_lineage(basic(df, spec))
     names = feature_names(features, spec)
     recent = tail(features, spec, training_rows) if training_rows else features
     model = create_model(model_type, **params).fit(model_table(recent, spec, names), names, spec.target)

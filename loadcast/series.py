@@ -22,6 +22,17 @@ DAY_US = _UNIT_US["day"]
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
+def q(name: str) -> str:
+    """A column name quoted for a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def add(df: DataFrame, named: dict[str, str]) -> DataFrame:
+    """Add or replace columns given as SQL expressions, in one projection."""
+    kept = [q(c) for c in df.columns if c not in named]
+    return df.selectExpr(*kept, *[f"{e} AS {q(n)}" for n, e in named.items()])
+
+
 def step_us(step: str) -> int:
     """Microseconds in a fixed step such as ``"15 minutes"`` or ``"1 hour"``."""
     match = re.fullmatch(r"\s*(\d+)\s*([a-z]+?)s?\s*", step.lower())
