@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import mse
-from ..operators.chunks import attach, series_length, with_position
+from ..operators.chunks import with_place
 from ..operators.splits import FOLDS
 from ..series import SeriesSpec
 from ..session import cut_lineage
@@ -28,7 +28,7 @@ def folded(df: DataFrame, spec: SeriesSpec, folds: int = FOLDS) -> DataFrame:
 
     Fold k trains on the blocks below k. One stored table serves every fold.
     """
-    placed = attach(with_position(df, spec, "_p"), series_length(df, spec, "_n"), spec.keys)
+    placed = with_place(df, spec, "_p", "_n")
     size = F.call_function("div", F.col("_n"), F.lit(folds + 1).cast("long"))
     first = F.col("_n") - size * folds
     block = F.when(F.col("_p") < first, 0).otherwise(

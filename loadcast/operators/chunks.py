@@ -17,26 +17,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..series import SeriesSpec, epoch_us, floor_div, q, step_us
+from ..session import cut_lineage
 
 ROWS_PER_CHUNK = 8192
 ROWS_PER_BUCKET = 1 << 20
+BROADCAST_ROWS = 200_000
 
 POS, CHUNK, COPY, BUCKET = "_pos", "_chunk", "_copy", "_bucket"
 
 
 def attach(df: DataFrame, summary: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
-    """Add the columns of a one-row-per-key table.
+    """Add the columns of a one-row-per-series table to rows of any number.
 
-    With keys this is a left equi-join; Spark broadcasts the table when its size is below
-    the session's threshold and splits hot keys otherwise. Without keys the table is one
-    row and becomes a scalar subquery, so there is no join at all.
+    The table is stored first, so its size is known: up to ``BROADCAST_ROWS`` series it is
+    broadcast and the rows stay where they are, beyond that both sides are shuffled.
+    Without keys it is one row and becomes a scalar subquery, so there is no join at all.
     """
-    names = [c for c in summary.columns if c not in keys]
     if keys:
-        return df.join(summary, list(keys), "left")
-    one = summary.select(F.struct(*names).alias("s")).scalar()
-    wide = df.withColumn("_one", one)
-    return wide.select(*df.columns, *[F.col(f"_one.{n}").alias(n) for n in names])
+        stored = cut_lineage(summary)
+        if stored.count() <= BROADCAST_ROWS:
+            stored = F.broadcast(stored)
+        return df.join(stored, list(keys), "left")
+    return beside(df, summary, keys)
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
+    """Put two summaries side by side; ``right`` has one row per key."""
+    if keys:
+        return left.join(right, list(keys), "left")
+    names = [c for c in right.columns if c not in keys]
+    one = right.select(F.struct(*names).alias("s")).scalar()
+    wide = left.withColumn("_one", one)
+    return wide.select(*left.columns, *[F.col(f"_one.{n}").alias(n) for n in names])
 
 
 def bucket_us(df: DataFrame, spec: SeriesSpec, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
@@ -68,9 +80,8 @@ def with_position(df: DataFrame, spec: SeriesSpec, name: str = POS,
     if spec.step:
         us = epoch_us(df, spec.ts)
         start = df.groupBy(*spec.keys).agg(F.min(us).alias("_start"))
-        us_col = epoch_us(df, spec.ts)
         return (attach(df, start, spec.keys)
-                .withColumn(name, floor_div(us_col - F.col("_start"), step_us(spec.step)))
+                .withColumn(name, floor_div(us - F.col("_start"), step_us(spec.step)))
                 .drop("_start"))
     size = bucket_us(df, spec, rows_per_bucket)
     bucketed = df.withColumn(BUCKET, floor_div(epoch_us(df, spec.ts), size))
@@ -86,8 +97,16 @@ def with_position(df: DataFrame, spec: SeriesSpec, name: str = POS,
             .select(*df.columns, name))
 
 
-def series_length(df: DataFrame, spec: SeriesSpec, name: str = "_n") -> DataFrame:
-    return df.groupBy(*spec.keys).agg(F.count("*").alias(name))
+def with_place(df: DataFrame, spec: SeriesSpec, position: str, length: str) -> DataFrame:
+    """Row position and number of rows of the row's series."""
+    if not spec.step:
+        lengths = df.groupBy(*spec.keys).agg(F.count("*").alias(length))
+        return attach(with_position(df, spec, position), lengths, spec.keys)
+    us = epoch_us(df, spec.ts)
+    extent = df.groupBy(*spec.keys).agg(F.min(us).alias("_start"), F.count("*").alias(length))
+    return (attach(df, extent, spec.keys)
+            .withColumn(position, floor_div(us - F.col("_start"), step_us(spec.step)))
+            .select(*df.columns, position, length))
 
 
 class Chunks:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..series import SeriesSpec
-from .chunks import attach
+from .chunks import beside
 
 # Limits outside which a score deserves a second look.
 R2_TOO_GOOD, R2_WEAK = 0.90, 0.50
@@ -81,7 +81,7 @@ def metric_by_group(df: DataFrame, y: str, yhat: str, group: str,
     spread = per_group.groupBy(*by).agg(
         F.when(several, F.var_pop("metric")).alias("inter_group_variance"),
         F.when(several, F.max("metric") - F.min("metric")).alias("max_group_difference"))
-    return attach(per_group, spread, by)
+    return beside(per_group, spread, by)
 
 
 def plausibility(df: DataFrame, y: str, yhat: str, by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..series import SeriesSpec, epoch_us
-from .chunks import attach
+from .chunks import beside
 from .fill import numeric_columns
 from .quantiles import exact_quantiles
 from .resample import detect_frequency
@@ -65,7 +65,7 @@ def overview(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     types = F.lit(", ".join(f"{n} {t}" for n, t in df.dtypes))
     stats = stats.withColumns({"columns": F.lit(len(df.columns)), "data_types": types})
     step = detect_frequency(df, spec).select(*spec.keys, "frequency")
-    return attach(stats, step, spec.keys)
+    return beside(stats, step, spec.keys)
 
 
 def validate(df: DataFrame, required: list[str] | None = None, min_rows: int = 1) -> DataFrame:

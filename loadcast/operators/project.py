@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..series import SeriesSpec, epoch_us, step_us
-from .chunks import attach
+from ..series import SeriesSpec, epoch_us, floor_div, step_us
+from .chunks import BUCKET, attach, bucket_us
 
 # Names a target column may arrive under, the physical load limits in MW,
 # the default time stamp format, and the width of a fixed forecast interval.
@@ -93,20 +93,38 @@ def fixed_interval(yhat: Column | str, share: float = INTERVAL_SHARE) -> dict[st
 
 
 def tail(df: DataFrame, spec: SeriesSpec, n: int) -> DataFrame:
-    """The newest ``n`` rows of each series.
+    """The newest ``n`` rows of each series. On a grid they follow from its last time stamp."""
+    if not spec.step:
+        return newest_rows(df, spec, n)
+    us = epoch_us(df, spec.ts)
+    last = df.groupBy(*spec.keys).agg(F.max(us).alias("_end"))
+    since = F.col("_end") - (n - 1) * step_us(spec.step)
+    return attach(df, last, spec.keys).where(us >= since).drop("_end")
 
-    On a grid they follow from each series' last time stamp. Otherwise they are ranked;
-    Spark keeps the best ``n`` per key of each task before it shuffles.
+
+def newest_rows(df: DataFrame, spec: SeriesSpec, n: int) -> DataFrame:
+    """The ``n`` rows with the latest time stamps of each series.
+
+    Up to Spark's group limit every task keeps its best ``n`` per key before the shuffle.
+    Beyond it the rows are first cut to the time buckets that can hold the newest ``n``.
     """
-    if spec.step:
-        us = epoch_us(df, spec.ts)
-        last = df.groupBy(*spec.keys).agg(F.max(us).alias("_end"))
-        since = F.col("_end") - (n - 1) * step_us(spec.step)
-        return attach(df, last, spec.keys).where(us >= since).drop("_end")
+    down = [F.desc(c) for c in spec.order]
     if not spec.keys:
-        return df.orderBy(*[F.desc(c) for c in spec.order]).limit(n)
-    newest = Window.partitionBy(*spec.keys).orderBy(*[F.desc(c) for c in spec.order])
-    return df.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
+        return df.orderBy(*down).limit(n)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    rows = df
+    if n > limit:
+        size = bucket_us(df, spec)
+        rows = df.withColumn(BUCKET, floor_div(epoch_us(df, spec.ts), size))
+        later = Window.partitionBy(*spec.keys).orderBy(F.desc(BUCKET)).rowsBetween(
+            Window.unboundedPreceding, -1)
+        needed = (rows.groupBy(*spec.keys, BUCKET).count()
+                  .withColumn("_later", F.coalesce(F.sum("count").over(later), F.lit(0)))
+                  .where(F.col("_later") < n).select(*spec.keys, BUCKET))
+        rows = rows.join(needed, [*spec.keys, BUCKET], "left_semi")
+    ranked = Window.partitionBy(*spec.keys).orderBy(*down)
+    return (rows.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= n)
+            .select(*df.columns))
 
 
 def last_row(df: DataFrame, spec: SeriesSpec) -> DataFrame:

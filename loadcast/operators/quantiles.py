@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .chunks import BROADCAST_ROWS
 
 BINS = 4096
 SORT_LIMIT = 1_000_000
@@ -20,14 +21,20 @@ SORT_LIMIT = 1_000_000
 def _select_ranks(values: DataFrame, ids: list[str], ranks: DataFrame, sort_limit: int) -> DataFrame:
     """Value at each 0-based rank. ``values``: ids + value; ``ranks``: ids + rank, lo, hi, inside."""
     state = ranks.withColumn("below", F.lit(0).cast("long"))
+    # the values stay in place while the bounds are few, which is known by counting them
+    few = state.count() <= BROADCAST_ROWS
+
+    def bounds() -> DataFrame:
+        ranges = state.select(*ids, "lo", "hi").distinct()
+        return F.broadcast(ranges) if few else ranges
+
     while True:
         widest = state.where(F.col("lo") < F.col("hi")).agg(F.max("inside")).first()[0]
         if widest is None or widest <= sort_limit:
             break
-        ranges = state.select(*ids, "lo", "hi").distinct()
         share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
         place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1)))
-        bins = (values.join(ranges, ids)
+        bins = (values.join(bounds(), ids)
                 .where(F.col("value").between(F.col("lo"), F.col("hi")))
                 .groupBy(*ids, "lo", F.coalesce(place, F.lit(0)).alias("bin"))
                 .agg(F.count("*").alias("n"), F.min("value").alias("from"), F.max("value").alias("to")))
@@ -40,8 +47,7 @@ def _select_ranks(values: DataFrame, ids: list[str], ranks: DataFrame, sort_limi
             .select(*ids, "rank", F.col("from").alias("lo"), F.col("to").alias("hi"),
                     F.col("n").alias("inside"),
                     (F.col("below") + F.col("end") - F.col("n")).alias("below")))
-    ranges = state.select(*ids, "lo", "hi").distinct()
-    counted = (values.join(ranges, ids).where(F.col("value").between(F.col("lo"), F.col("hi")))
+    counted = (values.join(bounds(), ids).where(F.col("value").between(F.col("lo"), F.col("hi")))
                .groupBy(*ids, "lo", "value").agg(F.count("*").alias("n")))
     up_to = Window.partitionBy(*ids, "lo").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     counted = counted.withColumn("end", F.sum("n").over(up_to))

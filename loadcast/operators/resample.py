@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..series import DAY_US, SeriesSpec, epoch_us, floor_div, from_epoch_us, step_us
-from .chunks import BUCKET, attach, bucket_us
+from .chunks import BUCKET, attach, beside, bucket_us
 
 BINS_PER_BLOCK = 65536
 
@@ -159,7 +159,7 @@ def detect_frequency(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     mode = counted.groupBy(*keys).agg(
         F.max_by("gap_us", F.struct(F.col("count"), -F.col("gap_us"))).alias("gap_us"))
     present = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    both = attach(present, mode, keys)
+    both = beside(present, mode, keys)
     seconds = F.col("gap_us") / F.lit(1e6)
     whole = F.col("gap_us") % 1_000_000 == 0
     text = F.when(whole, (seconds.cast("long")).cast("string")).otherwise(

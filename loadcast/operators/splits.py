@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..series import SeriesSpec
-from .chunks import attach, series_length, with_position
+from .chunks import attach, with_place
 from .quantiles import value_at_rank
 
 # Default share of test rows, rows between train and test, folds, seed.
@@ -19,7 +19,7 @@ _P, _N = "_position", "_length"
 
 
 def _placed(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return attach(with_position(df, spec, _P), series_length(df, spec, _N), spec.keys)
+    return with_place(df, spec, _P, _N)
 
 
 def temporal(df: DataFrame, spec: SeriesSpec, test_share: float = TEST_SHARE,

@@ -21,6 +21,8 @@ def build_session(app_name: str = "loadcast", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # wide feature plans compile more classes than the default cache of 100 holds
+        "spark.sql.codegen.cache.maxEntries": "2000",
     }
     settings.update({k.replace("_", "."): v for k, v in conf.items()})
     for key, value in settings.items():

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..series import SeriesSpec
+from ..operators.project import newest_rows
+from ..series import SeriesSpec, q
 
 # Field names of a record, and those that count as 0 when the key is absent.
 TIME_FIELD = "date_heure"
@@ -24,9 +24,7 @@ ZERO_IF_ABSENT = [
 NUMERIC_FIELDS = NO_DEFAULT + ZERO_IF_ABSENT
 
 
-def _number(fields: Column, name: str) -> Column:
-    """The field as a number: null when it is null or not numeric."""
-    return F.try_element_at(fields, F.lit(name)).try_cast("double")
+TEXT_SCHEMA = ", ".join(f"{n} string" for n in [TIME_FIELD, *NUMERIC_FIELDS])
 
 
 def parse_records(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
@@ -34,17 +32,23 @@ def parse_records(lines: DataFrame, column: str = "value", keep: list[str] | Non
 
     Rows without a readable time stamp are dropped. An absent key of the generation and
     exchange fields reads 0; an explicit null stays null. ``y`` is the consumption.
+
+    The parsed object is unnested by a generator, below which Spark does not push the
+    filter on the time stamp; pushed down, it would parse every line a second time.
     """
-    fields = F.from_json(F.col(column), "map<string,string>")
-    parsed = lines.select(*(keep or []), fields.alias("_f"))
-    f = F.col("_f")
-    numbers = [_number(f, n).alias(n) for n in NO_DEFAULT]
-    numbers += [F.when(F.map_contains_key(f, n), _number(f, n)).otherwise(F.lit(0.0)).alias(n)
-                for n in ZERO_IF_ABSENT]
-    stamp = F.try_to_timestamp(F.try_element_at(f, F.lit(TIME_FIELD))).alias(TIME_FIELD)
-    return (parsed.select(*(keep or []), stamp, *numbers)
-            .where(F.col(TIME_FIELD).isNotNull())
-            .withColumn("y", F.col(LOAD_FIELD)))
+    keep = keep or []
+
+    def number(name: str) -> str:
+        return f"nullif(try_cast({name} AS double), double('NaN'))"
+
+    keys = F.json_object_keys(column).alias("_keys")
+    texts = lines.select(*keep, keys, F.inline(F.array(F.from_json(column, TEXT_SCHEMA))))
+    numbers = [f"{number(n)} AS {n}" for n in NO_DEFAULT]
+    numbers += [f"CASE WHEN {n} IS NULL AND NOT array_contains(_keys, '{n}') THEN 0D "
+                f"ELSE {number(n)} END AS {n}" for n in ZERO_IF_ABSENT]
+    stamp = f"try_to_timestamp({TIME_FIELD}) AS {TIME_FIELD}"
+    return (texts.selectExpr(*map(q, keep), stamp, *numbers, f"{number(LOAD_FIELD)} AS y")
+            .where(F.col(TIME_FIELD).isNotNull()))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -53,19 +57,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest(df: DataFrame, spec: SeriesSpec, n: int = 1000, where: Column | None = None) -> DataFrame:
-    """The newest ``n`` rows with a target, per series, newest first.
-
-    The filters reach the file scan. Without keys Spark keeps the best ``n`` of each task;
-    with keys the best ``n`` of each key in each task.
-    """
+    """The newest ``n`` rows with a target, per series. The filters reach the file scan."""
     rows = df.where(F.col(spec.target).isNotNull())
-    if where is not None:
-        rows = rows.where(where)
-    down = [F.desc(c) for c in spec.order]
-    if not spec.keys:
-        return rows.orderBy(*down).limit(n)
-    ranked = Window.partitionBy(*spec.keys).orderBy(*down)
-    return rows.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= n).drop("_rank")
+    return newest_rows(rows if where is None else rows.where(where), spec, n)
 
 
 def first_non_empty(*tables: DataFrame) -> DataFrame:
