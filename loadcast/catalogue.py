@@ -475,7 +475,7 @@ def simple_ols(spark, d):
 
 def model_scores(spark, d):
     rows, _ = daily_model_table(spark, d)
-    return presented(create_model("linear").fit(rows, ["y_lag_7"], "y").evaluate(rows))
+    return presented(create_model("linear").fit(rows, ["y_lag_7"], "y").evaluate(rows), 3)
 
 
 def _wave(spark, d):

@@ -78,7 +78,7 @@ def validate(df: DataFrame, required: list[str] | None = None, min_rows: int = 1
     seen = df.select(F.lit(1)).limit(needed).agg(F.count("*").alias("_n"))
     reasons = F.array_compact(F.array(
         F.when(F.col("_n") == 0, "empty"),
-        F.when(F.col("_n") < needed, f"fewer than {needed} rows"),
+        F.when(F.col("_n").between(1, needed - 1), f"fewer than {needed} rows"),
         F.lit("missing columns: " + ", ".join(missing)) if missing else F.lit(None).cast("string")))
     return seen.select((F.size(reasons) == 0).alias("is_valid"), reasons.alias("reasons"))
 

@@ -639,7 +639,7 @@ ORACLES: dict[str, str] = {
         SELECT ts, {r('a * y_lag_1 + b')} AS yhat FROM t, f""",
     "model_scores": f"""WITH {model_ctes()}, f AS (SELECT regr_slope(y, y_lag_7) AS a, regr_intercept(y, y_lag_7) AS b FROM t),
         q AS (SELECT y, a * y_lag_7 + b AS yhat FROM t, f)
-        SELECT {columns(point('y', 'yhat'))}, {counts('y', 'yhat')} FROM q""",
+        SELECT {columns(point('y', 'yhat'), 3)}, {counts('y', 'yhat')} FROM q""",
     "ridge": penalised_sql("n * cxy / (n * vx + 100.0)"),
     "elastic_net": penalised_sql("sign(cxy) * greatest(abs(cxy) - 0.05, 0) / (vx + 0.05)"),
     "grid_search": grid_search_sql(),
