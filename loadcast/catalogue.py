@@ -570,9 +570,8 @@ def flagship(spark, d):
     models scored on the test rows of every series."""
     h = hourly(spark, d, "sum")
     c = Chunks(h.withColumns(cal.temporal("ts")), HOURLY, 167)
-    look_back = {**windows.lag_columns(c, "y", windows.BASIC_LAGS),
-                 **windows.mean_std_columns(c, "y", windows.BASIC_WINDOWS)}
-    rows = splits.temporal(c.settle(add(c.frame, look_back)), HOURLY)
+    frame = add(c.frame, windows.lag_columns(c, "y", windows.BASIC_LAGS))
+    rows = splits.temporal(c.settle(windows.add_moments(frame, c, "y", windows.BASIC_WINDOWS)), HOURLY)
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("yhat"))
                                  for m in ("y_lag_1", "y_lag_24", "y_rolling_mean_24")])).alias("m")
     test = rows.where(F.col("split") == "test").select(

@@ -19,7 +19,8 @@ from pyspark.sql.window import Window, WindowSpec
 from ..series import SeriesSpec, epoch_us, floor_div, q, step_us
 from ..session import cut_lineage
 
-ROWS_PER_CHUNK = 8192
+# Spark's windows keep this many rows of a partition in a plain array; beyond it they spill
+ROWS_IN_WINDOW = 4096
 ROWS_PER_BUCKET = 1 << 20
 BROADCAST_ROWS = 200_000
 
@@ -120,7 +121,7 @@ class Chunks:
                  rows_per_chunk: int | None = None):
         self.spec = spec
         self.halo = halo
-        self.rows = max(rows_per_chunk or max(ROWS_PER_CHUNK, 4 * halo), halo, 1)
+        self.rows = max(rows_per_chunk or max(ROWS_IN_WINDOW - halo, 3 * halo), halo, 1)
         self.columns = df.columns
         if POS in df.columns:
             placed = df
@@ -145,7 +146,8 @@ class Chunks:
     def ordered(self) -> WindowSpec:
         return Window.partitionBy(*self.partition).orderBy(*self.spec.order)
 
-    def _over(self, frame: str = "") -> str:
+    def over(self, frame: str = "") -> str:
+        """SQL window over the chunk in time order, with a frame clause if given."""
         part, order = (", ".join(map(q, names)) for names in (self.partition, self.spec.order))
         return f"OVER (PARTITION BY {part} ORDER BY {order}{frame})"
 
@@ -153,17 +155,17 @@ class Chunks:
         """SQL window over the current row and the ``n - 1`` before it."""
         if n - 1 > self.halo:
             raise ValueError(f"a frame of {n} rows needs a halo of {n - 1}, have {self.halo}")
-        return self._over(f" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
+        return self.over(f" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
 
     def whole(self) -> str:
         """SQL window over all rows of the chunk, copies included."""
-        return self._over(" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+        return self.over(" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
 
     def lag(self, column: str, k: int) -> str:
         """SQL for the value ``k`` rows before."""
         if k > self.halo:
             raise ValueError(f"a lag of {k} rows needs a halo of {k}, have {self.halo}")
-        return f"lag({q(column)}, {k}) {self._over()}"
+        return f"lag({q(column)}, {k}) {self.over()}"
 
     def offset(self) -> Column:
         """Position inside the chunk, counted from the first halo row."""

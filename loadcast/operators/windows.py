@@ -29,23 +29,89 @@ def lag_columns(c: Chunks, y: str, lags: list[int]) -> dict[str, str]:
     return {f"{y}_lag_{k}": c.lag(y, k) for k in lags}
 
 
-def mean_std_columns(c: Chunks, y: str, windows: list[int]) -> dict[str, str]:
-    """Mean and sample deviation of the last rows; the deviation of one value is null."""
-    columns = {}
+def add_moments(frame: DataFrame, c: Chunks, y: str, windows: list[int],
+                mean_std: bool = True, extremes: bool = False) -> DataFrame:
+    """Add rolling mean and sample deviation, and rolling min, max and range when asked.
+
+    A sliding frame is recomputed for every row, which costs its length each time. Here
+    blocks of 1, 4, 16, 64, ... rows are built from each other by lags, and a window is put
+    together from a few blocks: the work per row grows with the logarithm of the window.
+    Means and squared deviations are merged around the blocks' own means, so nothing
+    cancels. A mean of no value and a deviation of one value are null.
+    """
+    if max(windows) - 1 > c.halo:
+        raise ValueError(f"a window of {max(windows)} rows needs a halo of {max(windows) - 1}, have {c.halo}")
+    before = frame.columns
+    v = q(y)
+    parts = {}
+    if mean_std:
+        parts |= {"_n1": f"CASE WHEN {v} IS NULL THEN 0D ELSE 1D END", "_m1": f"coalesce({v}, 0D)", "_s1": "0D"}
+    if extremes:
+        parts |= {"_lo1": v, "_hi1": v}
+    frame = add(frame, parts)
+    sizes = [1]
+    while sizes[-1] * 4 <= max(windows):
+        size = sizes[-1]
+        frame = _merge(frame, c, {str(4 * size): [(size, k * size) for k in range(4)]}, mean_std, extremes)
+        sizes.append(4 * size)
+    plan: dict[str, list[tuple[int, int]]] = {}
     for w in windows:
-        columns[f"{y}_rolling_mean_{w}"] = f"avg({q(y)}) {c.last_rows(w)}"
-        columns[f"{y}_rolling_std_{w}"] = f"stddev_samp({q(y)}) {c.last_rows(w)}"
-    return columns
-
-
-def min_max_columns(c: Chunks, y: str, windows: list[int]) -> dict[str, str]:
-    columns = {}
+        blocks, reach = [], 0
+        for size in reversed(sizes):
+            while reach + size <= w:
+                blocks.append((size, reach))
+                reach += size
+        plan[f"w{w}"] = blocks
+    frame = _merge(frame, c, plan, mean_std, extremes)
+    out = {}
     for w in windows:
-        low, high = f"min({q(y)}) {c.last_rows(w)}", f"max({q(y)}) {c.last_rows(w)}"
-        columns[f"{y}_rolling_min_{w}"] = low
-        columns[f"{y}_rolling_max_{w}"] = high
-        columns[f"{y}_rolling_range_{w}"] = f"{high} - {low}"
-    return columns
+        n, m, s, lo, hi = (f"_{x}w{w}" for x in ("n", "m", "s", "lo", "hi"))
+        if mean_std:
+            out[f"{y}_rolling_mean_{w}"] = f"CASE WHEN {n} > 0 THEN {m} END"
+            out[f"{y}_rolling_std_{w}"] = f"CASE WHEN {n} > 1 THEN sqrt({s} / ({n} - 1)) END"
+        if extremes:
+            out |= {f"{y}_rolling_min_{w}": lo, f"{y}_rolling_max_{w}": hi, f"{y}_rolling_range_{w}": f"{hi} - {lo}"}
+    kept = [q(x) for x in before if x not in out]
+    return frame.selectExpr(*kept, *[f"{e} AS {q(n)}" for n, e in out.items()])
+
+
+def _merge(frame: DataFrame, c: Chunks, plan: dict[str, list[tuple[int, int]]],
+           mean_std: bool, extremes: bool) -> DataFrame:
+    """Unite blocks, given as (size, rows back), under each name of ``plan``."""
+    kinds = (["n", "m", "s"] if mean_std else []) + (["lo", "hi"] if extremes else [])
+    default = {"n": "0D", "m": "0D", "s": "0D", "lo": "NULL", "hi": "NULL"}
+    wanted = {(size, back) for blocks in plan.values() for size, back in blocks if back}
+
+    def at(kind: str, block: tuple[int, int]) -> str:
+        size, back = block
+        return f"_{kind}{size}_{back}" if back else f"_{kind}{size}"
+
+    lags = {at(k, b): f"lag(_{k}{b[0]}, {b[1]}, {default[k]}) {c.over()}" for b in sorted(wanted) for k in kinds}
+    frame = add(frame, lags)
+    first, second = {}, {}
+    for name, blocks in plan.items():
+        if mean_std:
+            n = " + ".join(at("n", b) for b in blocks)
+            anchor = at("m", blocks[0])
+            drift = " + ".join(f"{at('n', b)} * ({at('m', b)} - {anchor})" for b in blocks[1:]) or "0D"
+            first[f"_n{name}"] = n
+            first[f"_m{name}"] = f"{anchor} + ({drift}) / greatest({n}, 1D)"
+            within = " + ".join(at("s", b) for b in blocks)
+            between = " + ".join(f"{at('n', b)} * pow({at('m', b)} - _m{name}, 2)" for b in blocks)
+            second[f"_s{name}"] = f"{within} + {between}"
+        if extremes:
+            for kind, pick in (("lo", "least"), ("hi", "greatest")):
+                values = [at(kind, b) for b in blocks]
+                first[f"_{kind}{name}"] = f"{pick}({', '.join(values)})" if len(values) > 1 else values[0]
+    return add(add(frame, first), second).drop(*lags)
+
+
+def moment_names(y: str, windows: list[int]) -> list[str]:
+    return [f"{y}_rolling_{kind}_{w}" for w in windows for kind in ("mean", "std")]
+
+
+def extreme_names(y: str, windows: list[int]) -> list[str]:
+    return [f"{y}_rolling_{kind}_{w}" for w in windows for kind in ("min", "max", "range")]
 
 
 def quantile_columns(c: Chunks, y: str, windows: list[int]) -> dict[str, str]:
@@ -109,16 +175,15 @@ def with_rolling(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = No
                  rows_per_chunk: int | None = None) -> DataFrame:
     windows = windows or BASIC_WINDOWS
     c = Chunks(df, spec, max(windows) - 1, rows_per_chunk)
-    new = mean_std_columns(c, spec.target, windows)
-    return _finish(df, c, add(c.frame, new), list(new))
+    return _finish(df, c, add_moments(c.frame, c, spec.target, windows), moment_names(spec.target, windows))
 
 
 def with_rolling_range(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = None,
                        rows_per_chunk: int | None = None) -> DataFrame:
     windows = windows or ADVANCED_WINDOWS
     c = Chunks(df, spec, max(windows) - 1, rows_per_chunk)
-    new = min_max_columns(c, spec.target, windows)
-    return _finish(df, c, add(c.frame, new), list(new))
+    out = add_moments(c.frame, c, spec.target, windows, mean_std=False, extremes=True)
+    return _finish(df, c, out, extreme_names(spec.target, windows))
 
 
 def with_rolling_median(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = None,
@@ -146,7 +211,7 @@ def with_zscores(df: DataFrame, spec: SeriesSpec, windows: list[int] | None = No
     percentile_windows = STATISTIC_WINDOWS if percentile_windows is None else percentile_windows
     both = list(dict.fromkeys([*windows, *percentile_windows]))
     c = Chunks(df, spec, max(both) - 1, rows_per_chunk)
-    out = add(c.frame, mean_std_columns(c, spec.target, both))
+    out = add_moments(c.frame, c, spec.target, both)
     new = {**zscore_columns(spec.target, windows),
            **percentile_columns(spec.target, percentile_windows)}
     return _finish(df, c, add(out, new), list(new))

@@ -45,9 +45,10 @@ def basic(df: DataFrame, spec: SeriesSpec, bfill: bool = True, tz: str | None =
     measured = _measured(df, spec)
     halo = max(*win.BASIC_LAGS, *win.BASIC_WINDOWS, ewma.halo_rows(ewma.BASIC_ALPHAS))
     c = Chunks(df.withColumns(cal.temporal(spec.ts, tz)), spec, halo, rows_per_chunk)
-    look_back = {**win.lag_columns(c, y, win.BASIC_LAGS),
-                 **win.mean_std_columns(c, y, win.BASIC_WINDOWS)}
-    frame = ewma.add_ewma(add(c.frame, look_back), c, y, ewma.BASIC_ALPHAS)
+    lags = win.lag_columns(c, y, win.BASIC_LAGS)
+    look_back = [*lags, *win.moment_names(y, win.BASIC_WINDOWS)]
+    frame = win.add_moments(add(c.frame, lags), c, y, win.BASIC_WINDOWS)
+    frame = ewma.add_ewma(frame, c, y, ewma.BASIC_ALPHAS)
     means = [ewma.ewma_name(y, a) for a in ewma.BASIC_ALPHAS]
     features = c.settle(frame, keep_chunk=True)
     filled = handle_missing(features, spec, [*measured, *look_back, *means], bfill=bfill)
@@ -78,12 +79,12 @@ def _advanced(c: Chunks, y: str, filled: str, statistics: bool) -> tuple[DataFra
     of ``statistics`` read from that one array.
     """
     first = {**win.lag_columns(c, y, win.ADVANCED_LAGS),
-             **win.mean_std_columns(c, y, win.ADVANCED_WINDOWS),
-             **win.min_max_columns(c, y, win.ADVANCED_WINDOWS),
              **win.difference_columns(c, y, win.DIFFERENCES),
              **win.change_columns(c, y, win.DIFFERENCES, filled)}
     quartiles = win.quantile_columns(c, y, win.ADVANCED_WINDOWS)
     frame = add(c.frame, {**first, **quartiles})
+    frame = win.add_moments(frame, c, y, win.ADVANCED_WINDOWS, extremes=True)
+    moments = [*win.moment_names(y, win.ADVANCED_WINDOWS), *win.extreme_names(y, win.ADVANCED_WINDOWS)]
     second = {**win.median_columns(y, win.ADVANCED_WINDOWS),
               **win.zscore_columns(y, win.ADVANCED_WINDOWS)}
     if statistics:
@@ -92,7 +93,7 @@ def _advanced(c: Chunks, y: str, filled: str, statistics: bool) -> tuple[DataFra
     frame = add(frame, second).drop(*quartiles)
     frame = ewma.add_ewma(frame, c, y, ewma.ADVANCED_ALPHAS)
     means = [ewma.ewma_name(y, a) for a in ewma.ADVANCED_ALPHAS]
-    return frame, [*first, *second, *means]
+    return frame, [*first, *moments, *second, *means]
 
 
 def comprehensive(df: DataFrame, spec: SeriesSpec, bfill: bool = True, tz: str | None = None,
@@ -142,11 +143,11 @@ def compact(df: DataFrame, spec: SeriesSpec, max_features: int = COMPACT_SIZE,
     simple["weekend_evening"] = (cal.is_weekend(F.col(spec.ts)) & (hour > 18)).cast("int")
     halo = max(*win.COMPACT_LAGS, *COMPACT_MEAN_WINDOWS)
     c = Chunks(df.withColumns(simple), spec, halo, rows_per_chunk)
-    rolling = {f"{y}_rolling_mean_{w}": f"avg({q(y)}) {c.last_rows(w)}" for w in COMPACT_MEAN_WINDOWS}
-    w = COMPACT_STD_WINDOW
-    rolling[f"{y}_rolling_std_{w}"] = f"stddev_samp({q(y)}) {c.last_rows(w)}"
-    look_back = {**win.lag_columns(c, y, win.COMPACT_LAGS), **rolling}
-    frame = c.settle(add(c.frame, look_back), keep_chunk=True)
+    rolling = [f"{y}_rolling_mean_{w}" for w in COMPACT_MEAN_WINDOWS] + [f"{y}_rolling_std_{COMPACT_STD_WINDOW}"]
+    lags = win.lag_columns(c, y, win.COMPACT_LAGS)
+    look_back = [*lags, *rolling]
+    frame = win.add_moments(add(c.frame, lags), c, y, COMPACT_MEAN_WINDOWS)
+    frame = c.settle(frame, keep_chunk=True)
     full = fill(frame, spec, [*measured, *look_back], backward=False, constant=0.0)
     order = [*extra, "hour", "day_of_week", "month", "is_weekend", *look_back,
              "hour_sin", "hour_cos", "is_peak_hour", "weekend_evening"]
