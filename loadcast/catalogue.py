@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .functions import calendar as cal
 from .functions import metrics as M
-from .ml import create_model
+from .ml import create_model, load_model
 from .ml import ensemble, scale, select
 from .ml.linear import ElasticNet, Ridge
 from .ml.search import GridSearch
@@ -24,7 +24,9 @@ from .operators.chunks import Chunks, with_position
 from .operators.quantiles import exact_quantiles
 from .plans import audit, features, forecast
 from .series import SeriesSpec, add, q
+from .session import shared_folder
 from .sources import records, store
+from .streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,7 +93,7 @@ def fallback_source(spark, d):
     return presented(chosen.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 2)
 
 
-def ingest_records(spark, d):
+def record_lines(spark: SparkSession, d: str) -> DataFrame:
     """Each event as a JSON record: fields absent, null or unreadable by turns."""
     e = table(spark, d, "events")
     value = F.col("value").cast("string")
@@ -99,18 +101,54 @@ def ingest_records(spark, d):
     entries = F.concat(
         F.lit('{"id": "'), F.col("event_id").cast("string"), F.lit('"'),
         F.when(F.col("event_id") % 10 == 9, ', "date_heure": "not a time"').otherwise(
-            F.concat(F.lit(', "date_heure": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+00:00"'))),
+            F.concat(F.lit(', "date_heure": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('+00:00"'))),
         F.lit(', "consommation": '), value,
         F.when(turn == 0, "").when(turn == 1, ', "gaz": null').when(turn == 2, ', "gaz": "n/a"')
         .otherwise(F.concat(F.lit(', "gaz": '), value)),
         F.when(turn == 0, "").otherwise(F.concat(F.lit(', "taux_co2": '), value)),
         F.lit("}"))
-    parsed = records.parse_records(e.select("event_id", entries.alias("value")), keep=["event_id"])
+    return e.select("event_id", entries.alias("value"))
+
+
+def _record_columns(parsed: DataFrame, keep: list[str]) -> DataFrame:
     stamp = F.col("date_heure").cast("timestamp_ntz")
-    return presented(parsed.select("event_id", stamp.alias("date_heure"), "y", "consommation", "gaz",
+    return presented(parsed.select(*keep, stamp.alias("date_heure"), "y", "consommation", "gaz",
                                    "fioul", "taux_co2", "prevision_j1", "ech_comm_italie"))
 
 
+def ingest_records(spark, d):
+    return _record_columns(records.parse_records(record_lines(spark, d), keep=["event_id"]), ["event_id"])
+
+
+def ingest_stream(spark, d):
+    """The same records landed as files and taken in by a stream."""
+    folder = shared_folder(spark, "stream")
+    record_lines(spark, d).select("value").write.text(f"{folder}/landed")
+    ingest(spark, f"{folder}/landed", f"{folder}/table", f"{folder}/state").awaitTermination()
+    return _record_columns(spark.read.parquet(f"{folder}/table"), [])
+
+
+def report_round_trip(spark, d):
+    path = shared_folder(spark, "report")
+    board = audit.leaderboard(by_model(predictions(spark, d)))
+    store.write_report(board, path)
+    return presented(store.read_report(spark, path, board.schema.simpleString()[7:-1].replace(":", " ")))
+
+
+def forecast_round_trip(spark, d):
+    path = shared_folder(spark, "forecasts")
+    made = forecast.naive_last(hourly(spark, d, "mean"), HOURLY, 24, with_intervals=True)
+    store.write_forecasts(made, path, ["event_type"])
+    return presented(spark.read.schema(made.schema).parquet(path))
+
+
+def model_round_trip(spark, d):
+    path = shared_folder(spark, "model")
+    rows, _ = daily_model_table(spark, d)
+    create_model("linear").fit(rows, ["y_lag_1"], "y").save(path)
+    return presented(load_model(spark, path).transform(rows).select("ts", "yhat"))
+
+
 def resolve_target(spark, d):
     rows = table(spark, d, "events").select(
         "event_id", F.col("value").alias("consommation"), F.lit(0.0).alias("y"))
@@ -588,6 +626,10 @@ QUERIES: dict[str, Query] = {
     "newest_overall": newest_overall,
     "fallback_source": fallback_source,
     "ingest_records": ingest_records,
+    "ingest_stream": ingest_stream,
+    "report_round_trip": report_round_trip,
+    "forecast_round_trip": forecast_round_trip,
+    "model_round_trip": model_round_trip,
     "resolve_target": resolve_target,
     "content_key": content_key,
     "format_timestamp": format_timestamp,

@@ -493,7 +493,7 @@ ORACLES: dict[str, str] = {
     "newest_overall": f"""SELECT event_type, event_id, ts, {r('value')} AS value FROM events WHERE event_type = 'view'
         AND value IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 1000""",
     "fallback_source": f"SELECT event_type, count(*) AS n, {r('sum(value)', 2)} AS total FROM events GROUP BY 1",
-    "ingest_records": f"""SELECT event_id, date_trunc('second', ts) AS date_heure, {r('value')} AS y, {r('value')} AS consommation,
+    "ingest_records": f"""SELECT event_id, ts AS date_heure, {r('value')} AS y, {r('value')} AS consommation,
         CASE event_id % 4 WHEN 0 THEN 0.0 WHEN 3 THEN {r('value')} END AS gaz, 0.0::DOUBLE AS fioul,
         CASE WHEN event_id % 4 <> 0 THEN {r('value')} END AS taux_co2, NULL::DOUBLE AS prevision_j1,
         0.0::DOUBLE AS ech_comm_italie FROM events WHERE event_id % 10 <> 9""",
@@ -656,3 +656,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'models/' || arg_max(o_orderkey, (o_orderdate, 'models/' || o_orderkey)), max(o_orderdate),
         arg_max(o_orderpriority, (o_orderdate, 'models/' || o_orderkey)) FROM orders""",
 }
+
+ORACLES["ingest_stream"] = ORACLES["ingest_records"].replace("SELECT event_id, ", "SELECT ", 1)
+ORACLES["report_round_trip"] = (
+    f"WITH {p_ctes()} SELECT model, {columns(point('y', 'yhat'))}, {counts('y', 'yhat')} FROM m GROUP BY 1")
+ORACLES["forecast_round_trip"] = ORACLES["forecast_naive"]
+ORACLES["model_round_trip"] = ORACLES["simple_ols"]

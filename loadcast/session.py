@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,12 @@ def build_session(app_name: str = "loadcast", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder named by ``spark.checkpoint.dir``.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from ``spark.checkpoint.dir``.
 
-    The files outlive executors. Only a local session may lack the setting; it gets a
-    scratch folder, because driver and executors share one machine there.
+    Only a local session may lack the setting; it gets a scratch folder, because driver and
+    executors share one machine there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,4 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="loadcast-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path that every executor can reach, for tables passed between jobs."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder; the files outlive executors."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -5,9 +5,9 @@ from frames import to_spark
 
 from loadcast.ml import available_models, create_model, load_model, select
 from loadcast.ml.ensemble import Ensemble, weights
-from loadcast.ml.linear import ElasticNet, Ridge
 from loadcast.ml.scale import Scaler
-from loadcast.ml.search import GridSearch, folded
+from loadcast.ml.linear import ELASTIC_GRID, RIDGE_GRID, ElasticNet, Ridge
+from loadcast.ml.search import BOOSTING_GRID, FOREST_GRID, GridSearch, folded
 from loadcast.plans import features, forecast
 from loadcast.series import SeriesSpec
 
@@ -136,6 +136,16 @@ def test_grid_search_uses_expanding_folds(table):
     assert search.results[0]["mean_mse"] == pytest.approx(np.mean(errors), rel=1e-9)
 
 
+def test_searches_over_trees(table):
+    _, df = table
+    assert len(FOREST_GRID) == 27 and len(BOOSTING_GRID) == 18 and len(RIDGE_GRID) == 4 and len(ELASTIC_GRID) == 9
+    for kind, grid in (("enhanced_random_forest", [{"n_estimators": 2, "maxDepth": d} for d in (1, 4)]),
+                       ("enhanced_lightgbm", [{"maxIter": 2, "stepSize": 0.5, "maxDepth": d} for d in (1, 3)])):
+        search = create_model(kind, spec=GRID, grid=grid)
+        model = search.fit(df, ["wave"])
+        assert search.best_params["maxDepth"] == grid[1]["maxDepth"] and model.evaluate(df).first().r2 > 0.5
+
+
 def test_ensemble(table):
     _, df = table
     members = [create_model("linear"), create_model("random_forest", n_estimators=5, maxDepth=4)]
