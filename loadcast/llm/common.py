@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
+from itertools import count
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import shared_folder
 
@@ -31,6 +37,21 @@ def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def numbered(words: Sequence) -> tuple[np.ndarray, list]:
+    """A number for each word, equal for equal words, and the distinct words in that order."""
+    seen: defaultdict = defaultdict(count().__next__)
+    return np.fromiter(map(seen.__getitem__, words), np.int64, len(words)), list(seen)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` whose workers look for this package where the driver has it, besides their own path."""
+    environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable, fields: str) -> DataFrame:
     """One result row per input row: the id as ``doc_id`` and the columns that ``work`` makes of the texts.
 
@@ -50,7 +71,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable, fields:
                     [batch.column(0).slice(part.start, part.stop - part.start), *map(pa.array, made)],
                     ["doc_id", *names])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {fields}")
+    return map_arrow(rows, run, f"doc_id {kind}, {fields}")
 
 
 def filter_texts(df: DataFrame, text_col: str, keep: Callable) -> DataFrame:
@@ -67,7 +88,7 @@ def filter_texts(df: DataFrame, text_col: str, keep: Callable) -> DataFrame:
             mask = [bool(x) for part in steps(texts) for x in keep(texts[part])]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filter_texts, map_texts
+from .common import filter_texts, map_texts, numbered
 
 UNKNOWN = "und"
 #: Bound of the training sample: texts per language, and bytes per text.
@@ -119,10 +119,10 @@ class Crf:
         """Marginals of all words, the words of each text, and the number of words of each text."""
         words = [_WORD.findall(t.decode("utf-8", "replace").lower()) for t in texts]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        codes, distinct = pd.factorize(np.array([w for s in words for w in s], object))
+        codes, distinct = numbered([w for s in words for w in s])
         if not len(codes):
             return np.zeros((0, len(self.labels)), np.float32), words, lengths
-        return self.marginals(self.emissions(list(distinct))[codes], lengths), words, lengths
+        return self.marginals(self.emissions(distinct)[codes], lengths), words, lengths
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Label with the largest mean probability over a text's words, and that mean; ties go to the first."""
@@ -165,8 +165,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, run: int = 12, step
         pools[labels.index(lang)] += _WORD.findall(text.lower())
     lexicon: dict[str, int] = {}
     for k, pool in enumerate(pools):
-        counts = pd.Series(pool, dtype=object).value_counts()
-        for w in sorted(counts.index, key=lambda w: (-counts[w], w))[:LEXICON]:
+        counts = Counter(pool)
+        for w in sorted(counts, key=lambda w: (-counts[w], w))[:LEXICON]:
             lexicon[w] = lexicon.get(w, 0) | 1 << k
     model = Crf(labels, np.zeros((BUCKETS, size), np.float32), lexicon, np.zeros((size, size), np.float32),
                 np.zeros((size, size), np.float32))

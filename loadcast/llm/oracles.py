@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licences import _PUNCTUATION, COPYRIGHT_LINE, KNOWN, SPELLINGS
+from .lines import MIN_CHARS, THRESHOLD
 from .quality import COVERAGE, LINE_CHARS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -45,4 +47,69 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM all_of"""
 
 
-ORACLES = {"op3_quality": _op3()}
+#: Letters whose counts cannot differ by more in total than twice the edits; only spares comparisons.
+_LETTERS = "aehiou nrst"
+
+_OP6 = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+all_lines AS (SELECT doc_id, unnest(ls) AS ln, generate_subscripts(ls, 1) AS pos FROM docs),
+distinct_lines AS (SELECT ln, min((doc_id, pos)) AS first FROM all_lines WHERE length(ln) >= {MIN_CHARS} GROUP BY ln),
+counted AS (SELECT *, length(ln) AS len,
+  {", ".join(f"length(ln) - length(replace(ln, '{c}', '')) AS c{k}" for k, c in enumerate(_LETTERS))} FROM distinct_lines),
+links AS (SELECT a.ln AS ln, b.ln AS other, b.first AS other_first
+  FROM counted a JOIN counted b ON a.len BETWEEN b.len - {THRESHOLD} AND b.len + {THRESHOLD} AND a.ln <> b.ln
+   AND {" + ".join(f"abs(a.c{k} - b.c{k})" for k in range(len(_LETTERS)))} <= {2 * THRESHOLD}
+  WHERE levenshtein(a.ln, b.ln) <= {THRESHOLD}),
+linked AS (SELECT ln, count(*) AS n, min(other_first) AS earlier FROM links GROUP BY ln),
+judged AS (
+  SELECT l.doc_id, l.pos, l.ln, coalesce((l.doc_id, l.pos) <> d.first, false) AS equal, coalesce(k.n, 0) AS n,
+    coalesce((l.doc_id, l.pos) <> d.first OR k.earlier < d.first, false) AS goes
+  FROM all_lines l LEFT JOIN distinct_lines d ON d.ln = l.ln LEFT JOIN linked k ON k.ln = l.ln)
+SELECT doc_id, count(*) FILTER (goes AND equal) AS lines_equal, count(*) FILTER (goes AND NOT equal) AS lines_near,
+  sum(n)::BIGINT AS line_links,
+  sha256(coalesce(string_agg(ln, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS text_sha256
+FROM judged GROUP BY doc_id"""
+
+_OP2 = r"""
+WITH docs AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+              FROM documents),
+groups AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM docs GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM docs JOIN groups USING (text_sha256)"""
+
+_OP8 = r"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+parts AS (SELECT row_number() OVER () AS n, page_id,
+  translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+best AS (SELECT n, arg_max(r_host || r_path, length(r_host || r_path)) AS rule,
+                arg_max(r_verdict, length(r_host || r_path)) AS r_verdict
+  FROM parts JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (n)"""
+
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    plain = f"regexp_replace(lower({text}), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    words = f"' ' || trim(regexp_replace({plain}, {_quoted(_PUNCTUATION)}, ' ', 'g')) || ' '"
+    for other, usual in SPELLINGS:
+        words = f"replace({words}, ' {other} ', ' {usual} ')"
+    return f"sha256(trim({words}))"
+
+
+_OP4 = f"""
+WITH given(licence, t) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}),
+known AS (SELECT {_canonical("t")} AS digest, min(licence) AS licence FROM given GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+lines AS (SELECT n, unnest(string_split(t, chr(10))) AS line FROM docs),
+found AS (SELECT n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+          FROM lines JOIN known ON {_canonical("line")} = digest GROUP BY n)
+SELECT doc_id, {_canonical("t")} AS canonical_sha256, licence, notices
+FROM docs LEFT JOIN known ON {_canonical("t")} = digest LEFT JOIN found USING (n)"""
+
+ORACLES = {"op2_exact": _OP2, "op3_quality": _op3(), "op4_licences": _OP4, "op6_lines": _OP6, "op8_urls": _OP8}

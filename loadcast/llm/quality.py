@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import filter_texts, map_texts
+from .common import filter_texts, map_texts, numbered
 
 #: Largest share of a text's word characters inside n-grams that occur twice or more, by n. Published rules for
 #: web text start at 0.15; these start where the base rule does, so that a short text with one line
@@ -62,7 +61,7 @@ def measure(texts: Sequence[bytes], coverage: dict[int, float] | None = None) ->
     n_words = np.fromiter(map(len, split), np.int64, n)
     words = [w for s in split for w in s]
     owner = np.repeat(np.arange(n), n_words)
-    codes, distinct = pd.factorize(np.array(words, object)) if words else (np.zeros(0, np.int64), [])
+    codes, distinct = numbered(words)
     points = np.fromiter((len(w) if w.isascii() else len(w.decode("utf-8", "replace")) for w in distinct),
                          np.int64, len(distinct))
     chars = points[codes]
