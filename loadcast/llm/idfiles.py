@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import STEP_BYTES, map_arrow, shared_folder, stored
+from .common import map_arrow, shared_folder, stored
 
 SEQUENCE = 2048
 #: Sequences in a record batch of a file.
@@ -131,7 +131,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "d
             size = start = 0
             for i, text in enumerate(texts, 1):
                 size += len(text)
-                if size < STEP_BYTES // 2 and i < len(texts):
+                if size < tokens.STEP_CHARS and i < len(texts):
                     continue
                 ids, n = tokens.end_each(*encoder.encode(texts[start:i]), end_id)
                 sequences.add(ids)

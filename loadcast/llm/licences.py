@@ -58,11 +58,12 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
 )
 #: Spellings that mean the same in a licence, as whole words after punctuation is gone.
-SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
+SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"),
+             ("sub license", "sublicense"),
              ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), ("favour", "favor"),
              ("organisation", "organization"), ("v 2", "version 2"), ("v2", "version 2"), ("v3", "version 3"))
-#: A line that only names the holder of a copyright.
-COPYRIGHT_LINE = r"(?m)^[\x20\t*#/;-]*(?:copyright|\(c\)|©)[^\n]*(?:\n|$)"
+#: A line that only names the holder of a copyright: with its sign, a year or a place to fill in.
+COPYRIGHT_LINE = r"(?m)^[\x20\t*#/;-]*(?:copyright[\x20\t]*(?:\(c\)|©|[0-9]{4}|[<\[])|\(c\)[\x20\t]|©)[^\n]*(?:\n|$)"
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2026}]+"
 
 

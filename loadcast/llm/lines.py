@@ -68,7 +68,7 @@ def within(a: str, b: str, threshold: int) -> Column:
     """Whether two lines are within ``threshold`` edits, by a banded bit-parallel automaton.
 
     Bit d + threshold of a word stands for the diagonal on which ``b`` is d characters ahead of ``a``; word e
-    holds the diagonals that e edits can reach. Every character of ``a`` moves all diagonals at once: a match
+    holds the diagonals that up to e edits can reach. Every character of ``a`` moves all diagonals at once: a match
     stays on its diagonal, a replacement stays and costs one edit, a deletion from ``a`` falls one diagonal
     back, an insertion climbs one without using a character.
     """
@@ -77,7 +77,7 @@ def within(a: str, b: str, threshold: int) -> Column:
     def climb(words: list[Column]) -> list[Column]:
         out = [words[0]]
         for word in words[1:]:
-            out.append(word.bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit((1 << width) - 1)))
+            out.append(word.bitwiseOR(out[-1]).bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit((1 << width) - 1)))
         return out
 
     def packed(words: list[Column]) -> Column:

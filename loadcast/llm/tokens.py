@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 
 import numpy as np
 
 from .common import numbered
 
-#: Distinct words whose ids a process remembers, and the longest of them; others are encoded again.
-REMEMBERED, SHORT = 400_000, 16
+#: Characters of text that one step encodes; a longer single text forms a step alone.
+STEP_CHARS = 6_000_000
 #: Texts in which a space is followed by white space or ends the text; there a token may span words.
-_SPANNING = re.compile(r" (?=[\s\u180e\u200b\ufeff]|\Z)")
+_SPANNING = re.compile(r" (?=[\s᠎​﻿]|\Z)")
 _OPEN: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -20,7 +22,9 @@ class WordEncoder:
 
     Byte-level and word-level pre-tokenizers begin a new token at a space that is followed by anything but white
     space, so the ids of a text are those of its first word and of every other word with its space. Texts with
-    other spacing are encoded whole. Special tokens in a text are found as the library finds them.
+    other spacing are encoded whole. Punctuation at the end of a word is a token of its own, and word-level
+    tokenizers lower-case, so words that differ in these only are encoded once. Special tokens in a text are found
+    as the library finds them.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -30,78 +34,86 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.lead = " " if spaced else ""
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         # byte-level ids that begin with a space, or word-level ids that end a word
         self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and number of ids of each word.
+            self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
+
+    def _split(self, word: str) -> tuple[str, str]:
+        """A word, in lower case where the tokenizer does that, and the punctuation at its end."""
+        core = word.rstrip(string.punctuation)
+        if not core or not core[-1].isalnum() or any(s in word for s in self.special):
+            return word, ""
+        if not self.lead and (core.isascii() or "Σ" not in core and unicodedata.is_normalized("NFC", core)):
+            return core.lower(), word[len(core) :]
+        return core, word[len(core) :]
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the number of ids of each, one call of the library per text."""
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter((i for ids in made for i in ids), np.int64, int(sizes.sum())), sizes
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and the number of ids of each.
 
         Words whose ids show where one begins or ends are joined by spaces and encoded in one call.
         """
         plain = np.fromiter((True if self.lead else w.isalpha() for w in words), bool, len(words))
         some = [w for w, p in zip(words, plain, strict=True) if p]
-        ids = np.array(self._whole(["".join(self.lead + w for w in some) if self.lead else " ".join(some)])[0])
-        marks = np.flatnonzero(self.edge[ids]) if len(ids) else np.zeros(0, np.int64)
+        ids, _ = self._whole(["".join(self.lead + w for w in some) if self.lead else " ".join(some)])
+        marks = np.flatnonzero(self.edge[ids])
         if len(marks) != len(some):
             # a normaliser has split or dropped a letter
             plain[:], some, ids, marks = False, [], ids[:0], marks[:0]
         cuts = np.append(marks, len(ids)) if self.lead else np.append(0, marks + 1)
-        rest = self._whole([self.lead + w for w, p in zip(words, plain, strict=True) if not p])
+        rest, rest_sizes = self._whole([self.lead + w for w, p in zip(words, plain, strict=True) if not p])
         sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         sizes[plain], starts[plain] = np.diff(cuts)[: len(some)], cuts[: len(some)]
-        sizes[~plain] = [len(r) for r in rest]
-        starts[~plain] = len(ids) + np.cumsum(sizes[~plain]) - sizes[~plain]
-        flat = np.concatenate([ids, *rest])
-        return flat[places(starts, sizes)], sizes
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64)
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        sizes[~plain], starts[~plain] = rest_sizes, len(ids) + np.cumsum(rest_sizes) - rest_sizes
+        return np.concatenate([ids, rest])[places(starts, sizes)], sizes
+
+    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words, each put together from its core and its punctuation."""
+        cores, tails = zip(*map(self._split, words), strict=True) if words else ((), ())
+        core_code, core = numbered(cores)
+        tail_code, tail = numbered(tails)
+        ids, sizes = self._words(core)
+        tail_ids, tail_sizes = self._whole(tail)
+        starts = np.cumsum(sizes) - sizes
+        tail_starts = len(ids) + np.cumsum(tail_sizes) - tail_sizes
+        both = np.stack([sizes[core_code], tail_sizes[tail_code]], axis=1)
+        at = np.stack([starts[core_code], tail_starts[tail_code]], axis=1)
+        return np.concatenate([ids, tail_ids])[places(at.ravel(), both.ravel())], both.sum(axis=1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
-        odd = [bool(self.lead and _SPANNING.search(t)) for t in texts]
         words: list[str] = []
         heads: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if odd[i]:
+            if self.lead and _SPANNING.search(text):
                 heads.append(text)
                 continue
-            split = text.split(" ")
+            split = text.split(" ") if self.lead else text.replace("\n", " ").split(" ")
             if self.lead:
                 heads.append(split.pop(0))
             counts[i] = len(split)
             words += split
         codes, distinct = numbered(words)
-        at = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
-        new = np.flatnonzero(at < 0)
-        fresh = [distinct[i] for i in new]
-        ids, sizes = self._encode_words(fresh)
-        base = len(self.starts)
-        at[new] = base + np.arange(len(new))
-        flat = np.concatenate([self.flat, ids])
-        starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        sizes = np.concatenate([self.sizes, sizes])
-        where = at[codes]
-        n = sizes[where]
-        out = flat[places(starts[where], n)]
+        del words
+        flat, sizes = self._distinct(distinct)
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[codes]
         per_text = np.bincount(np.repeat(np.arange(len(texts)), counts), n, len(texts)).astype(np.int64)
-        if len(self.known) < REMEMBERED:
-            self.known.update((w, base + k) for k, w in enumerate(fresh) if len(w) <= SHORT)
-            self.flat, self.starts, self.sizes = flat, starts, sizes
         if not self.lead:
-            return out, per_text
-        first = self._whole(heads)
-        cuts = np.cumsum(per_text)
-        pieces: list[np.ndarray] = []
-        for i, head in enumerate(first):
-            pieces += [head, out[cuts[i] - per_text[i] : cuts[i]]]
-        return (np.concatenate(pieces) if pieces else out), per_text + np.fromiter(map(len, first), np.int64, len(first))
+            return flat[places(starts[codes], n)], per_text
+        # the first word of each text has no space and goes before the others
+        head_ids, head_sizes = self._whole(heads)
+        first = np.cumsum(counts) - counts
+        order = np.insert(starts[codes], first, len(flat) + np.cumsum(head_sizes) - head_sizes)
+        return np.concatenate([flat, head_ids])[places(order, np.insert(n, first, head_sizes))], per_text + head_sizes
 
 
 def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -126,5 +138,4 @@ def encoder(path: str, spaced: bool) -> WordEncoder:
 
 def end_each(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids with ``end_id`` after each text, and the new sizes."""
-    after = np.cumsum(sizes)
-    return np.insert(ids, after, end_id), sizes + 1
+    return np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
