@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import map_arrow, shared_folder, stored
+from .common import byte_texts, map_arrow, shared_folder, stored
 
 SEQUENCE = 2048
 #: Sequences in a record batch of a file.
@@ -78,24 +78,24 @@ class SequenceReader:
         self.reader = pa.ipc.open_file(pa.memory_map(name) if local else system.open_input_file(name))
         self.sequence = self.reader.schema.field("ids").type.list_size
         self.per_batch = self.sequence * BATCH
+        self.number, self.found = -1, None
 
-    def batch(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of one record batch, a view of the file where it is mapped, and its masks."""
-        found = self.reader.get_batch(number)
-        return (found.column(0).flatten().to_numpy(zero_copy_only=True),
-                found.column(1).flatten().to_numpy(zero_copy_only=False))
+    def _ids(self, number: int) -> np.ndarray:
+        """Ids of one record batch, a view of the file where it is mapped."""
+        if number != self.number:
+            self.number, self.found = number, self.reader.get_batch(number)
+        return self.found.column(0).flatten().to_numpy(zero_copy_only=True)
 
     def sequence_at(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of one sequence."""
-        ids, mask = self.batch(number // BATCH)
-        part = slice(number % BATCH * self.sequence, (number % BATCH + 1) * self.sequence)
-        return ids[part], mask[part]
+        place = number % BATCH
+        ids = self._ids(number // BATCH)[place * self.sequence : (place + 1) * self.sequence]
+        return ids, self.found.column(1)[place].values.to_numpy(zero_copy_only=False)
 
     def ids(self, start: int, count: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, in views of one record batch at most."""
         while count:
-            ids, _ = self.batch(start // self.per_batch)
-            part = ids[start % self.per_batch :][:count]
+            part = self._ids(start // self.per_batch)[start % self.per_batch :][:count]
             yield part
             start, count = start + len(part), count - len(part)
 
@@ -127,18 +127,13 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "d
                 sequences = SequenceWriter(sinks[0], sequence, width)
                 schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(sinks[1], schema)
-            texts = batch.column(1).to_pylist()
-            size = start = 0
-            for i, text in enumerate(texts, 1):
-                size += len(text)
-                if size < tokens.STEP_CHARS and i < len(texts):
-                    continue
-                ids, n = tokens.end_each(*encoder.encode(texts[start:i]), end_id)
+            for start, i in tokens.steps(batch.column(1)):
+                ids, n = tokens.end_each(*encoder.encode(byte_texts(batch.column(1).slice(start, i - start))), end_id)
                 sequences.add(ids)
                 index.write_batch(pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, i - start).cast(id_type), pa.array(total + np.cumsum(n) - n),
                      pa.array(n)], schema=schema))
-                total, count, size, start = total + int(n.sum()), count + i - start, 0, i
+                total, count = total + int(n.sum()), count + i - start
         if sinks:
             sequences.close()
             index.close()

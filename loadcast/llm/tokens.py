@@ -5,15 +5,25 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import numbered
 
 #: Characters of text that one step encodes; a longer single text forms a step alone.
-STEP_CHARS = 6_000_000
+STEP_CHARS = 5_000_000
+#: Words in one call of the library, whose results take many times their size.
+CALL = 10_000
 #: Texts in which a space is followed by white space or ends the text; there a token may span words.
 _SPANNING = re.compile(r" (?=[\s᠎​﻿]|\Z)")
+#: Bytes after a space that may begin white space.
+_DOUBTFUL = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the lowest 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _OPEN: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -34,24 +44,28 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.lead = " " if spaced else ""
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         # byte-level ids that begin with a space, or word-level ids that end a word
         self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
 
-    def _split(self, word: str) -> tuple[str, str]:
-        """A word, in lower case where the tokenizer does that, and the punctuation at its end."""
-        core = word.rstrip(string.punctuation)
-        if not core or not core[-1].isalnum() or any(s in word for s in self.special):
-            return word, ""
-        if not self.lead and (core.isascii() or "Σ" not in core and unicodedata.is_normalized("NFC", core)):
-            return core.lower(), word[len(core) :]
-        return core, word[len(core) :]
+    def _split(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """Words, in lower case where the tokenizer does that, and the punctuation at their ends."""
+        cores = [w.rstrip(string.punctuation) for w in words]
+        # only after a letter or number the punctuation is sure to be a token of its own
+        cores = [c if c[-1:].isalnum() else w for c, w in zip(cores, words, strict=True)]
+        tails = [w[len(c) :] for c, w in zip(cores, words, strict=True)]
+        if not self.lead:
+            # lower case before or after normalising is the same for these
+            cores = [c.lower() if c.isascii() or "Σ" not in c and unicodedata.is_normalized("NFC", c) else c
+                     for c in cores]
+        return cores, tails
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the number of ids of each, one call of the library per text."""
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        made = [e.ids for at in range(0, len(texts), CALL)
+                for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         return np.fromiter((i for ids in made for i in ids), np.int64, int(sizes.sum())), sizes
 
@@ -62,7 +76,12 @@ class WordEncoder:
         """
         plain = np.fromiter((True if self.lead else w.isalpha() for w in words), bool, len(words))
         some = [w for w, p in zip(words, plain, strict=True) if p]
-        ids, _ = self._whole(["".join(self.lead + w for w in some) if self.lead else " ".join(some)])
+        parts = [np.zeros(0, np.int64)]
+        for at in range(0, len(some), CALL):
+            few = some[at : at + CALL]
+            joined = "".join(self.lead + w for w in few) if self.lead else " ".join(few)
+            parts.append(np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64))
+        ids = np.concatenate(parts)
         marks = np.flatnonzero(self.edge[ids])
         if len(marks) != len(some):
             # a normaliser has split or dropped a letter
@@ -76,9 +95,10 @@ class WordEncoder:
 
     def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of words, each put together from its core and its punctuation."""
-        cores, tails = zip(*map(self._split, words), strict=True) if words else ((), ())
+        cores, tails = self._split(words)
         core_code, core = numbered(cores)
         tail_code, tail = numbered(tails)
+        del cores, tails
         ids, sizes = self._words(core)
         tail_ids, tail_sizes = self._whole(tail)
         starts = np.cumsum(sizes) - sizes
@@ -87,33 +107,99 @@ class WordEncoder:
         at = np.stack([starts[core_code], tail_starts[tail_code]], axis=1)
         return np.concatenate([ids, tail_ids])[places(at.ravel(), both.ravel())], both.sum(axis=1)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the number of ids of each text."""
-        words: list[str] = []
-        heads: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if self.lead and _SPANNING.search(text):
-                heads.append(text)
-                continue
-            split = text.split(" ") if self.lead else text.replace("\n", " ").split(" ")
-            if self.lead:
-                heads.append(split.pop(0))
-            counts[i] = len(split)
-            words += split
-        codes, distinct = numbered(words)
-        del words
-        flat, sizes = self._distinct(distinct)
+    def _spanning(self, data: np.ndarray, texts: list[bytes], begin: np.ndarray) -> list[int]:
+        """Texts that have to be encoded whole."""
+        found = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if self.lead:
+            space = np.flatnonzero(data[:-8] == 32)
+            doubtful = np.unique(np.searchsorted(begin, space[_DOUBTFUL[data[space + 1]]], side="right") - 1)
+            found += [i for i in doubtful.tolist() if _SPANNING.search(texts[i].decode())]
+        return found
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of UTF-8 texts in one array, and the number of ids of each."""
+        data, begin = _joined(texts)
+        whole = self._spanning(data, texts, begin)
+        heads = [b""] * len(texts)
+        for i in whole:
+            heads[i] = texts[i]
+        if whole:
+            data, begin = _joined([b"" if heads[i] else t for i, t in enumerate(texts)])
+        gap = data == 32 if self.lead else (data == 32) | (data == 10)
+        edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        owner = np.searchsorted(begin, start, side="right") - 1
+        if self.lead:
+            # the first word of a text has no space before it
+            first = start == begin[owner]
+            for i, b in zip(owner[first].tolist(), end[first].tolist(), strict=True):
+                heads[i] = texts[i][: b - int(begin[i])]
+            start, end, owner = start[~first], end[~first], owner[~first]
+        codes, of = distinct_words(data, start, end)
+        raw = data.tobytes()
+        flat, sizes = self._distinct([raw[a:b].decode() for a, b in zip(start[of].tolist(), end[of].tolist(), strict=True)])
         starts = np.cumsum(sizes) - sizes
         n = sizes[codes]
-        per_text = np.bincount(np.repeat(np.arange(len(texts)), counts), n, len(texts)).astype(np.int64)
-        if not self.lead:
-            return flat[places(starts[codes], n)], per_text
-        # the first word of each text has no space and goes before the others
-        head_ids, head_sizes = self._whole(heads)
-        first = np.cumsum(counts) - counts
-        order = np.insert(starts[codes], first, len(flat) + np.cumsum(head_sizes) - head_sizes)
-        return np.concatenate([flat, head_ids])[places(order, np.insert(n, first, head_sizes))], per_text + head_sizes
+        head_ids, head_sizes = self._whole([h.decode() for h in heads])
+        # what is encoded without a space goes before the words
+        at = np.searchsorted(owner, np.arange(len(texts)))
+        order = np.insert(starts[codes], at, len(flat) + np.cumsum(head_sizes) - head_sizes)
+        per_text = np.bincount(owner, n, len(texts)).astype(np.int64) + head_sizes
+        return np.concatenate([flat, head_ids])[places(order, np.insert(n, at, head_sizes))], per_text
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts with a space after each and eight spaces more, and where each text begins."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return np.frombuffer(b" ".join([*texts, b" " * 8]), np.uint8), np.cumsum(sizes) - sizes
+
+
+def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word ``data[start:end]``, equal for equal words, and a place of each distinct word.
+
+    Words are hashed eight bytes at a time and compared with the chosen place of their number; should two words
+    share a hash, all are compared as they are. ``data`` has eight more bytes behind the last word.
+    """
+    size = end - start
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+    def chunks() -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """For each eight bytes the words that reach so far, the place in them, and masks of what is theirs."""
+        live, at = np.arange(len(size)), 0
+        while len(live):
+            left = np.minimum(size[live] - at, 8)
+            yield live, at, _LOW[left]
+            live, at = live[size[live] > at + 8], at + 8
+
+    key = size.astype(np.uint64) * _ODD
+    for live, at, mask in chunks():
+        mixed = (key[live] ^ eight[start[live] + at] & mask) * _ODD
+        key[live] = mixed ^ mixed >> np.uint64(29)
+    order = np.argsort(key)
+    new = np.diff(key[order], prepend=~key[order[:1]]) != 0
+    codes = np.empty(len(key), np.int64)
+    codes[order] = np.cumsum(new) - 1
+    of = order[new]
+    other = of[codes]
+    same = np.array_equal(size, size[other]) and all(
+        np.array_equal(eight[start[live] + at] & mask, eight[start[other[live]] + at] & mask) for live, at, mask in chunks())
+    if not same:
+        raw = data.tobytes()
+        codes, words = numbered([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        of = np.empty(len(words), np.int64)
+        of[codes] = np.arange(len(codes))
+    return codes, of
+
+
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs of texts of about ``STEP_CHARS`` bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + STEP_CHARS, side="right")))
+        yield start, stop
+        start = stop
 
 
 def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

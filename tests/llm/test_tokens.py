@@ -28,12 +28,24 @@ def test_word_encoder_is_the_library(name, spaced):
     plain = Tokenizer.from_file(path)
     encoder = tokens.WordEncoder(path, spaced)
     for texts in (TEXTS, TEXTS[::-1], [], [""]):
-        ids, n = encoder.encode(texts)
+        ids, n = encoder.encode([t.encode() for t in texts])
         cuts = np.cumsum(n)
         assert [ids[c - k : c].tolist() for c, k in zip(cuts, n)] == [
             plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_distinct_words_survive_collisions(monkeypatch):
+    """A multiplier of 0 gives all words one hash."""
+    text = b"a bb ccc a dddddddddd dddddddddd\x00 bb dddddddddd " + b" " * 8
+    data = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(data == 32, prepend=True, append=True))
+    want = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
+    for odd in (tokens._ODD, np.uint64(0)):
+        monkeypatch.setattr(tokens, "_ODD", odd)
+        codes, of = tokens.distinct_words(data, edges[::2], edges[1::2])
+        assert [want[of[c]] for c in codes] == want and len(of) == len(set(want))
+
+
 def test_sentencepiece_is_the_library():
     path = public_tokenizers.path("piece_bpe_32k.model")
     library, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
