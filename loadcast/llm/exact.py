@@ -15,6 +15,8 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # each partition has a store of its own, most of them small: no space set aside on disk
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # one bound for all state of an executor, whatever the number of partitions
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
