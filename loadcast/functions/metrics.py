@@ -21,7 +21,9 @@ EXPECTED_COVERAGE = 0.8
 
 
 def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column whose NaN counts as missing."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(c), c)
 
 
 def _error(y, p) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 from ..series import SeriesSpec
 from . import models, search
-from .ensemble import Ensemble
+from .ensemble import Ensemble, FittedEnsemble
+from .least import FittedLinear
 from .models import FittedModel, read_details
 from .quantile import FittedQuantileModel, QuantileBoosting
 
@@ -48,6 +49,7 @@ def available_models() -> dict[str, dict]:
     return {t: {"name": n, "supports_intervals": t in SUPPORTS_INTERVALS} for t, n in models.NAMES.items()}
 
 
-def load_model(spark: SparkSession, path: str) -> FittedModel | FittedQuantileModel:
+def load_model(spark: SparkSession, path: str) -> FittedLinear | FittedModel | FittedQuantileModel | FittedEnsemble:
     kind = read_details(spark, path)["kind"]
-    return {"pipeline": FittedModel, "quantile": FittedQuantileModel}[kind].load(spark, path)
+    return {"linear": FittedLinear, "pipeline": FittedModel, "quantile": FittedQuantileModel,
+            "ensemble": FittedEnsemble}[kind].load(spark, path)

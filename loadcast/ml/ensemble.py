@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import r2
 from ..operators.chunks import attach
+from ..operators.evaluate import score
 from ..operators.splits import temporal, validation_tail
 from ..series import SeriesSpec
+from .models import read_details, write_details
 
 
 def weights(predictions: DataFrame, y: str, columns: list[str],
@@ -64,6 +66,26 @@ class FittedEnsemble:
         return self._member_predictions(df).withColumns({**shares, "yhat": total}).drop(*names)
 
 
+    def evaluate(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
+        return score(self.transform(df), self.target, "yhat", by)
+
+    def save(self, path: str) -> None:
+        """Every member under its number, and what holds them together."""
+        for i, m in enumerate(self.members):
+            m.save(f"{path}/members/{i}")
+        write_details(SparkSession.active(), path, {
+            "kind": "ensemble", "name": self.name, "feature_names": self.feature_names, "target": self.target,
+            "weights": self.member_weights})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedEnsemble:
+        from . import load_model
+
+        info = read_details(spark, path)
+        members = [load_model(spark, f"{path}/members/{i}") for i in range(len(info["weights"]))]
+        return cls(info["name"], info["feature_names"], members, info["weights"], info["target"])
+
+
 class Ensemble:
     """Fits every member, then weights them by R2 on the last fifth of the rows.
 

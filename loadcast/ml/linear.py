@@ -1,6 +1,6 @@
 """Ridge and elastic net with the penalties of the usual least-squares formulation.
 
-Spark divides the target by its deviation before it applies a penalty; the factors here
+Spark divides the target by its deviation before it applies a penalty; the factors of the elastic net
 undo that, so that alpha means: |y - Xw|^2 + alpha |w|^2 for ridge, and
 |y - Xw|^2 / (2n) + alpha (l1 |w|_1 + (1 - l1) |w|^2 / 2) for the elastic net.
 """
@@ -11,6 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .least import LeastSquares
 from .models import FittedModel, fit_pipeline
 
 # The grids searched.
@@ -24,20 +25,13 @@ def _scale(df: DataFrame, target: str) -> tuple[int, float]:
 
 
 def _regression(reg: float, mix: float) -> LinearRegression:
-    # the exact solver serves ridge; the l1 part needs the iterative one, run to convergence
-    return LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False,
-                            solver="normal" if mix == 0 else "auto", maxIter=1000, tol=1e-12)
+    # the l1 part needs the iterative solver, run to convergence
+    return LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False, maxIter=1000, tol=1e-12)
 
 
-class Ridge:
+class Ridge(LeastSquares):
     def __init__(self, alpha: float = 1.0):
-        self.name, self.alpha = "Ridge", alpha
-
-    def fit(self, df: DataFrame, features: list[str], target: str = "y") -> FittedModel:
-        n, s = _scale(df, target)
-        estimator = _regression(self.alpha * s / n, 0.0)
-        return FittedModel(self.name, list(features), fit_pipeline(df, estimator, features, target),
-                           target, {"alpha": self.alpha})
+        super().__init__("Ridge", alpha)
 
 
 class ElasticNet:

@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.evaluate import score
+from .least import LeastSquares
 
 VECTOR = "_features"
 
@@ -84,9 +85,9 @@ def fit_pipeline(df: DataFrame, estimator, features: list[str], target: str) ->
     return Pipeline(stages=[assembler, configured]).fit(df.select(*dict.fromkeys([*features, target])))
 
 
-def linear() -> Regressor:
-    """Least squares from the normal equations, iterative when features are collinear."""
-    return Regressor(NAMES["linear"], LinearRegression(regParam=0.0, solver="normal"))
+def linear() -> LeastSquares:
+    """Least squares, exact for dependent features too."""
+    return LeastSquares(NAMES["linear"])
 
 
 def random_forest(n_estimators: int = 100, random_state: int = 42, **params) -> Regressor:

@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..series import SeriesSpec, epoch_us, floor_div, q, step_us
+from ..series import SeriesSpec, epoch_us, floor_div, known_us, q, step_us, without_nan
 from ..session import cut_lineage
 
 # Spark's windows keep this many rows of a partition in a plain array; beyond it they spill
 ROWS_IN_WINDOW = 4096
 ROWS_PER_BUCKET = 1 << 20
 BROADCAST_ROWS = 200_000
+BROADCAST_CELLS = 2_000_000
 
 POS, CHUNK, COPY, BUCKET = "_pos", "_chunk", "_copy", "_bucket"
 
@@ -30,13 +31,14 @@ POS, CHUNK, COPY, BUCKET = "_pos", "_chunk", "_copy", "_bucket"
 def attach(df: DataFrame, summary: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
     """Add the columns of a one-row-per-series table to rows of any number.
 
-    The table is stored first, so its size is known: up to ``BROADCAST_ROWS`` series it is
-    broadcast and the rows stay where they are, beyond that both sides are shuffled.
+    The table is stored first, so its size is known: up to ``BROADCAST_ROWS`` rows and ``BROADCAST_CELLS``
+    values it is broadcast and the rows stay where they are, beyond that both sides are shuffled.
     Without keys it is one row and becomes a scalar subquery, so there is no join at all.
     """
     if keys:
         stored = cut_lineage(summary)
-        if stored.count() <= BROADCAST_ROWS:
+        rows = stored.count()
+        if rows <= BROADCAST_ROWS and rows * len(stored.columns) <= BROADCAST_CELLS:
             stored = F.broadcast(stored)
         return df.join(stored, list(keys), "left")
     return beside(df, summary, keys)
@@ -79,13 +81,13 @@ def with_position(df: DataFrame, spec: SeriesSpec, name: str = POS,
                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """0-based row position from the start of each series, as column ``name``."""
     if spec.step:
-        us = epoch_us(df, spec.ts)
+        us = known_us(df, spec)
         start = df.groupBy(*spec.keys).agg(F.min(us).alias("_start"))
         return (attach(df, start, spec.keys)
                 .withColumn(name, floor_div(us - F.col("_start"), step_us(spec.step)))
                 .drop("_start"))
     size = bucket_us(df, spec, rows_per_bucket)
-    bucketed = df.withColumn(BUCKET, floor_div(epoch_us(df, spec.ts), size))
+    bucketed = df.withColumn(BUCKET, floor_div(known_us(df, spec), size))
     before = Window.partitionBy(*spec.keys).orderBy(BUCKET).rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = (bucketed.groupBy(*spec.keys, BUCKET).count()
@@ -103,7 +105,7 @@ def with_place(df: DataFrame, spec: SeriesSpec, position: str, length: str) -> D
     if not spec.step:
         lengths = df.groupBy(*spec.keys).agg(F.count("*").alias(length))
         return attach(with_position(df, spec, position), lengths, spec.keys)
-    us = epoch_us(df, spec.ts)
+    us = known_us(df, spec)
     extent = df.groupBy(*spec.keys).agg(F.min(us).alias("_start"), F.count("*").alias(length))
     return (attach(df, extent, spec.keys)
             .withColumn(position, floor_div(us - F.col("_start"), step_us(spec.step)))
@@ -123,10 +125,11 @@ class Chunks:
         self.halo = halo
         self.rows = max(rows_per_chunk or max(ROWS_IN_WINDOW - halo, 3 * halo), halo, 1)
         self.columns = df.columns
+        df = without_nan(df, [spec.target])
         if POS in df.columns:
             placed = df
         elif spec.step:
-            placed = df.withColumn(POS, floor_div(epoch_us(df, spec.ts), step_us(spec.step)))
+            placed = df.withColumn(POS, floor_div(known_us(df, spec), step_us(spec.step)))
         else:
             placed = with_position(df, spec)
         home = floor_div(F.col(POS), self.rows)

@@ -1,9 +1,8 @@
 """Filling missing values along a series of any length.
 
-Inside a chunk the last known value is a window. What must cross a chunk border is one
-value per column and chunk: a small table of each chunk's first and last known values,
-scanned over the chunks and joined back on (keys, chunk), a key the data is already
-partitioned by.
+Inside a chunk the last known value is a window. The rows filled so far are stored once. What
+must cross a chunk border is one value per column and chunk: a small table of each chunk's
+first and last known values, scanned over the chunks and attached by (keys, chunk).
 """
 
 from __future__ import annotations
@@ -12,9 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..series import SeriesSpec, q
+from ..series import SeriesSpec, floor_div, q, without_nan
+from ..session import keep_table
 from .chunks import CHUNK, Chunks, attach
 
+GROUP = "_group"
+CHUNKS_PER_GROUP = 4096
+
 
 def fill(df: DataFrame, spec: SeriesSpec, columns: list[str], forward: bool = True,
          backward: bool = True, constant: float | None = None,
@@ -35,38 +38,61 @@ def _fill_chunks(df: DataFrame, spec: SeriesSpec, columns: list[str], forward: b
                  backward: bool, constant: float | None) -> DataFrame:
     if not (forward or backward):
         return df if constant is None else df.na.fill(constant, subset=columns)
-    identity = [q(k) for k in (*spec.keys, CHUNK)]
-    order = f"struct({', '.join(map(q, spec.order))})" if spec.tie else q(spec.ts)
-    ends, across = [], []
-    by_chunk = f"({_partition(spec.keys)}ORDER BY {CHUNK} ROWS BETWEEN "
-    before = f"{by_chunk}UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    ahead = f"{by_chunk}{'UNBOUNDED PRECEDING' if forward else '1 FOLLOWING'} AND UNBOUNDED FOLLOWING)"
-    rows = f"(PARTITION BY {', '.join(identity)} ORDER BY {', '.join(map(q, spec.order))} ROWS BETWEEN "
-    nearest = (f"last_value({{0}}) IGNORE NULLS OVER {rows}UNBOUNDED PRECEDING AND CURRENT ROW)" if forward else
-               "last_value({0}) IGNORE NULLS OVER "
-               f"(PARTITION BY {', '.join(identity)} ORDER BY {', '.join(q(c) + ' DESC' for c in spec.order)} "
-               "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    identity = [*spec.keys, CHUNK]
+    direction = "" if forward else " DESC"
+    ordered = ", ".join(q(c) + direction for c in spec.order)
+    rows = f"(PARTITION BY {', '.join(map(q, identity))} ORDER BY {ordered} ROWS UNBOUNDED PRECEDING)"
+    df = without_nan(df, columns)
+    inside = {c: f"last_value({q(c)}) IGNORE NULLS OVER {rows}" for c in columns}
+    within = df.selectExpr(*[f"{inside[c]} AS {q(c)}" if c in inside else q(c) for c in df.columns])
+    # read twice from here on, by the summary and by the result
+    within = keep_table(within, "filled")
+    joined = attach(within, _across(within, spec, columns, forward, backward), identity)
     filled = {}
     for i, name in enumerate(columns):
-        known = f"FILTER (WHERE {q(name)} IS NOT NULL)"
-        choices = [nearest.format(q(name))]
-        if forward:
-            ends.append(F.expr(f"max_by({q(name)}, {order}) {known} AS _last{i}"))
-            across.append(f"last_value(_last{i}) IGNORE NULLS OVER {before} AS _carry{i}")
-            choices.append(f"_carry{i}")
-        if backward:
-            ends.append(F.expr(f"min_by({q(name)}, {order}) {known} AS _first{i}"))
-            across.append(f"first_value(_first{i}) IGNORE NULLS OVER {ahead} AS _head{i}")
-            choices.append(f"_head{i}")
+        choices = [q(name), f"_near{i}"] + ([f"_head{i}"] if forward and backward else [])
         if constant is not None:
             choices.append(f"CAST({constant} AS {df.schema[name].dataType.simpleString()})")
         filled[name] = f"coalesce({', '.join(choices)})"
-    scan = df.groupBy(*spec.keys, CHUNK).agg(*ends).selectExpr(*identity, *across)
-    joined = df.join(scan, [*spec.keys, CHUNK], "left")
     return joined.selectExpr(*[f"{filled[c]} AS {q(c)}" if c in filled else q(c) for c in df.columns])
 
 
-def _partition(keys: tuple[str, ...]) -> str:
+def _across(df: DataFrame, spec: SeriesSpec, columns: list[str], forward: bool, backward: bool) -> DataFrame:
+    """Per chunk what comes from others: the nearest known value before it (after it, if only filling
+    backward) as ``_near<i>``, and the series' first known value as ``_head<i>``.
+
+    The chunks are scanned in two levels, inside groups of chunks and over the groups, so that no task holds
+    all chunks of a long series.
+    """
+    order = f"struct({', '.join(map(q, spec.order))})" if spec.tie else q(spec.ts)
+    pick, direction = ("max_by", "") if forward else ("min_by", " DESC")
+    count = range(len(columns))
+
+    def known(function: str, value: str, by: str, name: str):
+        return F.expr(f"{function}({value}, {by}) FILTER (WHERE {value} IS NOT NULL) AS {name}")
+
+    def scan(part: list[str], by: str) -> list[str]:
+        over = (f"({_partition(part)}ORDER BY {by}{direction} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+        return [f"last_value(_end{i}) IGNORE NULLS OVER {over} AS _near{i}" for i in count]
+
+    ends = [known(pick, q(c), order, f"_end{i}") for i, c in enumerate(columns)]
+    heads = [known("min_by", q(c), order, f"_first{i}") for i, c in enumerate(columns)] if forward and backward else []
+    chunks = keep_table(df.groupBy(*spec.keys, CHUNK).agg(*ends, *heads), "chunks")
+    chunks = chunks.withColumn(GROUP, floor_div(F.col(CHUNK), CHUNKS_PER_GROUP))
+    keys = [*spec.keys, GROUP]
+    groups = chunks.groupBy(*keys).agg(*[known(pick, f"_end{i}", CHUNK, f"_end{i}") for i in count])
+    between = groups.selectExpr(*map(q, keys), *scan(list(spec.keys), GROUP)).withColumnsRenamed(
+        {f"_near{i}": f"_far{i}" for i in count})
+    inner = chunks.selectExpr(*map(q, [*keys, CHUNK]), *scan(keys, CHUNK))
+    out = inner.join(between, keys, "left").selectExpr(
+        *map(q, [*spec.keys, CHUNK]), *[f"coalesce(_near{i}, _far{i}) AS _near{i}" for i in count])
+    if not heads:
+        return out
+    firsts = chunks.groupBy(*spec.keys).agg(*[known("min_by", f"_first{i}", CHUNK, f"_head{i}") for i in count])
+    return attach(out, firsts, spec.keys)
+
+
+def _partition(keys: tuple[str, ...] | list[str]) -> str:
     return f"PARTITION BY {', '.join(map(q, keys))} " if keys else ""
 
 

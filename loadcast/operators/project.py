@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..series import SeriesSpec, epoch_us, floor_div, step_us
+from ..series import SeriesSpec, epoch_us, floor_div, step_us, without_nan
 from .chunks import BUCKET, attach, bucket_us
 
 # Names a target column may arrive under, the physical load limits in MW,
@@ -34,8 +34,8 @@ def resolve_target(df: DataFrame, target: str = "y",
 
 
 def nan_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
-    """NaN means missing on arrival; inside the library missing is always null."""
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+    """NaN means missing on arrival; columns that cannot hold it stay as they are."""
+    return without_nan(df, columns)
 
 
 def clip(column: Column | str, low: float = LOAD_LIMITS[0], high: float = LOAD_LIMITS[1]) -> Column:

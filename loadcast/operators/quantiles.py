@@ -1,8 +1,9 @@
 """Exact quantiles and order statistics without gathering a group.
 
-The values between two known bounds are counted in equal-width bins; the bin that holds
-the wanted rank gives tighter bounds for the next pass. Every pass is an aggregate that
-combines before it shuffles, and a few passes leave a range small enough to sort.
+A mergeable sketch of the values between two known bounds gives tighter bounds for the next
+pass; how many values lie below and between them is then counted. Values are only compared,
+never subtracted, so infinite ones and any range do no harm. Every pass combines before it
+shuffles, and a few passes leave a range small enough to sort.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..series import without_nan
 from ..session import cut_lineage
 from .chunks import BROADCAST_ROWS
 
-BINS = 4096
+#: Parts into which a sketch divides a range, and its accuracy in ranks.
+PARTS, ACCURACY = 256, 4096
 SORT_LIMIT = 1_000_000
 
 
@@ -24,34 +27,42 @@ def _select_ranks(values: DataFrame, ids: list[str], ranks: DataFrame, sort_limi
     # the values stay in place while the bounds are few, which is known by counting them
     few = state.count() <= BROADCAST_ROWS
 
+    def beside(bounds: DataFrame) -> DataFrame:
+        found = values.join(F.broadcast(bounds) if few else bounds, ids)
+        return found.where(F.col("value").between(F.col("lo"), F.col("hi")))
+
     def bounds() -> DataFrame:
-        ranges = state.select(*ids, "lo", "hi").distinct()
-        return F.broadcast(ranges) if few else ranges
+        return state.select(*ids, "lo", "hi").distinct()
 
+    points = F.array(*[F.lit(i / PARTS) for i in range(PARTS + 1)])
+    left = None
     while True:
         widest = state.where(F.col("lo") < F.col("hi")).agg(F.max("inside")).first()[0]
-        if widest is None or widest <= sort_limit:
+        # a range that does not narrow is one of equal values
+        if widest is None or widest <= sort_limit or widest == left:
             break
-        share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-        place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1)))
-        bins = (values.join(bounds(), ids)
-                .where(F.col("value").between(F.col("lo"), F.col("hi")))
-                .groupBy(*ids, "lo", F.coalesce(place, F.lit(0)).alias("bin"))
-                .agg(F.count("*").alias("n"), F.min("value").alias("from"), F.max("value").alias("to")))
-        up_to = Window.partitionBy(*ids, "lo").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        bins = bins.withColumn("end", F.sum("n").over(up_to))
-        state = cut_lineage(
-            state.join(bins, [*ids, "lo"])
-            .where((F.col("rank") >= F.col("below") + F.col("end") - F.col("n"))
-                   & (F.col("rank") < F.col("below") + F.col("end")))
-            .select(*ids, "rank", F.col("from").alias("lo"), F.col("to").alias("hi"),
-                    F.col("n").alias("inside"),
-                    (F.col("below") + F.col("end") - F.col("n")).alias("below")))
-    counted = (values.join(bounds(), ids).where(F.col("value").between(F.col("lo"), F.col("hi")))
-               .groupBy(*ids, "lo", "value").agg(F.count("*").alias("n")))
-    up_to = Window.partitionBy(*ids, "lo").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        left = widest
+        sketch = (beside(bounds()).groupBy(*ids, "lo", "hi")
+                  .agg(F.percentile_approx("value", points, ACCURACY).alias("at")))
+        part = F.floor((F.col("rank") - F.col("below")) / F.col("inside") * PARTS).cast("int")
+        # one part more to each side covers the error of the sketch
+        narrowed = cut_lineage(state.join(sketch, [*ids, "lo", "hi"]).select(
+            *ids, "rank", "lo", "hi", "below", "inside", F.get("at", F.greatest(part - 1, F.lit(0))).alias("from"),
+            F.get("at", F.least(part + 2, F.lit(PARTS))).alias("to")))
+        counted = beside(narrowed.select(*ids, "lo", "hi", "from", "to").distinct()).groupBy(
+            *ids, "lo", "hi", "from", "to").agg(
+            F.count_if(F.col("value") < F.col("from")).alias("less"),
+            F.count_if(F.col("value").between(F.col("from"), F.col("to"))).alias("n"))
+        joined = narrowed.join(counted, [*ids, "lo", "hi", "from", "to"])
+        start = F.col("below") + F.col("less")
+        holds = (F.col("rank") >= start) & (F.col("rank") < start + F.col("n"))
+        state = cut_lineage(joined.select(*ids, "rank", *[
+            F.when(holds, new).otherwise(F.col(old)).alias(old) for old, new in
+            (("lo", F.col("from")), ("hi", F.col("to")), ("inside", F.col("n")), ("below", start))]))
+    counted = beside(bounds()).groupBy(*ids, "lo", "hi", "value").agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy(*ids, "lo", "hi").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     counted = counted.withColumn("end", F.sum("n").over(up_to))
-    return (state.join(counted, [*ids, "lo"])
+    return (state.join(counted, [*ids, "lo", "hi"])
             .where((F.col("rank") >= F.col("below") + F.col("end") - F.col("n"))
                    & (F.col("rank") < F.col("below") + F.col("end")))
             .select(*ids, "rank", "value"))
@@ -65,7 +76,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], levels: dict[str, float],
     A column without any value in a series has no row.
     """
     ids = [*keys, "column"]
-    wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    wide = without_nan(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), columns)
     values = wide.unpivot(list(keys), columns, "column", "value").where(F.col("value").isNotNull())
     stats = values.groupBy(*ids).agg(
         F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -86,7 +97,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], levels: dict[str, float],
     out = []
     for name, h in positions.items():
         low, high = F.col("_at")[F.floor(h)], F.col("_at")[F.ceil(h)]
-        out.append((low + (high - low) * (h - F.floor(h))).alias(name))
+        # no arithmetic between equal ends: infinite values have no difference
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h))).alias(name))
     return joined.select(*ids, *out)
 
 
@@ -98,6 +110,7 @@ def value_at_rank(df: DataFrame, value: str, rank: DataFrame, keys: tuple[str, .
     """
     ids = [*keys, "column"]
     values = df.select(*keys, F.lit(value).alias("column"), F.col(value).cast("double").alias("value"))
+    values = without_nan(values, ["value"])
     values = values.where(F.col("value").isNotNull())
     stats = values.groupBy(*ids).agg(
         F.count("*").alias("inside"), F.min("value").alias("lo"), F.max("value").alias("hi"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..series import DAY_US, SeriesSpec, epoch_us, floor_div, from_epoch_us, step_us
+from ..series import DAY_US, SeriesSpec, epoch_us, floor_div, from_epoch_us, step_us, without_nan
 from .chunks import BUCKET, attach, beside, bucket_us
 
 BINS_PER_BLOCK = 65536
@@ -53,13 +53,12 @@ def resample(df: DataFrame, spec: SeriesSpec, step: str,
     size = step_us(step)
     keys = list(spec.keys)
     us = epoch_us(df, spec.ts)
-    raw = df.select(*keys, *dict.fromkeys([*spec.order, *wanted]), us.alias("_us"))
+    raw = without_nan(df, list(wanted)).select(*keys, *dict.fromkeys([*spec.order, *wanted]), us.alias("_us"))
     raw = raw.where(F.col("_us").isNotNull())
-    origin: Column = F.lit(0).cast("long")
+    origin = _origin(size)
     ends = raw.groupBy(*keys).agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
     if DAY_US % size:
         raw = attach(raw, ends.select(*keys, "_lo"), keys)
-        origin = floor_div(F.col("_lo"), DAY_US) * DAY_US
     raw = raw.withColumn("_start", origin + floor_div(F.col("_us") - origin, size) * size)
     values = [c for c in raw.columns if c not in (*keys, "_us", "_lo", "_start")]
     rows = raw.select(*keys, "_start", *values)
@@ -73,6 +72,11 @@ def resample(df: DataFrame, spec: SeriesSpec, step: str,
     return binned.select(*keys, from_epoch_us(df, spec.ts, F.col("_start")).alias(spec.ts), *wanted)
 
 
+def _origin(size: int) -> Column:
+    """Where the bins of a series start to count: midnight of its first day, at ``_lo``, if they do not divide a day."""
+    return floor_div(F.col("_lo"), DAY_US) * DAY_US if DAY_US % size else F.lit(0).cast("long")
+
+
 def _bin_starts(ends: DataFrame, keys: list[str], size: int, origin: Column) -> DataFrame:
     """Every bin start between ``_lo`` and ``_hi``: first blocks of bins, spread over the
     cluster, then the bins of each block."""
@@ -88,27 +92,39 @@ def _bin_starts(ends: DataFrame, keys: list[str], size: int, origin: Column) ->
 
 
 def spine(df: DataFrame, spec: SeriesSpec, step: str) -> DataFrame:
-    """The time stamps of the gap-free grid each series spans, without values."""
+    """The time stamps of the gap-free grid each series spans, without values: the bins of ``resample``."""
     us = epoch_us(df, spec.ts)
     ends = df.groupBy(*spec.keys).agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))
-    starts = _bin_starts(ends, list(spec.keys), step_us(step), F.lit(0).cast("long"))
+    starts = _bin_starts(ends, list(spec.keys), step_us(step), _origin(step_us(step)))
     return starts.select(*spec.keys, from_epoch_us(df, spec.ts, F.col("_start")).alias(spec.ts))
 
 
 def on_spine(df: DataFrame, spec: SeriesSpec, step: str) -> DataFrame:
-    """Put the rows of a series on its gap-free grid; missing stamps get null values."""
-    return spine(df, spec, step).join(df, [*spec.keys, spec.ts], "left")
-
+    """Put the rows of a series on its gap-free grid; missing stamps get null values.
 
-def horizon_steps(horizon: int, unit: str = "hours") -> int:
-    """Length of a forecast in hourly steps; at most 168 hours or 14 days."""
-    limits = {"hours": (168, 1), "days": (14, 24)}
-    if unit not in limits:
+    A row off the grid is an error, as no place on it is its own: ``resample`` bins such rows. Rows without a
+    time stamp are left out.
+    """
+    size, keys = step_us(step), list(spec.keys)
+    rows = df.withColumn("_us", epoch_us(df, spec.ts)).where(F.col("_us").isNotNull())
+    if DAY_US % size:
+        rows = attach(rows, rows.groupBy(*keys).agg(F.min("_us").alias("_lo")), keys)
+    on_grid = F.pmod(F.col("_us") - _origin(size), F.lit(size).cast("long")) == 0
+    stamp = F.when(on_grid, F.col(spec.ts)).otherwise(
+        F.raise_error(F.lit(f"rows lie off the grid of {step}; resample them first")))
+    checked = rows.withColumn(spec.ts, stamp).select(*df.columns)
+    return spine(df, spec, step).join(checked, [*keys, spec.ts], "left")
+
+
+def horizon_steps(horizon: int, unit: str = "hours", most: dict[str, int] | None = None) -> int:
+    """Length of a forecast in hourly steps, given in hours or days; ``most`` may limit either."""
+    factors = {"hours": 1, "days": 24}
+    if unit not in factors:
         raise ValueError(f"unit must be hours or days, not {unit!r}")
-    most, factor = limits[unit]
-    if not 1 <= horizon <= most:
-        raise ValueError(f"horizon must be 1 to {most} {unit}")
-    return horizon * factor
+    limit = (most or {}).get(unit)
+    if horizon < 1 or (limit is not None and horizon > limit):
+        raise ValueError(f"horizon must be at least 1{f' and at most {limit}' if limit else ''} {unit}")
+    return horizon * factors[unit]
 
 
 def future(last: DataFrame, spec: SeriesSpec, horizon: int, step: str = "1 hour") -> DataFrame:

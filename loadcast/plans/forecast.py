@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..ml import create_model
+from ..ml import create_model, load_model
 from ..operators.project import fill_constant, fixed_interval, last_row, tail
 from ..operators.resample import future
 from ..series import SeriesSpec
 from ..session import cut_lineage
+from ..sources.store import latest_model
 from .features import basic, feature_names, model_table
 
-TRAINING_ROWS = 1000
 MODEL_VERSION = "1.0"
 OUTPUT = ["yhat", "model_name", "model_version"]
 
@@ -66,13 +66,28 @@ def _finished(rows: DataFrame, spec: SeriesSpec, with_intervals: bool, model_nam
 
 def train_and_forecast(df: DataFrame, spec: SeriesSpec, model_type: str = "linear",
                        horizon: int = 24, step: str = "1 hour", with_intervals: bool = False,
-                       training_rows: int | None = TRAINING_ROWS, **params) -> DataFrame:
-    """Features, a model fitted on each series' newest rows, and its forecast.
+                       training_rows: int | None = None, **params) -> DataFrame:
+    """Features, a model fitted on them, and its forecast for every series.
 
-    The features are stored once: fitting reads them several times.
+    ``training_rows`` keeps the newest rows of each series for the fit; by default all count. The features are
+    stored once: fitting reads them several times.
     """
     features = cut_lineage(basic(df, spec))
     names = feature_names(features, spec)
     recent = tail(features, spec, training_rows) if training_rows else features
     model = create_model(model_type, **params).fit(model_table(recent, spec, names), names, spec.target)
     return forecast(features, spec, model.transform, horizon, step, with_intervals, model.name, names)
+
+
+def forecast_latest(df: DataFrame, spec: SeriesSpec, runs: DataFrame | None, model_type: str = "linear",
+                    horizon: int = 24, step: str = "1 hour", with_intervals: bool = False, **options) -> DataFrame:
+    """Forecast with the newest saved model of a type; train one only if there is none.
+
+    ``runs`` is the table of trained models, as ``sources.store`` keeps it.
+    """
+    newest = latest_model(runs, model_type).first() if runs is not None else None
+    if newest is None:
+        return train_and_forecast(df, spec, model_type, horizon, step, with_intervals, **options)
+    model = load_model(df.sparkSession, newest["path"])
+    predict = model.predict_median if hasattr(model, "predict_median") else model.transform
+    return forecast(basic(df, spec), spec, predict, horizon, step, with_intervals, model.name, model.feature_names)

@@ -95,3 +95,14 @@ def floor_div(a: Column, b: int) -> Column:
     """Integer floor division, exact for negative ``a`` too."""
     width = F.lit(b).cast("long")
     return F.call_function("div", a - F.pmod(a, width), width)
+
+
+def without_nan(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NaN means missing; inside the library missing is always null."""
+    real = [c for c in columns if c in df.columns and isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(F.col(q(c))), F.col(q(c))) for c in real}) if real else df
+
+
+def known_us(df: DataFrame, spec: SeriesSpec) -> Column:
+    """``epoch_us`` of the time column; a row without a time stamp has no place in its series and is an error."""
+    return F.coalesce(epoch_us(df, spec.ts), F.raise_error(F.lit(f"null in time column {spec.ts}")).cast("long"))

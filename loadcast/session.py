@@ -22,6 +22,8 @@ def build_session(app_name: str = "loadcast", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # checkpoints go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # wide feature plans compile more classes than the default cache of 100 holds
         "spark.sql.codegen.cache.maxEntries": "2000",
     }
@@ -57,3 +59,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder; the files outlive executors."""
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: computed once, read by column."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

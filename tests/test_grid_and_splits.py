@@ -47,7 +47,8 @@ def test_spine_of_many_blocks(spark, monkeypatch):
 
 def test_horizon_limits():
     assert resample.horizon_steps(3, "days") == 72 and resample.horizon_steps(168) == 168
-    for bad in ((169, "hours"), (15, "days"), (0, "hours"), (1, "weeks")):
+    assert resample.horizon_steps(40, "days") == 960
+    for bad in ((0, "hours"), (1, "weeks"), (169, "hours", {"hours": 168}), (15, "days", {"days": 14})):
         with pytest.raises(ValueError):
             resample.horizon_steps(*bad)
 
