@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,9 @@ import pyarrow.compute as pc
 from .common import numbered
 
 #: Characters of text that one step encodes; a longer single text forms a step alone.
-STEP_CHARS = 5_000_000
+STEP_CHARS = 8_000_000
+#: Words in a generation of remembered ones, and the longest of them.
+REMEMBERED, SHORT = 100_000, 14
 #: Words in one call of the library, whose results take many times their size.
 CALL = 10_000
 #: Texts in which a space is followed by white space or ends the text; there a token may span words.
@@ -22,6 +24,7 @@ _SPANNING = re.compile(r" (?=[\s᠎​﻿]|\Z)")
 #: Bytes after a space that may begin white space.
 _DOUBTFUL = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_PUNCTUATION = string.punctuation.encode()
 #: Masks of the lowest 0 to 8 bytes.
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _OPEN: dict[tuple[str, bool], "WordEncoder"] = {}
@@ -49,18 +52,23 @@ class WordEncoder:
         self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
-
-    def _split(self, words: list[str]) -> tuple[list[str], list[str]]:
-        """Words, in lower case where the tokenizer does that, and the punctuation at their ends."""
-        cores = [w.rstrip(string.punctuation) for w in words]
-        # only after a letter or number the punctuation is sure to be a token of its own
-        cores = [c if c[-1:].isalnum() else w for c, w in zip(cores, words, strict=True)]
-        tails = [w[len(c) :] for c, w in zip(cores, words, strict=True)]
-        if not self.lead:
-            # lower case before or after normalising is the same for these
-            cores = [c.lower() if c.isascii() or "Σ" not in c and unicodedata.is_normalized("NFC", c) else c
-                     for c in cores]
-        return cores, tails
+        # ids of words seen lately, in two generations: the older one goes when the newer one is full
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _split(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word, in lower case where the tokenizer does that, and the punctuation at its end."""
+        core = word.rstrip(_PUNCTUATION)
+        tail = word[len(core) :]
+        if word.isascii():
+            # only after a letter or number the punctuation is sure to be a token of its own
+            return (core if self.lead else core.lower(), tail) if core[-1:].isalnum() else (word, b"")
+        text = core.decode()
+        if not text[-1:].isalnum():
+            return word, b""
+        # lower case before or after normalising is the same for these
+        lower = not self.lead and "Σ" not in text and unicodedata.is_normalized("NFC", text)
+        return text.lower().encode() if lower else core, tail
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the number of ids of each, one call of the library per text."""
@@ -93,19 +101,42 @@ class WordEncoder:
         sizes[~plain], starts[~plain] = rest_sizes, len(ids) + np.cumsum(rest_sizes) - rest_sizes
         return np.concatenate([ids, rest])[places(starts, sizes)], sizes
 
-    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and sizes of words, each put together from its core and its punctuation."""
-        cores, tails = self._split(words)
-        core_code, core = numbered(cores)
-        tail_code, tail = numbered(tails)
-        del cores, tails
-        ids, sizes = self._words(core)
-        tail_ids, tail_sizes = self._whole(tail)
-        starts = np.cumsum(sizes) - sizes
-        tail_starts = len(ids) + np.cumsum(tail_sizes) - tail_sizes
-        both = np.stack([sizes[core_code], tail_sizes[tail_code]], axis=1)
-        at = np.stack([starts[core_code], tail_starts[tail_code]], axis=1)
-        return np.concatenate([ids, tail_ids])[places(at.ravel(), both.ravel())], both.sum(axis=1)
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit numbers."""
+        ids, sizes = self._words(words)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _lookup(self, words: list[bytes], make: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """Ids of each word, made for those only that were not seen lately."""
+        recent, older = self.recent, self.older
+        found = list(map(recent.get, words))
+        at = [i for i, ids in enumerate(found) if ids is None]
+        old = [older.get(words[i]) for i in at]
+        missing = [words[i] for i, ids in zip(at, old, strict=True) if ids is None]
+        made = iter(make(missing))
+        for i, ids in zip(at, old, strict=True):
+            found[i] = next(made) if ids is None else ids
+        recent.update((words[i], found[i]) for i in at if len(words[i]) <= SHORT)
+        return found
+
+    def _from_cores(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, each put together from its core and its punctuation."""
+        split = list(map(self._split, words))
+        code, cores = numbered([core for core, _ in split])
+        tail_code, tails = numbered([tail for _, tail in split])
+        ids = self._lookup(cores, lambda some: self._encoded([w.decode() for w in some]))
+        tail_ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(
+            [t.decode() for t in tails], add_special_tokens=False)] if tails else []
+        return [ids[c] + tail_ids[t] for c, t in zip(code.tolist(), tail_code.tolist(), strict=True)]
+
+    def _distinct(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and the number of ids of each."""
+        found = self._lookup(words, self._from_cores)
+        if len(self.recent) > REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        return (np.frombuffer(b"".join(found), "<u4").astype(np.int64),
+                np.fromiter(map(len, found), np.int64, len(found)) // 4)
 
     def _spanning(self, data: np.ndarray, texts: list[bytes], begin: np.ndarray) -> list[int]:
         """Texts that have to be encoded whole."""
@@ -137,7 +168,7 @@ class WordEncoder:
             start, end, owner = start[~first], end[~first], owner[~first]
         codes, of = distinct_words(data, start, end)
         raw = data.tobytes()
-        flat, sizes = self._distinct([raw[a:b].decode() for a, b in zip(start[of].tolist(), end[of].tolist(), strict=True)])
+        flat, sizes = self._distinct([raw[a:b] for a, b in zip(start[of].tolist(), end[of].tolist(), strict=True)])
         starts = np.cumsum(sizes) - sizes
         n = sizes[codes]
         head_ids, head_sizes = self._whole([h.decode() for h in heads])
