@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 from .common import shared_folder, stored
 from .filters import bitmap_of, maybe_in
 
+#: Parts into which the rows of a very frequent digest are dealt.
+SALTS = 64
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
@@ -108,12 +110,17 @@ class ExactDedup:
                          bitmap_of(hits, "file", "row"), "file", "row")
         content = again.withColumn("content", normalised(F.col("t"))).withColumn(
             "digest", F.unhex(self.digest(F.col("content")))).drop("t")
-        compared = content.join(many, "digest").withColumn("is_first", place == F.col("first"))
-        first = (content.join(many.select("first.file", "first.row"), ["file", "row"], "left_semi")
-                 .select("digest", F.col("content").alias("first_content")))
-        differing = stored(compared.where("NOT is_first").join(first, "digest")
-                           .where("content <> first_content").select("digest", "content", "doc_id", "file", "row"),
-                           "differing")
+        # a digest with over a thousandth of all rows, of which there are under a thousand, is spread over salts
+        hot = F.broadcast(many.where(F.col("group_size") > thin.count() / 1000).select("digest", F.lit(True).alias("hot")))
+        zero, parts = F.lit(0).cast("bigint"), F.lit(SALTS).cast("bigint")
+        salted = content.join(hot, "digest", "left").withColumn(
+            "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("file", "row"), parts)).otherwise(zero))
+        salted = stored(salted, "contents")
+        salts = F.when(F.col("hot"), F.sequence(zero, parts - 1)).otherwise(F.array(zero))
+        first = (salted.join(many.select("first.file", "first.row"), ["file", "row"], "left_semi")
+                 .select("digest", F.explode(salts).alias("salt"), F.col("content").alias("first_content")))
+        differing = stored(salted.join(first, ["digest", "salt"]).where("content <> first_content")
+                           .select("digest", "content", "doc_id", "file", "row"), "differing")
         if differing.isEmpty():
             return grouped.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
                                   (place == F.col("first")).alias("kept"), "digest")
