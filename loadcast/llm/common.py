@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,7 +18,7 @@ from pyspark.sql.types import StructType
 from ..session import shared_folder
 
 #: Bytes of text that one step of an Arrow operator works on; a longer single text forms a step alone.
-STEP_BYTES = 16_000_000
+STEP_BYTES = 4_000_000
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:
@@ -25,16 +26,15 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[slice]:
-    """Consecutive slices of ``texts`` of about ``limit`` bytes, one text at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[slice]:
+    """Consecutive slices of texts of about ``limit`` bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield slice(start, stop)
+        start = stop
 
 
 def numbered(words: Sequence) -> tuple[np.ndarray, list]:
@@ -63,13 +63,10 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable, fields:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_texts(batch.column(1))
-            for part in steps(texts):
-                made = work(texts[part])
-                names = [f.split()[0] for f in fields.split(", ")]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, part.stop - part.start), *map(pa.array, made)],
-                    ["doc_id", *names])
+            for part in steps(batch.column(1)):
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, work(byte_texts(rows.column(1))))],
+                                                 ["doc_id", *[f.split()[0] for f in fields.split(", ")]])
 
     return map_arrow(rows, run, f"doc_id {kind}, {fields}")
 
@@ -84,9 +81,9 @@ def filter_texts(df: DataFrame, text_col: str, keep: Callable) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_texts(batch.column(place))
-            mask = [bool(x) for part in steps(texts) for x in keep(texts[part])]
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            for part in steps(batch.column(place)):
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield rows.filter(pa.array([bool(x) for x in keep(byte_texts(rows.column(place)))], pa.bool_()))
 
     return map_arrow(df, run, df.schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import byte_texts, map_arrow, shared_folder, stored
+from .common import byte_texts, map_arrow, shared_folder, steps, stored
 
 SEQUENCE = 2048
 #: Sequences in a record batch of a file.
@@ -127,13 +127,14 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "d
                 sequences = SequenceWriter(sinks[0], sequence, width)
                 schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(sinks[1], schema)
-            for start, i in tokens.steps(batch.column(1)):
-                ids, n = tokens.end_each(*encoder.encode(byte_texts(batch.column(1).slice(start, i - start))), end_id)
+            for part in steps(batch.column(1), tokens.STEP_BYTES):
+                rows = batch.slice(part.start, part.stop - part.start)
+                ids, n = tokens.end_each(*encoder.encode(byte_texts(rows.column(1))), end_id)
                 sequences.add(ids)
                 index.write_batch(pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, i - start).cast(id_type), pa.array(total + np.cumsum(n) - n),
+                    [rows.column(0).cast(id_type), pa.array(total + np.cumsum(n) - n),
                      pa.array(n)], schema=schema))
-                total, count = total + int(n.sum()), count + i - start
+                total, count = total + int(n.sum()), count + len(n)
         if sinks:
             sequences.close()
             index.close()

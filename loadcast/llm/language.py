@@ -30,6 +30,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _words(text: str) -> list[str]:
+    """Runs of letters in lower case. Raised and Roman numbers look like letters to the pattern, but do not count."""
+    found = _WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def _hash(kind: int, parts: list[np.ndarray]) -> np.ndarray:
     key = np.full(len(parts[0]), kind + 1, np.uint64)
     for p in parts:
@@ -117,7 +125,7 @@ class Crf:
 
     def label(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[str]], np.ndarray]:
         """Marginals of all words, the words of each text, and the number of words of each text."""
-        words = [_WORD.findall(t.decode("utf-8", "replace").lower()) for t in texts]
+        words = [_words(t.decode("utf-8", "replace")) for t in texts]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         codes, distinct = numbered([w for s in words for w in s])
         if not len(codes):
@@ -162,7 +170,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, run: int = 12, step
     size = len(labels)
     pools: list[list[str]] = [[] for _ in labels]
     for text, lang in sorted(zip(texts, langs, strict=True)):
-        pools[labels.index(lang)] += _WORD.findall(text.lower())
+        pools[labels.index(lang)] += _words(text)
     lexicon: dict[str, int] = {}
     for k, pool in enumerate(pools):
         counts = Counter(pool)

@@ -8,13 +8,11 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 from .common import numbered
 
-#: Characters of text that one step encodes; a longer single text forms a step alone.
-STEP_CHARS = 8_000_000
+#: Bytes of text that one step encodes: larger steps repeat fewer words.
+STEP_BYTES = 5_000_000
 #: Words in a generation of remembered ones, and the longest of them.
 REMEMBERED, SHORT = 100_000, 14
 #: Words in one call of the library, whose results take many times their size.
@@ -222,17 +220,6 @@ def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return codes, of
 
 
-def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Starts and ends of runs of texts of about ``STEP_CHARS`` bytes, one text at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(ends):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + STEP_CHARS, side="right")))
-        yield start, stop
-        start = stop
-
-
 def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``s, s + 1, ..., s + n - 1`` for every start and size, one after the other."""
     some = sizes > 0

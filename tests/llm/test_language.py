@@ -70,11 +70,11 @@ def test_code_switched_text(docs, model):
 
 
 def test_edges(spark, model):
-    rows = edge.documents() + [edge.row(600, "123 456 !!"), edge.row(601, "中文")]
+    rows = edge.documents() + [edge.row(600, "123 456 !!"), edge.row(601, "中文"), edge.row(602, "² ½ Ⅷ _ ٣")]
     found = language.language(edge.frame(spark, rows), model).collect()
     assert len(found) == len(rows)
     by = {r.doc_id: r for r in found}
-    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (100, 102, 103, 600))
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (100, 102, 103, 600, 602))
     assert by[601].lang_pred in model.labels
     assert language.language(edge.frame(spark, []), model).count() == 0
 
