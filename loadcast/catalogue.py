@@ -6,6 +6,7 @@ gap-free grid, and daily order totals as one series without keys.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,12 @@ from .functions import calendar as cal
 from .functions import metrics as M
 from .ml import create_model, load_model
 from .ml import ensemble, scale, select
-from .ml.linear import ElasticNet, Ridge
+from .ml.linear import RIDGE_GRID, ElasticNet, Ridge
+from .ml.quantile import quantile_name
 from .ml.search import GridSearch
 from .operators import evaluate as ev
 from .operators import ewma, fairness as fair, fill, profile, project, resample, splits, windows
-from .operators.chunks import Chunks, with_position
+from .operators.chunks import Chunks, beside, with_position
 from .operators.quantiles import exact_quantiles
 from .plans import audit, features, forecast
 from .series import SeriesSpec, add, q
@@ -212,6 +214,23 @@ def on_spine(spark, d):
     return presented(resample.on_spine(sparse, HOURLY, "1 hour"))
 
 
+def resample_nan(spark, d):
+    """Values that arrive as NaN are missing, not the largest."""
+    holes = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    grid = resample.resample(table(spark, d, "events").withColumn("value", holes), EVENTS, "1 hour", "max")
+    return presented(grid)
+
+
+def by_time(spark, d):
+    return presented(project.by_time(hourly(spark, d, "mean"), HOURLY))
+
+
+def on_spine_odd(spark, d):
+    """Bins of 100 minutes and their spine start at the same midnight."""
+    binned = resample.resample(table(spark, d, "events"), EVENTS, "100 minutes", "sum")
+    return presented(resample.on_spine(binned, EVENTS, "100 minutes"))
+
+
 def daily_rollup(spark, d):
     h = hourly(spark, d, "mean").withColumns(project.fixed_interval("y"))
     return presented(resample.rollup(h, HOURLY, "daily", ["y", "yhat_lower", "yhat_upper"]))
@@ -322,7 +341,8 @@ def split_gap(spark, d):
 
 
 def split_random(spark, d):
-    return presented(splits.random(table(spark, d, "events"), EVENTS).groupBy("event_type", "split").count())
+    drawn = splits.random(table(spark, d, "events"), EVENTS)
+    return drawn.where(F.col("split") == "test").select("event_type", "event_id")
 
 
 def folds(spark, d):
@@ -374,6 +394,10 @@ def metrics_quantile(spark, d):
     return presented(ev.score_quantiles(predictions(spark, d), "y", ["q10", "q50", "q90"], ["event_type"]))
 
 
+def quantile_leaderboard(spark, d):
+    return presented(audit.quantile_leaderboard(predictions(spark, d), ["q10", "q50", "q90"], by="event_type"))
+
+
 def metrics_interval(spark, d):
     return presented(ev.score_interval(predictions(spark, d), "y", "q10", "q90"))
 
@@ -500,9 +524,12 @@ def f_scores(spark, d):
 
 
 def feature_selection(spark, d):
+    """The features of the forest and the F scores; the names depend on the trees, their number does not."""
     rows, names = daily_model_table(spark, d)
-    chosen = select.select(rows, names, max_features=3, numTrees=10, maxDepth=5)
-    return presented(rows.select("ts", "y", *chosen))
+    chosen = select.select(rows, names, max_features=3)
+    counted = rows.select("ts", "y", *chosen).agg(F.count("*").alias("n_rows"))
+    return counted.withColumns({"n_chosen": F.lit(len(chosen)).cast("bigint"),
+                                "all_given": F.lit(set(chosen) <= set(names))})
 
 
 def simple_ols(spark, d):
@@ -533,7 +560,7 @@ def elastic_net(spark, d):
 
 
 def grid_search(spark, d):
-    search = GridSearch("Enhanced Ridge", Ridge, [{"alpha": a} for a in (0.1, 100.0, 10000.0)], HOURLY)
+    search = GridSearch("Enhanced Ridge", Ridge, RIDGE_GRID, HOURLY)
     search.fit(_wave(spark, d), ["hour_cos"])
     rows = [(r["params"]["alpha"], r["mean_mse"], r["params"] == search.best_params) for r in search.results]
     return presented(spark.createDataFrame(rows, "alpha double, mean_mse double, best boolean"))
@@ -551,29 +578,64 @@ def contributions(spark, d):
 
 
 def random_forest(spark, d):
+    """Means of means: no prediction leaves the range of the target."""
     rows, names = daily_model_table(spark, d)
-    fitted = create_model("random_forest", n_estimators=20, maxDepth=6).fit(rows, names)
-    return presented(fitted.transform(rows).select("ts", "y", "yhat"))
+    predicted = create_model("random_forest").fit(rows, names).transform(rows)
+    ends = rows.agg(F.min("y").alias("_lo"), F.max("y").alias("_hi"))
+    return presented(beside(predicted, ends, ()).select("ts", "y", F.col("yhat").between(
+        F.col("_lo") - 1e-9, F.col("_hi") + 1e-9).alias("in_range")))
 
 
 def gradient_boosting(spark, d):
+    """Boosted trees explain more of the target than its mean does."""
     rows, names = daily_model_table(spark, d)
-    fitted = create_model("lightgbm", maxIter=10).fit(rows, names)
-    return presented(fitted.transform(rows).select("ts", "y", "yhat"))
+    scores = create_model("lightgbm").fit(rows, names).evaluate(rows)
+    return scores.select(F.col("n_scored").alias("n_rows"), (F.col("r2") > 0).alias("better_than_mean"))
+
+
+def boosted_stump(spark, d):
+    """One tree of one split on a yes-or-no feature predicts the means of the two groups."""
+    rows = daily(spark, d).withColumn("weekend", cal.is_weekend(F.col("ts")).cast("int"))
+    fitted = create_model("gradient_boosting", maxIter=1, maxDepth=1).fit(rows, ["weekend"])
+    return presented(fitted.transform(rows).select("ts", "yhat"), 2)
 
 
 def quantile_boosting(spark, d):
+    """Each boosted quantile loses less than the plain quantile of the target."""
     rows, names = daily_model_table(spark, d)
-    model = create_model("gradient_boosting_quantile", n_estimators=5, max_depth=3, learning_rate=0.3)
-    return presented(model.fit(rows, names).transform(rows).select("ts", "y", "q10", "q50", "q90"))
+    model = create_model("gradient_boosting_quantile").fit(rows, names)
+    quantiles = {quantile_name(p): p for p in model.quantiles}
+    plain = rows.agg(*[F.percentile("y", p).alias(f"_{n}") for n, p in quantiles.items()])
+    both = beside(model.transform(rows).select("y", *quantiles), plain, ())
+    losses = both.agg(*[e for n, p in quantiles.items() for e in (
+        M.pinball("y", n, p).alias(n), M.pinball("y", f"_{n}", p).alias(f"_{n}"))])
+    return losses.select(F.explode(F.array(*[F.struct(F.lit(n).alias("quantile"), (
+        F.col(n) < F.col(f"_{n}")).alias("better")) for n in quantiles])).alias("r")).select("r.*")
+
+
+def _ensemble(rows: DataFrame, names: list[str]):
+    return create_model("ensemble", spec=DAILY, members=[create_model("linear"), create_model("random_forest")]).fit(
+        rows, names)
 
 
 def ensemble_forecast(spark, d):
+    """The members' shares add up to the forecast, and the weights to one."""
     rows, names = daily_model_table(spark, d)
-    members = [create_model("linear"), create_model("random_forest", n_estimators=10, maxDepth=5)]
-    fitted = create_model("ensemble", spec=DAILY, members=members).fit(rows, names)
-    return presented(fitted.contributions(rows).select(
-        "ts", "yhat", *[F.col(f"`{m.name}`") for m in fitted.members]))
+    fitted = _ensemble(rows, names)
+    shares = sum((F.col(f"`{m.name}`") for m in fitted.members[1:]), F.col(f"`{fitted.members[0].name}`"))
+    one = F.lit(abs(sum(fitted.member_weights) - 1) < 1e-9 and min(fitted.member_weights) >= 0)
+    return fitted.contributions(rows).select("ts", (F.abs(shares - F.col("yhat")) < 1e-9).alias("adds_up"),
+                                             one.alias("weights_are_shares"))
+
+
+def ensemble_round_trip(spark, d):
+    rows, names = daily_model_table(spark, d)
+    fitted = _ensemble(rows, names)
+    path = shared_folder(spark, "ensemble")
+    fitted.save(path)
+    again = load_model(spark, path).transform(rows.select("ts", *names)).select("ts", F.col("yhat").alias("again"))
+    return fitted.transform(rows).join(again, "ts").select(
+        "ts", (F.abs(F.col("yhat") - F.col("again")) < 1e-9).alias("same"))
 
 
 # -- forecasts --------------------------------------------------------------------------
@@ -594,6 +656,33 @@ def forecast_linear(spark, d):
         hourly(spark, d, "sum"), HOURLY, "linear", 24, with_intervals=True))
 
 
+TWO = ["y_lag_24", "hour_cos"]
+
+
+def _two_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    h = hourly(spark, d, "sum")
+    return h, features.model_table(features.basic(h, HOURLY), HOURLY, TWO)
+
+
+def forecast_two_features(spark, d):
+    """A day ahead from a least-squares fit on two features, which SQL can solve too."""
+    h, rows = _two_features(spark, d)
+    fitted = create_model("linear").fit(rows, TWO)
+    return presented(forecast.forecast(features.basic(h, HOURLY), HOURLY, fitted.transform, 24,
+                                       model_name=fitted.name, inputs=TWO))
+
+
+def forecast_saved(spark, d):
+    """The same from the newest saved model of the type; an older one lies beside it."""
+    h, rows = _two_features(spark, d)
+    registry = shared_folder(spark, "registry")
+    for day, names in ((1, ["y_lag_24"]), (2, TWO)):
+        path = shared_folder(spark, "model")
+        create_model("linear").fit(rows, names).save(path)
+        store.register_model(spark, registry, "linear", "Linear Regression", path, dt.datetime(2024, 1, day))
+    return presented(forecast.forecast_latest(h, HOURLY, store.read_registry(spark, registry), "linear", 24))
+
+
 def latest_model(spark, d):
     """Orders stand in for training runs: the newest run per kind."""
     o = table(spark, d, "orders")
@@ -643,6 +732,9 @@ QUERIES: dict[str, Query] = {
     "resample_odd_bins": resample_odd_bins,
     "spine": spine,
     "on_spine": on_spine,
+    "on_spine_odd": on_spine_odd,
+    "resample_nan": resample_nan,
+    "by_time": by_time,
     "daily_rollup": daily_rollup,
     "detect_frequency": detect_frequency,
     "tail_n": tail_n,
@@ -681,6 +773,7 @@ QUERIES: dict[str, Query] = {
     "metrics_aligned": metrics_aligned,
     "mape_plain": mape_plain,
     "metrics_quantile": metrics_quantile,
+    "quantile_leaderboard": quantile_leaderboard,
     "metrics_interval": metrics_interval,
     "crps": crps,
     "group_metrics": group_metrics,
@@ -714,10 +807,14 @@ QUERIES: dict[str, Query] = {
     "contributions": contributions,
     "random_forest": random_forest,
     "gradient_boosting": gradient_boosting,
+    "boosted_stump": boosted_stump,
     "quantile_boosting": quantile_boosting,
     "ensemble_forecast": ensemble_forecast,
+    "ensemble_round_trip": ensemble_round_trip,
     "forecast_naive": forecast_naive,
     "forecast_rows": forecast_rows,
     "forecast_linear": forecast_linear,
+    "forecast_two_features": forecast_two_features,
+    "forecast_saved": forecast_saved,
     "latest_model": latest_model,
 }

@@ -6,8 +6,9 @@ on chunks of a bounded number of consecutive rows. The last ``halo`` rows of a c
 copied into the next one, so a frame that looks back at most ``halo`` rows sees exactly
 what it would see in the unbroken series; the copies are dropped afterwards.
 
-Row positions need no shuffle when the series lies on a fixed grid. Otherwise they are
-counted in two steps: rows per time bucket, then a running total over the buckets.
+Row positions need no shuffle when the series lies on a fixed grid. Otherwise the rows are dealt
+into ranges of their order, ties included, and counted in two steps: rows per range, then a running
+total over the ranges.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..series import SeriesSpec, epoch_us, floor_div, known_us, q, step_us, without_nan
-from ..session import cut_lineage
+from ..session import cut_lineage, keep_table
 
 # Spark's windows keep this many rows of a partition in a plain array; beyond it they spill
 ROWS_IN_WINDOW = 4096
@@ -86,16 +87,16 @@ def with_position(df: DataFrame, spec: SeriesSpec, name: str = POS,
         return (attach(df, start, spec.keys)
                 .withColumn(name, floor_div(us - F.col("_start"), step_us(spec.step)))
                 .drop("_start"))
-    size = bucket_us(df, spec, rows_per_bucket)
-    bucketed = df.withColumn(BUCKET, floor_div(known_us(df, spec), size))
-    before = Window.partitionBy(*spec.keys).orderBy(BUCKET).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (bucketed.groupBy(*spec.keys, BUCKET).count()
-               .select(*spec.keys, BUCKET,
-                       F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")))
+    # ranges of the whole order: a busy stretch of time, or a single busy time stamp, spreads over several
+    parts = -(-max(df.count(), 1) // rows_per_bucket)
+    ranged = (df.withColumn("_us", known_us(df, spec)).repartitionByRange(parts, *spec.keys, "_us", *spec.tie)
+              .withColumn(BUCKET, F.spark_partition_id()))
+    ranged = keep_table(ranged, "ranges")
+    before = Window.partitionBy(*spec.keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy(*spec.keys, BUCKET).count()
+               .select(*spec.keys, BUCKET, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")))
     within = Window.partitionBy(*spec.keys, BUCKET).orderBy(*spec.order)
-    return (bucketed.withColumn("_rank", F.row_number().over(within))
-            .join(offsets, [*spec.keys, BUCKET], "left")
+    return (attach(ranged.withColumn("_rank", F.row_number().over(within)), offsets, [*spec.keys, BUCKET])
             .withColumn(name, F.col("_offset") + F.col("_rank") - 1)
             .select(*df.columns, name))
 

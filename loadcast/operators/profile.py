@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..series import SeriesSpec, epoch_us
+from ..series import SeriesSpec, epoch_us, without_nan
 from .chunks import beside
 from .fill import numeric_columns
 from .quantiles import exact_quantiles
@@ -15,7 +15,7 @@ from .resample import detect_frequency
 def completeness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Missing values per column, and the table's completeness in percent."""
     columns = columns or df.columns
-    counts = df.agg(F.count("*").alias("_n"),
+    counts = without_nan(df, columns).agg(F.count("*").alias("_n"),
                     *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)])
     missing = [F.col(f"_m{i}") for i in range(len(columns))]
     total = sum(missing[1:], missing[0])
@@ -30,7 +30,7 @@ def range_stats(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Rows, time range, real duration in hours and spread of the target, per series."""
     us = epoch_us(df, spec.ts)
     y = F.col(spec.target)
-    return df.groupBy(*spec.keys).agg(
+    return without_nan(df, [spec.target]).groupBy(*spec.keys).agg(
         F.count("*").alias("n_rows"),
         F.min(spec.ts).alias("start"), F.max(spec.ts).alias("end"),
         ((F.max(us) - F.min(us)) / F.lit(3.6e9)).alias("duration_hours"),
@@ -41,6 +41,7 @@ def range_stats(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of each numeric column."""
     columns = columns or numeric_columns(df)
+    df = without_nan(df, columns)
     aggregates = []
     for i, c in enumerate(columns):
         v = F.col(c).cast("double")
@@ -85,6 +86,6 @@ def validate(df: DataFrame, required: list[str] | None = None, min_rows: int = 1
 
 def kpis(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Mean, extremes and sample deviation of a forecast."""
-    return df.groupBy(*(by or [])).agg(
+    return without_nan(df, [column]).groupBy(*(by or [])).agg(
         F.avg(column).alias("mean"), F.max(column).alias("max"),
         F.min(column).alias("min"), F.stddev_samp(column).alias("volatility"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..series import SeriesSpec
+from ..series import SeriesSpec, epoch_us
 from .chunks import attach, with_place
 from .quantiles import value_at_rank
 
@@ -47,9 +47,13 @@ def random(df: DataFrame, spec: SeriesSpec, test_share: float = TEST_SHARE, seed
            name: str = "split") -> DataFrame:
     """Exactly ``round(n * test_share)`` random test rows per series, the same on every run.
 
-    A row's draw is a hash of its identity; the cut-off draw is found by counting.
+    A row's draw is 52 bits of the MD5 of its identity, with time stamps in microseconds since 1970, and the seed;
+    the cut-off draw is found by counting.
     """
-    draw = F.shiftright(F.xxhash64(*spec.keys, *spec.order, F.lit(seed)), 11)
+    stamps = {spec.ts: epoch_us(df, spec.ts)}
+    identity = [stamps.get(c, F.col(c)).cast("string") for c in (*spec.keys, *spec.order)]
+    digest = F.md5(F.concat_ws("|", *identity, F.lit(str(seed))))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
     drawn = df.withColumn("_draw", draw)
     count = F.rint(F.count("*") * F.lit(test_share)).cast("long")
     wanted = df.groupBy(*spec.keys).agg((count - 1).alias("rank"))

@@ -387,7 +387,7 @@ def grid_search_sql() -> str:
     n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i,
           count(*) OVER (PARTITION BY event_type) AS n FROM x),
     b AS (SELECT *, CASE WHEN i < n - 3 * (n // 4) THEN 0 ELSE (i - (n - 3 * (n // 4))) // (n // 4) + 1 END AS block FROM n),
-    k AS (SELECT unnest([1, 2, 3]) AS fold), a AS (SELECT unnest([0.1, 100.0, 10000.0]) AS alpha),
+    k AS (SELECT unnest([1, 2, 3]) AS fold), a AS (SELECT unnest([0.1, 1.0, 10.0, 100.0]) AS alpha),
     s AS (SELECT fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS cxy, var_pop(x) AS vx
           FROM b, k WHERE block < fold GROUP BY fold),
     w AS (SELECT fold, alpha, mx, my, n * cxy / (n * vx + alpha) AS w FROM s, a),
@@ -561,8 +561,10 @@ ORACLES: dict[str, str] = {
     "split_gap": f"""WITH {grid('sum')}, n AS (SELECT *, row_number() {over(BY_TYPE)} - 1 AS i, count(*) OVER ({BY_TYPE}) AS n FROM h)
         SELECT event_type, ts, {r('y')} AS y, CASE WHEN i < n - floor(n * 0.2) - 168 THEN 'train'
         WHEN i < n - floor(n * 0.2) THEN 'gap' ELSE 'test' END AS split FROM n""",
-    "split_random": """WITH n AS (SELECT event_type, count(*) AS n, round_even(count(*) * 0.2, 0)::BIGINT AS t FROM events GROUP BY 1)
-        SELECT event_type, 'test' AS split, t AS count FROM n UNION ALL SELECT event_type, 'train', n - t FROM n""",
+    "split_random": """WITH n AS (SELECT event_type, event_id, round_even(count(*) OVER t * 0.2, 0) AS wanted,
+        row_number() OVER (PARTITION BY event_type ORDER BY ('0x' || substr(md5(concat_ws('|', event_type,
+        epoch_us(ts)::VARCHAR, event_id::VARCHAR, '42')), 1, 13))::BIGINT) AS place FROM events WINDOW t AS (PARTITION BY event_type))
+        SELECT event_type, event_id FROM n WHERE place <= wanted""",
     "folds": f"""WITH {grid('sum')}, n AS (SELECT *, row_number() {over(BY_TYPE)} - 1 AS i, count(*) OVER ({BY_TYPE}) AS n FROM h),
         f AS (SELECT *, unnest([0, 1, 2]) AS fold FROM n),
         s AS (SELECT *, n - (n // 4) * (3 - fold) AS start FROM f)
@@ -657,6 +659,38 @@ ORACLES: dict[str, str] = {
         arg_max(o_orderpriority, (o_orderdate, 'models/' || o_orderkey)) FROM orders""",
 }
 
+
+def two_features_sql() -> str:
+    """Least squares with two features by the rule for two unknowns, applied to each series' next day."""
+    return f"""WITH {grid('sum')},
+    x AS (SELECT event_type, ts, y, {calendar('ts')['hour_cos']} AS b,
+          coalesce(lag(y, 24) {over(BY_TYPE)}, first_value(y) {over(BY_TYPE)}) AS a FROM h),
+    s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab,
+          covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM x),
+    w AS (SELECT *, (ay * vb - byy * ab) / (va * vb - ab * ab) AS wa, (byy * va - ay * ab) / (va * vb - ab * ab) AS wb FROM s),
+    l AS (SELECT event_type, max(ts) AS last, arg_max(a, ts) AS a FROM x GROUP BY 1),
+    f AS (SELECT event_type, a, unnest(range(1, 25)) AS step, last FROM l),
+    t AS (SELECT event_type, a, step, last + step * INTERVAL 1 HOUR AS ts FROM f)
+    SELECT event_type, ts, step AS horizon_step, {r("my + wa * (a - ma) + wb * (" + calendar('ts')['hour_cos'] + " - mb)")} AS yhat,
+    'Linear Regression' AS model_name, '1.0' AS model_version FROM t, w"""
+
+
+ORACLES |= {
+    "on_spine_odd": odd_bins_sql(),
+    "resample_nan": f"""WITH {grid('max').replace('FROM events', 'FROM (SELECT event_type, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)')}
+        SELECT event_type, ts, {r('y')} AS value FROM h""",
+    "by_time": f"WITH {grid('mean')} SELECT event_type, ts, {r('y')} AS y FROM h",
+    "quantile_leaderboard": ORACLES["metrics_quantile"],
+    "feature_selection": f"WITH {days()} SELECT count(*) AS n_rows, 3::BIGINT AS n_chosen, true AS all_given FROM d",
+    "random_forest": f"WITH {days()} SELECT ts, {r('y / 1e6')} AS y, true AS in_range FROM d",
+    "gradient_boosting": f"WITH {days()} SELECT count(*) AS n_rows, true AS better_than_mean FROM d",
+    "boosted_stump": f"""WITH {days()} SELECT ts, {r("avg(y) OVER (PARTITION BY isodow(ts) >= 6)", 2)} AS yhat FROM d""",
+    "quantile_boosting": "SELECT unnest(['q10', 'q50', 'q90']) AS quantile, true AS better",
+    "ensemble_forecast": f"WITH {days()} SELECT ts, true AS adds_up, true AS weights_are_shares FROM d",
+    "ensemble_round_trip": f"WITH {days()} SELECT ts, true AS same FROM d",
+    "forecast_two_features": two_features_sql(),
+    "forecast_saved": two_features_sql(),
+}
 ORACLES["ingest_stream"] = ORACLES["ingest_records"].replace("SELECT event_id, ", "SELECT ", 1)
 ORACLES["report_round_trip"] = (
     f"WITH {p_ctes()} SELECT model, {columns(point('y', 'yhat'))}, {counts('y', 'yhat')} FROM m GROUP BY 1")

@@ -70,6 +70,16 @@ def test_positions_over_buckets(spark, rows):
     assert list(got.p) == list(range(500))
 
 
+def test_one_busy_stamp_spreads_over_tasks(spark):
+    """Date-only stamps: a whole day shares one, and its ties tell the order."""
+    spec = SeriesSpec((), "ts", "y", tie=("id",))
+    df = spark.range(20_000).select(F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"),
+                                    F.col("id").cast("double").alias("y"), (F.col("id") * 7919 % 20_011).alias("id"))
+    placed = with_position(df, spec, "p", 1000).withColumn("task", F.spark_partition_id()).toPandas()
+    assert (placed.sort_values("id").p.to_numpy() == np.arange(20_000)).all()
+    assert placed.groupby("task").size().max() < 12_000 and placed.task.nunique() > 2
+
+
 def test_buckets_shrink_for_bursts(spark):
     times = [pd.Timestamp("2024-01-01") + pd.Timedelta(microseconds=i) for i in range(1000)]
     times += [pd.Timestamp("2024-06-01")]
