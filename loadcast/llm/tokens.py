@@ -11,12 +11,12 @@ import numpy as np
 
 from .common import numbered
 
-#: Bytes of text that one step encodes: larger steps repeat fewer words.
-STEP_BYTES = 5_000_000
+#: Bytes of text whose distinct words are encoded together, and of those whose ids are laid out at once.
+STEP_BYTES, PART_BYTES = 8_000_000, 2_000_000
 #: Words in a generation of remembered ones, and the longest of them.
 REMEMBERED, SHORT = 100_000, 14
 #: Words in one call of the library, whose results take many times their size.
-CALL = 10_000
+CALL = 1_000
 #: Texts in which a space is followed by white space or ends the text; there a token may span words.
 _SPANNING = re.compile(r" (?=[\s᠎​﻿]|\Z)")
 #: Bytes after a space that may begin white space.
@@ -147,74 +147,106 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of UTF-8 texts in one array, and the number of ids of each."""
-        data, begin = _joined(texts)
+        made = list(self.encoded(texts))
+        if not made:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        _, ids, sizes = zip(*made, strict=True)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encoded(self, texts: list[bytes]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Slices of the texts with their ids in one array and the number of ids of each text."""
+        if not texts:
+            return
+        raw, data, begin = _joined(texts)
         whole = self._spanning(data, texts, begin)
         heads = [b""] * len(texts)
         for i in whole:
             heads[i] = texts[i]
         if whole:
-            data, begin = _joined([b"" if heads[i] else t for i, t in enumerate(texts)])
-        gap = data == 32 if self.lead else (data == 32) | (data == 10)
-        edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
-        start, end = edge[::2], edge[1::2]
-        owner = np.searchsorted(begin, start, side="right") - 1
-        if self.lead:
-            # the first word of a text has no space before it
-            first = start == begin[owner]
-            for i, b in zip(owner[first].tolist(), end[first].tolist(), strict=True):
-                heads[i] = texts[i][: b - int(begin[i])]
-            start, end, owner = start[~first], end[~first], owner[~first]
-        codes, of = distinct_words(data, start, end)
-        raw = data.tobytes()
-        flat, sizes = self._distinct([raw[a:b] for a, b in zip(start[of].tolist(), end[of].tolist(), strict=True)])
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        head_ids, head_sizes = self._whole([h.decode() for h in heads])
-        # what is encoded without a space goes before the words
-        at = np.searchsorted(owner, np.arange(len(texts)))
-        order = np.insert(starts[codes], at, len(flat) + np.cumsum(head_sizes) - head_sizes)
-        per_text = np.bincount(owner, n, len(texts)).astype(np.int64) + head_sizes
-        return np.concatenate([flat, head_ids])[places(order, np.insert(n, at, head_sizes))], per_text
-
-
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts with a space after each and eight spaces more, and where each text begins."""
+            raw, data, begin = _joined([b"" if heads[i] else t for i, t in enumerate(texts)])
+        parts, found = _parts(begin, len(data)), []
+        for part, a, b in parts:
+            gap = data[a:b] == 32 if self.lead else (data[a:b] == 32) | (data[a:b] == 10)
+            edge = np.flatnonzero(np.diff(gap, prepend=True, append=True)).astype(np.int32) + np.int32(a)
+            start, size = edge[::2], np.diff(edge)[::2]
+            owner = (np.searchsorted(begin[part], start, side="right") - 1 + part.start).astype(np.int32)
+            if self.lead:
+                # the first word of a text has no space before it
+                first = start == begin[owner]
+                for i, n in zip(owner[first].tolist(), size[first].tolist(), strict=True):
+                    heads[i] = texts[i][:n]
+                start, size, owner = start[~first], size[~first], owner[~first]
+            # first the distinct words of this part, then those of all parts
+            code, of = distinct_words(data, start, size)
+            found.append((code, owner, start[of], size[of]))
+        start, size = (np.concatenate([f[k] for f in found]) for k in (2, 3))
+        codes, of = distinct_words(data, start, size)
+        flat, sizes = self._distinct([raw[a : a + n] for a, n in zip(start[of].tolist(), size[of].tolist(), strict=True)])
+        del raw, data
+        starts, base = np.cumsum(sizes) - sizes, 0
+        for (part, _, _), (code, owner, own, _) in zip(parts, found, strict=True):
+            code, base = codes[base : base + len(own)][code], base + len(own)
+            head_ids, head_sizes = self._whole([h.decode() for h in heads[part]])
+            n = sizes[code]
+            # what is encoded without a space goes before the words
+            at = np.searchsorted(owner, np.arange(part.start, part.stop))
+            order = np.insert(starts[code], at, len(flat) + np.cumsum(head_sizes) - head_sizes)
+            per_text = np.bincount(owner - part.start, n, part.stop - part.start).astype(np.int64) + head_sizes
+            yield part, np.concatenate([flat, head_ids])[places(order, np.insert(n, at, head_sizes))], per_text
+
+
+def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts with a space after each and eight spaces more, the same as numbers, and where each text begins."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    return np.frombuffer(b" ".join([*texts, b" " * 8]), np.uint8), np.cumsum(sizes) - sizes
+    raw = b" ".join([*texts, b" " * 8])
+    return raw, np.frombuffer(raw, np.uint8), np.cumsum(sizes) - sizes
+
+
+def _parts(begin: np.ndarray, end: int) -> list[tuple[slice, int, int]]:
+    """Slices of texts of about ``PART_BYTES`` bytes, one text at least, and where their bytes lie."""
+    found, start = [], 0
+    while start < len(begin):
+        stop = max(start + 1, int(np.searchsorted(begin, begin[start] + PART_BYTES)))
+        found.append((slice(start, stop), int(begin[start]), int(begin[stop]) if stop < len(begin) else end - 8))
+        start = stop
+    return found
 
 
-def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word ``data[start:end]``, equal for equal words, and a place of each distinct word.
+def distinct_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of ``size`` bytes at ``start``, equal for equal words, and a place of each distinct word.
 
     Words are hashed eight bytes at a time and compared with the chosen place of their number; should two words
     share a hash, all are compared as they are. ``data`` has eight more bytes behind the last word.
     """
-    size = end - start
-    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    eight = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+    block = 1 << 18
 
-    def chunks() -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """For each eight bytes the words that reach so far, the place in them, and masks of what is theirs."""
-        live, at = np.arange(len(size)), 0
+    def chunks(a: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Of a block the words that reach so far, the place in them, and masks of what is theirs, for each eight bytes."""
+        live, at = np.arange(a, min(a + block, len(size))), 0
         while len(live):
-            left = np.minimum(size[live] - at, 8)
-            yield live, at, _LOW[left]
+            yield live, at, _LOW[np.minimum(size[live] - at, 8)]
             live, at = live[size[live] > at + 8], at + 8
 
+    blocks = range(0, len(size), block)
     key = size.astype(np.uint64) * _ODD
-    for live, at, mask in chunks():
-        mixed = (key[live] ^ eight[start[live] + at] & mask) * _ODD
-        key[live] = mixed ^ mixed >> np.uint64(29)
+    for a in blocks:
+        for live, at, mask in chunks(a):
+            mixed = (key[live] ^ eight[start[live] + at] & mask) * _ODD
+            key[live] = mixed ^ mixed >> np.uint64(29)
     order = np.argsort(key)
-    new = np.diff(key[order], prepend=~key[order[:1]]) != 0
-    codes = np.empty(len(key), np.int64)
+    key = key[order]
+    new = np.diff(key, prepend=~key[:1]) != 0
+    codes = np.empty(len(key), np.int32)
     codes[order] = np.cumsum(new) - 1
     of = order[new]
-    other = of[codes]
-    same = np.array_equal(size, size[other]) and all(
-        np.array_equal(eight[start[live] + at] & mask, eight[start[other[live]] + at] & mask) for live, at, mask in chunks())
+    del key, order, new
+    same = all(np.array_equal(size[a : a + block], size[of[codes[a : a + block]]]) and all(
+        np.array_equal(eight[start[live] + at] & mask, eight[start[of[codes[live]]] + at] & mask)
+        for live, at, mask in chunks(a)) for a in blocks)
     if not same:
         raw = data.tobytes()
-        codes, words = numbered([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        codes, words = numbered([raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)])
         of = np.empty(len(words), np.int64)
         of[codes] = np.arange(len(codes))
     return codes, of

@@ -34,6 +34,20 @@ def test_word_encoder_is_the_library(name, spaced):
             plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_word_encoder_in_parts_and_with_a_short_memory(name, spaced, monkeypatch):
+    monkeypatch.setattr(tokens, "PART_BYTES", 300)
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens, "CALL", 3)
+    path = public_tokenizers.path(name)
+    plain, encoder = Tokenizer.from_file(path), tokens.WordEncoder(path, spaced)
+    for _ in range(3):
+        for at in (0, 5):
+            ids, n = encoder.encode([t.encode() for t in TEXTS[at:]])
+            want = [plain.encode(t, add_special_tokens=False).ids for t in TEXTS[at:]]
+            assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 def test_distinct_words_survive_collisions(monkeypatch):
     """A multiplier of 0 gives all words one hash."""
     text = b"a bb ccc a dddddddddd dddddddddd\x00 bb dddddddddd " + b" " * 8
@@ -42,7 +56,7 @@ def test_distinct_words_survive_collisions(monkeypatch):
     want = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
     for odd in (tokens._ODD, np.uint64(0)):
         monkeypatch.setattr(tokens, "_ODD", odd)
-        codes, of = tokens.distinct_words(data, edges[::2], edges[1::2])
+        codes, of = tokens.distinct_words(data, edges[::2], np.diff(edges)[::2])
         assert [want[of[c]] for c in codes] == want and len(of) == len(set(want))
 
 
