@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import string
 import unicodedata
@@ -40,6 +41,8 @@ class WordEncoder:
 
     def __init__(self, path: str, spaced: bool) -> None:
         """``spaced``: a space belongs to the word after it (byte-level) or to none (word-level)."""
+        # every core has a task of its own already; read by the library when it first encodes
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
