@@ -14,8 +14,8 @@ from .common import numbered
 
 #: Bytes of text whose distinct words are encoded together, and of those whose ids are laid out at once.
 STEP_BYTES, PART_BYTES = 8_000_000, 2_000_000
-#: Words in a generation of remembered ones, and the longest of them.
-REMEMBERED, SHORT = 100_000, 14
+#: Remembered words, and the longest of them.
+REMEMBERED, SHORT = 400_000, 12
 #: Words in one call of the library, whose results take many times their size.
 CALL = 1_000
 #: Texts in which a space is followed by white space or ends the text; there a token may span words.
@@ -53,9 +53,8 @@ class WordEncoder:
         self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
-        # ids of words seen lately, in two generations: the older one goes when the newer one is full
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # ids of words seen lately; forgotten when they are too many
+        self.recent: dict[bytes, bytes] = {}
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
         """A word, in lower case where the tokenizer does that, and the punctuation at its end."""
@@ -110,15 +109,13 @@ class WordEncoder:
 
     def _lookup(self, words: list[bytes], make: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
         """Ids of each word, made for those only that were not seen lately."""
-        recent, older = self.recent, self.older
+        recent = self.recent
         found = list(map(recent.get, words))
         at = [i for i, ids in enumerate(found) if ids is None]
-        old = [older.get(words[i]) for i in at]
-        missing = [words[i] for i, ids in zip(at, old, strict=True) if ids is None]
-        made = iter(make(missing))
-        for i, ids in zip(at, old, strict=True):
-            found[i] = next(made) if ids is None else ids
-        recent.update((words[i], found[i]) for i in at if len(words[i]) <= SHORT)
+        for i, ids in zip(at, make([words[i] for i in at]), strict=True):
+            found[i] = ids
+            if len(words[i]) <= SHORT:
+                recent[words[i]] = ids
         return found
 
     def _from_cores(self, words: list[bytes]) -> list[bytes]:
@@ -135,7 +132,7 @@ class WordEncoder:
         """Ids of all words and the number of ids of each."""
         found = self._lookup(words, self._from_cores)
         if len(self.recent) > REMEMBERED:
-            self.older, self.recent = self.recent, {}
+            self.recent.clear()
         return (np.frombuffer(b"".join(found), "<u4").astype(np.int64),
                 np.fromiter(map(len, found), np.int64, len(found)) // 4)
 
