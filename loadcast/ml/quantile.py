@@ -9,6 +9,8 @@ nor the loss of an executor makes the work start over.
 
 from __future__ import annotations
 
+import json
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -39,20 +41,70 @@ def _step(leaves: dict[int, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in sorted(leaves.items()) for x in pair])[F.col(_LEAF).cast("int")]
 
 
+_SPLIT = re.compile(r"If \(feature (\d+) <= ([^)]+)\)")
+
+
+def _nodes(tree: DecisionTreeRegressionModel, leaves: dict[int, float]) -> list[list[float]]:
+    """A tree as rows feature, threshold, place if not above it, place if above it, value; leaves have feature -1.
+
+    Read from the model's own description, whose numbers are exact. Leaves are numbered from left to right, and
+    hold their value from ``leaves``.
+    """
+    lines = iter(tree.toDebugString.splitlines()[1:])
+    rows: list[list[float]] = []
+    count = 0
+
+    def read(line: str) -> int:
+        nonlocal count
+        place = len(rows)
+        split = _SPLIT.search(line)
+        if split is None:
+            rows.append([-1, 0.0, place, place, leaves.get(count, 0.0)])
+            count += 1
+            return place
+        rows.append([int(split[1]), float(split[2]), 0, 0, 0.0])
+        rows[place][2] = read(next(lines))
+        next(lines)  # Else
+        rows[place][3] = read(next(lines))
+        return place
+
+    read(next(lines))
+    return rows
+
+
 @dataclass
 class Boosted:
-    """One quantile: a start value, then trees with a value per leaf."""
+    """One quantile: a start value, then trees as rows of nodes."""
 
     start: float
     rate: float
-    trees: list[tuple[DecisionTreeRegressionModel, dict[int, float]]] = field(default_factory=list)
-
-    def add_prediction(self, df: DataFrame, name: str) -> DataFrame:
-        df = df.withColumn(name, F.lit(self.start))
-        for tree, leaves in self.trees:
-            df = (tree.transform(df).withColumn(name, F.col(name) + self.rate * _step(leaves))
-                  .drop(_LEAF, _TREE))
-        return df
+    trees: list[list[list[float]]] = field(default_factory=list)
+
+    def prediction(self, features: list[str], depth: int) -> Column:
+        """One expression of constant size: all trees lie in one array and are walked by the same few steps."""
+        table, roots = [], []
+        for tree in self.trees:
+            base = len(table)
+            roots.append(base)
+            table += [{"f": int(f), "t": t, "l": int(low) + base, "r": int(high) + base, "v": v}
+                      for f, t, low, high, v in tree]
+        nodes = F.from_json(F.lit(json.dumps(table)), "array<struct<f:int,t:double,l:int,r:int,v:double>>")
+        start = F.from_json(F.lit(json.dumps(roots)), "array<int>")
+        x = F.array(*[F.col(c).cast("double") for c in features])
+
+        def walked(bound: Column, root: Column) -> Column:
+            def step(place: Column, _: Column) -> Column:
+                node = bound["nodes"][place]
+                return F.when(node["f"] < 0, place).when(
+                    F.get(bound["x"], node["f"]) <= node["t"], node["l"]).otherwise(node["r"])
+
+            return F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), root, step)
+
+        # a lambda's variable holds the row's features and the nodes, so that they are made once per row
+        bound = F.array(F.struct(nodes.alias("nodes"), x.alias("x")))
+        total = F.transform(bound, lambda b: F.aggregate(
+            start, F.lit(self.start), lambda sum_, root: sum_ + self.rate * b["nodes"][walked(b, root)]["v"]))
+        return total[0]
 
 
 @dataclass
@@ -71,14 +123,14 @@ class FittedQuantileModel:
         return list(self.members)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = VectorAssembler(inputCols=self.feature_names, outputCol=VECTOR).transform(df)
-        for q, member in self.members.items():
-            out = member.add_prediction(out, quantile_name(q))
+        depth = self.params["max_depth"]
+        out = df.withColumns({quantile_name(q): member.prediction(self.feature_names, depth)
+                              for q, member in self.members.items()})
         if self.sort_crossing:
             names = [quantile_name(q) for q in sorted(self.members)]
             out = out.withColumn("_sorted", F.array_sort(F.array(*names)))
             out = out.withColumns({n: F.col("_sorted")[i] for i, n in enumerate(names)}).drop("_sorted")
-        return out.drop(VECTOR)
+        return out
 
     def predict_median(self, df: DataFrame) -> DataFrame:
         if 0.5 not in self.members:
@@ -94,26 +146,16 @@ class FittedQuantileModel:
         return score_quantiles(self.transform(df), self.target, names, by)
 
     def save(self, path: str) -> None:
-        spark = SparkSession.active()
-        entries = []
-        for q, member in self.members.items():
-            for i, (tree, _) in enumerate(member.trees):
-                tree.write().overwrite().save(f"{path}/{quantile_name(q)}/{i}")
-            entries.append({"quantile": q, "start": member.start, "rate": member.rate,
-                            "leaves": [{str(k): v for k, v in leaves.items()} for _, leaves in member.trees]})
-        write_details(spark, path, {
+        write_details(SparkSession.active(), path, {
             "kind": "quantile", "name": self.name, "feature_names": self.feature_names,
             "target": self.target, "params": self.params, "sort_crossing": self.sort_crossing,
-            "members": entries})
+            "members": [{"quantile": q, "start": m.start, "rate": m.rate, "trees": m.trees}
+                        for q, m in self.members.items()]})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FittedQuantileModel:
         info = read_details(spark, path)
-        members = {}
-        for e in info["members"]:
-            trees = [(DecisionTreeRegressionModel.load(f"{path}/{quantile_name(e['quantile'])}/{i}"),
-                      {int(k): v for k, v in leaves.items()}) for i, leaves in enumerate(e["leaves"])]
-            members[e["quantile"]] = Boosted(e["start"], e["rate"], trees)
+        members = {e["quantile"]: Boosted(e["start"], e["rate"], e["trees"]) for e in info["members"]}
         return cls(info["name"], info["feature_names"], info["target"], members, info["params"],
                    info["sort_crossing"])
 
@@ -145,7 +187,7 @@ class QuantileBoosting:
                     lambda i: self._leaves(state, trees[i], current[i], qs[i]), range(len(qs))))
                 after = state
                 for i, q in enumerate(qs):
-                    members[q].trees.append((trees[i], leaves[i]))
+                    members[q].trees.append(_nodes(trees[i], leaves[i]))
                     after = (trees[i].transform(after)
                              .withColumn(current[i], F.col(current[i]) + self.rate * _step(leaves[i]))
                              .drop(_LEAF, _TREE))

@@ -26,7 +26,7 @@ def table(spark):
     return pdf, to_spark(spark, pdf).persist()
 
 
-def test_names():
+def test_names(spark):
     assert create_model("linear").name == "Linear Regression"
     assert create_model("random_forest").name == "Random Forest"
     assert create_model("enhanced_linear", spec=GRID).name == "Enhanced Ridge"

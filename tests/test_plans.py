@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadcast import catalogue as cat
+from loadcast.ml import create_model
 from loadcast.operators import project, resample, windows
 from loadcast.plans import features
 from loadcast.series import SeriesSpec
+from loadcast.session import keep_table
 from loadcast.sources import records
 
 
@@ -75,10 +77,25 @@ def test_metrics_are_one_aggregate(spark, folder):
 
 @pytest.mark.parametrize("name", cat.QUERIES)
 def test_no_python_and_no_cross_join(spark, folder, name):
-    if name in ("random_forest", "gradient_boosting", "quantile_boosting", "feature_selection", "grid_search",
-                "ensemble_forecast", "forecast_linear", "ingest_stream"):
-        pytest.skip("fits models while the query is built")
-    text = plan(cat.QUERIES[name](spark, folder))
+    if name in ("random_forest", "gradient_boosting", "quantile_boosting", "feature_selection", "ensemble_forecast",
+                "ensemble_round_trip", "ingest_stream"):
+        pytest.skip("long fits or a stream while the query is built; test_model_plans looks at the models")
+    check_nodes(plan(cat.QUERIES[name](spark, folder)))
+
+
+@pytest.mark.parametrize("name,params", [
+    ("linear", {}), ("random_forest", {"n_estimators": 3, "maxDepth": 3}), ("lightgbm", {"maxIter": 2}),
+    ("gradient_boosting_quantile", {"n_estimators": 2, "max_depth": 2})])
+def test_model_plans(spark, folder, name, params):
+    """Predicting neither shuffles nor leaves the JVM, and the table it reads is the one that was given."""
+    rows, names = cat.daily_model_table(spark, folder)
+    stored = keep_table(rows)
+    text = plan(create_model(name, **params).fit(stored, names).transform(stored))
+    check_nodes(text)
+    assert "Exchange" not in text and text.count("Scan parquet") == 1
+
+
+def check_nodes(text):
     for node in ("PythonUDF", "EvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "NestedLoopJoin"):
         assert node not in text
 
