@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
@@ -19,6 +20,9 @@ from ..session import shared_folder
 
 #: Bytes of text that one step of an Arrow operator works on; a longer single text forms a step alone.
 STEP_BYTES = 4_000_000
+#: Rows of an Arrow batch between Spark and its Python workers.
+BATCH_ROWS = 1_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:
@@ -26,15 +30,32 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[slice]:
-    """Consecutive slices of texts of about ``limit`` bytes, one text at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(ends):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        yield slice(start, stop)
-        start = stop
+def steps(batches: Iterator[pa.RecordBatch], place: int, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts, in column ``place``, have about ``limit`` bytes; one text at least."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False))
+        start = before = 0
+        while start < len(ends):
+            stop = int(np.searchsorted(ends, before + limit - size, side="right"))
+            if stop == start and not size:
+                stop += 1  # a single text over the limit
+            if stop > start:
+                waiting.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - before
+                start, before = stop, int(ends[stop - 1])
+            if start < len(ends) or size >= limit:
+                yield _joined(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield _joined(waiting)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(batches) == 1:
+        return batches[0]
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def numbered(words: Sequence) -> tuple[np.ndarray, list]:
@@ -44,12 +65,33 @@ def numbered(words: Sequence) -> tuple[np.ndarray, list]:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` whose workers look for this package where the driver has it, besides their own path."""
+    """``df.mapInArrow`` whose workers look for this package where the driver has it, besides their own path.
+
+    Rows hold whole texts, so the session's Arrow batches are limited to ``BATCH_ROWS`` of them; workers put them
+    together again as they need. A worker outlives its task; at the end of each task it gives back the memory that is
+    kept for reuse, which other tasks of the executor may need.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_ROWS)) > BATCH_ROWS or int(conf.get(_BATCH_ROWS)) <= 0:
+        conf.set(_BATCH_ROWS, str(BATCH_ROWS))
     environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return unused memory of the Arrow pool and of the C library to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable, fields: str) -> DataFrame:
@@ -62,11 +104,9 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable, fields:
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch.column(1)):
-                rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, work(byte_texts(rows.column(1))))],
-                                                 ["doc_id", *[f.split()[0] for f in fields.split(", ")]])
+        for rows in steps(batches, 1):
+            yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, work(byte_texts(rows.column(1))))],
+                                             ["doc_id", *[f.split()[0] for f in fields.split(", ")]])
 
     return map_arrow(rows, run, f"doc_id {kind}, {fields}")
 
@@ -80,10 +120,8 @@ def filter_texts(df: DataFrame, text_col: str, keep: Callable) -> DataFrame:
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch.column(place)):
-                rows = batch.slice(part.start, part.stop - part.start)
-                yield rows.filter(pa.array([bool(x) for x in keep(byte_texts(rows.column(place)))], pa.bool_()))
+        for rows in steps(batches, place):
+            yield rows.filter(pa.array([bool(x) for x in keep(byte_texts(rows.column(place)))], pa.bool_()))
 
     return map_arrow(df, run, df.schema)
 

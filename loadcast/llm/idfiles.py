@@ -120,23 +120,21 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "d
         system, place = location(folder)
         names = [f"{kind}-{context.partitionId():06d}-{context.taskAttemptId()}.arrow" for kind in ("ids", "docs")]
         sinks, total, count = [], 0, 0
-        for batch in batches:
+        for some in steps(batches, 1, tokens.STEP_BYTES):
             if not sinks:
                 system.create_dir(place, recursive=True)
                 sinks = [system.open_output_stream(f"{place}/{n}") for n in names]
                 sequences = SequenceWriter(sinks[0], sequence, width)
                 schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(sinks[1], schema)
-            for step in steps(batch.column(1), tokens.STEP_BYTES):
-                some = batch.slice(step.start, step.stop - step.start)
-                for part, ids, n in encoder.encoded(byte_texts(some.column(1))):
-                    rows = some.slice(part.start, part.stop - part.start)
-                    ids, n = tokens.end_each(ids, n, end_id)
-                    sequences.add(ids)
-                    index.write_batch(pa.RecordBatch.from_arrays(
-                        [rows.column(0).cast(id_type), pa.array(total + np.cumsum(n) - n),
-                         pa.array(n)], schema=schema))
-                    total, count = total + int(n.sum()), count + len(n)
+            for part, ids, n in encoder.encoded(byte_texts(some.column(1))):
+                rows = some.slice(part.start, part.stop - part.start)
+                ids, n = tokens.end_each(ids, n, end_id)
+                sequences.add(ids)
+                index.write_batch(pa.RecordBatch.from_arrays(
+                    [rows.column(0).cast(id_type), pa.array(total + np.cumsum(n) - n),
+                     pa.array(n)], schema=schema))
+                total, count = total + int(n.sum()), count + len(n)
         if sinks:
             sequences.close()
             index.close()

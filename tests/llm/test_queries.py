@@ -1,11 +1,15 @@
 """Registered queries against their SQL, and the pipeline stage by stage."""
 
+import random
+
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
 
 from loadcast.llm import simhash
+from loadcast.llm.common import steps
 from loadcast.llm.filters import bitmap_of, maybe_in, split_by
 from loadcast.llm.oracles import ORACLES
 from loadcast.llm.queries import QUERIES
@@ -55,3 +59,15 @@ def test_bitmap_lets_all_keys_pass(spark):
     assert maybe_in(rows, none, "k").isEmpty() and split_by(rows, none, "k")[1].count() == 5000
     full = bitmap_of(spark.range(200).select(F.col("id").alias("k")), "k", bits=16)
     assert maybe_in(rows.where("k < 200"), full, "k", bits=16).count() == 200
+
+
+@pytest.mark.parametrize("limit", [1, 7, 100, 10_000])
+def test_steps_keep_all_rows_in_order(limit):
+    rng = random.Random(limit)
+    texts = [None if rng.random() < 0.1 else "é" * rng.choice([0, 0, 1, 3, 40]) for _ in range(200)]
+    table = pa.table({"n": list(range(200)), "t": pa.array(texts, pa.string())})
+    made = list(steps(iter(table.to_batches(max_chunksize=9)), 1, limit))
+    assert [x for b in made for x in b.column(0).to_pylist()] == list(range(200))
+    assert [x for b in made for x in b.column(1).to_pylist()] == texts
+    sizes = [[len((x or "").encode()) for x in b.column(1).to_pylist()] for b in made]
+    assert all(sum(s) <= limit or len([x for x in s if x]) == 1 for s in sizes) and all(sizes)
