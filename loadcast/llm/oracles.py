@@ -112,4 +112,26 @@ found AS (SELECT n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notice
 SELECT doc_id, {_canonical("t")} AS canonical_sha256, licence, notices
 FROM docs LEFT JOIN known ON {_canonical("t")} = digest LEFT JOIN found USING (n)"""
 
-ORACLES = {"op2_exact": _OP2, "op3_quality": _op3(), "op4_licences": _OP4, "op6_lines": _OP6, "op8_urls": _OP8}
+_OP13 = """
+WITH rows AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.n AS a, a.vec_id AS anchor_id, b.n AS b, b.vec_id AS vec_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM rows a JOIN rows b ON a.n <> b.n WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) <= 5),
+found AS (
+  SELECT p.a, p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id,
+    s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM positives p JOIN scores s ON s.a = p.a AND NOT s.same
+   AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM found WHERE rank <= 3"""
+
+ORACLES = {"op2_exact": _OP2, "op3_quality": _op3(), "op4_licences": _OP4, "op6_lines": _OP6, "op8_urls": _OP8,
+           "op13_negatives": _OP13}

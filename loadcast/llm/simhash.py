@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -147,16 +146,15 @@ def hex16(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable = near_duplicates,
-                **options) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their group, as ``find`` groups them, with all columns.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their group of near-duplicates, with all columns.
 
     Rows without an id belong to no group and stay. Of several rows with the same id, which are the same
     document, one stays: the one with the smallest text.
     """
     known = docs.where(F.col(id_col).isNotNull())
     mark, nth = fresh(docs, "_keep"), fresh(docs, "_nth")
-    keep = (find(known, id_col, text_col, **options).where("doc_id = component_id")
+    keep = (near_duplicates(known, id_col, text_col, **options).where("doc_id = component_id")
             .select(F.col("doc_id").alias(mark)).distinct())
     order = Window.partitionBy(mark).orderBy(F.col(text_col))
     first = (known.join(keep, known[id_col] == keep[mark]).withColumn(nth, F.row_number().over(order))
