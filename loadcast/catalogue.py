@@ -17,9 +17,9 @@ from .functions import calendar as cal
 from .functions import metrics as M
 from .ml import create_model, load_model
 from .ml import ensemble, scale, select
-from .ml.linear import RIDGE_GRID, ElasticNet, Ridge
+from .ml.linear import ElasticNet, Ridge
 from .ml.quantile import quantile_name
-from .ml.search import GridSearch
+from .ml.search import enhanced_linear
 from .operators import evaluate as ev
 from .operators import ewma, fairness as fair, fill, profile, project, resample, splits, windows
 from .operators.chunks import Chunks, beside, with_position
@@ -559,11 +559,33 @@ def elastic_net(spark, d):
         "event_type", "ts", "yhat"))
 
 
-def grid_search(spark, d):
-    search = GridSearch("Enhanced Ridge", Ridge, RIDGE_GRID, HOURLY)
+def _searched(spark, d, regularization: str, columns: str) -> DataFrame:
+    search = enhanced_linear(HOURLY, regularization)
     search.fit(_wave(spark, d), ["hour_cos"])
-    rows = [(r["params"]["alpha"], r["mean_mse"], r["params"] == search.best_params) for r in search.results]
-    return presented(spark.createDataFrame(rows, "alpha double, mean_mse double, best boolean"))
+    rows = [(*map(float, r["params"].values()), r["mean_mse"], r["params"] == search.best_params) for r in search.results]
+    return presented(spark.createDataFrame(rows, f"{columns}, mean_mse double, best boolean"))
+
+
+def grid_search(spark, d):
+    return _searched(spark, d, "ridge", "alpha double")
+
+
+def elastic_grid(spark, d):
+    return _searched(spark, d, "elastic", "alpha double, l1_ratio double")
+
+
+def ridge_grid(spark, d):
+    """The search on all basic features: the chosen setting has the least error, and its error beats the mean's."""
+    rows = features.basic(hourly(spark, d, "sum"), HOURLY)
+    names = features.feature_names(rows, HOURLY)
+    search = enhanced_linear(HOURLY)
+    model = search.fit(features.model_table(rows, HOURLY, names), names)
+    errors = {r["params"]["alpha"]: r["mean_mse"] for r in search.results}
+    plain = rows.agg(F.var_pop("y")).first()[0]
+    made = [(a, e == min(errors.values()), search.best_params["alpha"] == a, bool(e < plain), len(model.coefficients))
+            for a, e in errors.items()]
+    return presented(spark.createDataFrame(made, "alpha double, least boolean, best boolean, better boolean, n_features int")
+                     .select("alpha", (F.col("least") == F.col("best")).alias("best_is_least"), "better", "n_features"))
 
 
 def ensemble_weights(spark, d):
@@ -672,6 +694,21 @@ def forecast_two_features(spark, d):
                                        model_name=fitted.name, inputs=TWO))
 
 
+def forecast_per_series(spark, d):
+    """Each series by its own line through the value of a day before."""
+    h = hourly(spark, d, "sum")
+    rows = features.basic(h, HOURLY)
+    fitted = create_model("linear_per_series", spec=HOURLY).fit(features.model_table(rows, HOURLY, TWO[:1]), TWO[:1])
+    return presented(forecast.forecast(rows, HOURLY, fitted.transform, 24, model_name=fitted.name, inputs=TWO[:1]))
+
+
+def per_series_search(spark, d):
+    """The penalty of each series, chosen over its own time folds, and its line."""
+    fitted = create_model("enhanced_per_series", spec=HOURLY).fit(_wave(spark, d), ["hour_cos"])
+    return presented(fitted.table.select("event_type", F.col("_n").alias("n_rows"), F.col("_alpha").alias("alpha"),
+                                         F.col("_intercept").alias("intercept"), F.col("_w0").alias("weight")))
+
+
 def forecast_saved(spark, d):
     """The same from the newest saved model of the type; an older one lies beside it."""
     h, rows = _two_features(spark, d)
@@ -803,6 +840,8 @@ QUERIES: dict[str, Query] = {
     "ridge": ridge,
     "elastic_net": elastic_net,
     "grid_search": grid_search,
+    "elastic_grid": elastic_grid,
+    "ridge_grid": ridge_grid,
     "ensemble_weights": ensemble_weights,
     "contributions": contributions,
     "random_forest": random_forest,
@@ -815,6 +854,8 @@ QUERIES: dict[str, Query] = {
     "forecast_rows": forecast_rows,
     "forecast_linear": forecast_linear,
     "forecast_two_features": forecast_two_features,
+    "forecast_per_series": forecast_per_series,
+    "per_series_search": per_series_search,
     "forecast_saved": forecast_saved,
     "latest_model": latest_model,
 }

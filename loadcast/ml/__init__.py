@@ -1,7 +1,7 @@
 """Models by name.
 
-Plain types need no series description; ``enhanced_*`` and ``ensemble`` search over time
-folds and take ``spec``.
+Plain types need no series description; ``enhanced_*`` and ``ensemble`` search over time folds and take ``spec``,
+as do the types that fit a model per series.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..series import SeriesSpec
-from . import models, search
+from . import models, per_series, search
 from .ensemble import Ensemble, FittedEnsemble
 from .least import FittedLinear
 from .models import FittedModel, read_details
+from .per_series import FittedPerSeries
 from .quantile import FittedQuantileModel, QuantileBoosting
 
 
@@ -28,12 +29,17 @@ BUILDERS = {
     "lightgbm": models.leafy_boosting,
     "gradient_boosting": models.boosting,
     "gradient_boosting_quantile": QuantileBoosting,
+    "linear_per_series": per_series.PerSeries,
+    "enhanced_per_series": per_series.enhanced_per_series,
     "enhanced_linear": search.enhanced_linear,
     "enhanced_random_forest": search.enhanced_random_forest,
     "enhanced_lightgbm": search.enhanced_boosting,
     "ensemble": _ensemble,
 }
 
+#: Types that take ``spec``.
+NEED_SPEC = {t for t in BUILDERS if t.startswith("enhanced_") or t.endswith("_per_series")} | {"ensemble"}
+
 SUPPORTS_INTERVALS = {"gradient_boosting_quantile"}
 
 
@@ -49,7 +55,8 @@ def available_models() -> dict[str, dict]:
     return {t: {"name": n, "supports_intervals": t in SUPPORTS_INTERVALS} for t, n in models.NAMES.items()}
 
 
-def load_model(spark: SparkSession, path: str) -> FittedLinear | FittedModel | FittedQuantileModel | FittedEnsemble:
+def load_model(spark: SparkSession, path: str):
+    """The fitted model saved at ``path``, of whatever type."""
     kind = read_details(spark, path)["kind"]
     return {"linear": FittedLinear, "pipeline": FittedModel, "quantile": FittedQuantileModel,
-            "ensemble": FittedEnsemble}[kind].load(spark, path)
+            "ensemble": FittedEnsemble, "per_series": FittedPerSeries}[kind].load(spark, path)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import score
+from .moments import Scatter
 
 #: Share of the largest eigenvalue below which a direction counts as empty: sums of doubles know no better.
 EMPTY = 1e-11
@@ -59,6 +60,16 @@ def moments(df: DataFrame, features: list[str], target: str) -> Moments:
     return Moments(n, means, deviations, matrix.computeGramianMatrix().toArray())
 
 
+def standardised(found: Scatter) -> Moments:
+    """The same of a scatter matrix whose last column is the target. Values that are not finite are an error."""
+    if not np.isfinite(found.scatter).all():
+        raise ValueError("null, infinite or undefined values in the features or the target")
+    deviations = np.sqrt(np.diag(found.scatter) / found.n)
+    deviations[deviations <= 1e-12 * np.abs(found.mean)] = 0.0
+    scale = np.where(deviations > 0, deviations, 1.0)
+    return Moments(found.n, found.mean, deviations, found.scatter / np.outer(scale, scale))
+
+
 def solve(m: Moments, alpha: float = 0.0) -> tuple[np.ndarray, float]:
     """Coefficients and intercept that minimise |y - Xw - b|^2 + alpha |w|^2, of least norm among equals."""
     p = len(m.means) - 1

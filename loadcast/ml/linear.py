@@ -1,34 +1,25 @@
-"""Ridge and elastic net with the penalties of the usual least-squares formulation.
+"""Ridge and elastic net, solved on the scatter matrix of the rows, and their searches over time folds.
 
-Spark divides the target by its deviation before it applies a penalty; the factors of the elastic net
-undo that, so that alpha means: |y - Xw|^2 + alpha |w|^2 for ridge, and
-|y - Xw|^2 / (2n) + alpha (l1 |w|_1 + (1 - l1) |w|^2 / 2) for the elastic net.
+Alpha means |y - Xw|^2 + alpha |w|^2 for ridge, and |y - Xw|^2 / (2n) + alpha (l1 |w|_1 + (1 - l1) |w|^2 / 2) for the
+elastic net.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegression
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .least import LeastSquares
-from .models import FittedModel, fit_pipeline
+from .least import FittedLinear, LeastSquares, solve, standardised
+from .moments import Scatter, elastic, group_moments, scatter_of, squared_error, sum_of
 
 # The grids searched.
 RIDGE_GRID = [{"alpha": a} for a in (0.1, 1.0, 10.0, 100.0)]
 ELASTIC_GRID = [{"alpha": a, "l1_ratio": l1} for a in (0.1, 1.0, 10.0) for l1 in (0.1, 0.5, 0.9)]
 
 
-def _scale(df: DataFrame, target: str) -> tuple[int, float]:
-    row = df.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("s")).first()
-    return row.n, row.s or 0.0
-
-
-def _regression(reg: float, mix: float) -> LinearRegression:
-    # the l1 part needs the iterative solver, run to convergence
-    return LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False, maxIter=1000, tol=1e-12)
-
-
 class Ridge(LeastSquares):
     def __init__(self, alpha: float = 1.0):
         super().__init__("Ridge", alpha)
@@ -38,10 +29,34 @@ class ElasticNet:
     def __init__(self, alpha: float = 1.0, l1_ratio: float = 0.5):
         self.name, self.alpha, self.l1_ratio = "Elastic Net", alpha, l1_ratio
 
-    def fit(self, df: DataFrame, features: list[str], target: str = "y") -> FittedModel:
-        _, s = _scale(df, target)
-        lasso, ridge = self.alpha * self.l1_ratio, self.alpha * (1 - self.l1_ratio) * s
-        total = lasso + ridge
-        estimator = _regression(total, lasso / total if total else 0.0)
-        return FittedModel(self.name, list(features), fit_pipeline(df, estimator, features, target),
-                           target, {"alpha": self.alpha, "l1_ratio": self.l1_ratio})
+    def fit(self, df: DataFrame, features: list[str], target: str = "y") -> FittedLinear:
+        """One pass; rows without a target do not count, a null feature is an error."""
+        row = group_moments(df.where(F.col(target).isNotNull()), [*features, target], []).first()
+        if row is None:
+            raise ValueError("no row with a target to fit on")
+        found = scatter_of(row, len(features) + 1)
+        standardised(found)  # for its checks
+        weights, intercept = elastic(found, self.alpha, self.l1_ratio)
+        return FittedLinear(self.name, list(features), weights.tolist(), intercept, target,
+                            {"alpha": self.alpha, "l1_ratio": self.l1_ratio})
+
+
+def solver(settings: dict) -> Callable[[Scatter], tuple[np.ndarray, float]]:
+    """How the coefficients of a setting follow from a scatter matrix: an elastic net if it names ``l1_ratio``."""
+    if "l1_ratio" in settings:
+        return lambda found: elastic(found, settings["alpha"], settings["l1_ratio"])
+    return lambda found: solve(standardised(found), settings["alpha"])
+
+
+def searched(blocks: dict[int, Scatter], grid: list[dict], folds: int) -> tuple[list[float], int, np.ndarray, float]:
+    """Mean squared error of each setting over the folds, the best one, and its fit on all blocks.
+
+    Fold k trains on the blocks below k and is tested on block k; moments of blocks add up, so no fold reads a row.
+    A fold without tested or without training rows does not count.
+    """
+    tested = [k for k in range(1, folds + 1) if k in blocks and any(b < k for b in blocks)]
+    trained = {k: sum_of([blocks[b] for b in sorted(blocks) if b < k]) for k in tested}
+    errors = [float(np.mean([squared_error(blocks[k], *solver(s)(trained[k])) for k in tested])) if tested else float("nan")
+              for s in grid]
+    best = int(np.nanargmin(errors)) if tested else 0
+    return errors, best, *solver(grid[best])(sum_of([blocks[b] for b in sorted(blocks)]))

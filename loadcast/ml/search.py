@@ -14,7 +14,9 @@ from ..operators.splits import FOLDS
 from ..series import SeriesSpec
 from ..session import cut_lineage
 from . import models
-from .linear import ELASTIC_GRID, RIDGE_GRID, ElasticNet, Ridge
+from .least import FittedLinear, standardised
+from .linear import ELASTIC_GRID, RIDGE_GRID, searched
+from .moments import group_moments, scatter_of
 
 # The grids searched for trees.
 FOREST_GRID = [{"numTrees": t, "maxDepth": d, "minInstancesPerNode": m}
@@ -72,11 +74,41 @@ class GridSearch:
         return model
 
 
-def enhanced_linear(spec: SeriesSpec, regularization: str = "ridge", **options) -> GridSearch:
+class LinearSearch:
+    """The same search for penalised linear models, in two passes however many settings and folds.
+
+    One pass cuts the rows into time blocks, one takes the blocks' moments; every fit and every error follows from
+    these on the driver, which holds ``folds + 1`` matrices.
+    """
+
+    def __init__(self, name: str, grid: list[dict], spec: SeriesSpec, folds: int = FOLDS):
+        self.name, self.grid, self.spec, self.folds = name, grid, spec, folds
+        self.results: list[dict] = []
+        self.best_params: dict | None = None
+
+    def fit(self, df: DataFrame, features: list[str], target: str | None = None) -> FittedLinear:
+        target = target or self.spec.target
+        columns = dict.fromkeys([*self.spec.keys, *self.spec.order, target, *features])
+        rows = folded(df.select(*columns), self.spec, self.folds).where(F.col(target).isNotNull())
+        width = len(features) + 1
+        blocks = {r["_block"]: scatter_of(r, width)
+                  for r in group_moments(rows, [*features, target], ["_block"]).collect()}
+        if not blocks:
+            raise ValueError("no row with a target to fit on")
+        for found in blocks.values():
+            standardised(found)  # for its checks
+        errors, best, weights, intercept = searched(blocks, self.grid, self.folds)
+        self.results = [{"params": p, "mean_mse": e} for p, e in zip(self.grid, errors, strict=True)]
+        self.best_params = self.grid[best]
+        return FittedLinear(self.name, list(features), weights.tolist(), intercept, target,
+                            {"best_params": self.best_params, "results": self.results})
+
+
+def enhanced_linear(spec: SeriesSpec, regularization: str = "ridge", **options) -> LinearSearch:
     if regularization == "ridge":
-        return GridSearch("Enhanced Ridge", Ridge, RIDGE_GRID, spec, **options)
+        return LinearSearch("Enhanced Ridge", RIDGE_GRID, spec, **options)
     if regularization == "elastic":
-        return GridSearch("Enhanced Elastic", ElasticNet, ELASTIC_GRID, spec, **options)
+        return LinearSearch("Enhanced Elastic", ELASTIC_GRID, spec, **options)
     raise ValueError("regularization must be ridge or elastic")
 
 

@@ -397,6 +397,39 @@ def grid_search_sql() -> str:
     SELECT alpha::DOUBLE AS alpha, {r('mean_mse')} AS mean_mse, mean_mse = (SELECT min(mean_mse) FROM t) AS best FROM t"""
 
 
+def elastic_grid_sql() -> str:
+    """The same folds; with one feature the elastic net is a soft threshold."""
+    return (grid_search_sql()
+            .replace("a AS (SELECT unnest([0.1, 1.0, 10.0, 100.0]) AS alpha)",
+                     "a AS (SELECT * FROM (SELECT unnest([0.1, 1.0, 10.0]) AS alpha), (SELECT unnest([0.1, 0.5, 0.9]) AS l1_ratio))")
+            .replace("SELECT fold, alpha, mx, my, n * cxy / (n * vx + alpha) AS w",
+                     "SELECT fold, alpha, l1_ratio, mx, my, sign(cxy) * greatest(abs(cxy) - alpha * l1_ratio, 0) "
+                     "/ (vx + alpha * (1 - l1_ratio)) AS w")
+            .replace("SELECT alpha, fold, avg(pow", "SELECT alpha, l1_ratio, fold, avg(pow")
+            .replace("GROUP BY 1, 2),\n    t AS (SELECT alpha, avg(mse) AS mean_mse FROM e GROUP BY 1)",
+                     "GROUP BY 1, 2, 3),\n    t AS (SELECT alpha, l1_ratio, avg(mse) AS mean_mse FROM e GROUP BY 1, 2)")
+            .replace("SELECT alpha::DOUBLE AS alpha,", "SELECT alpha::DOUBLE AS alpha, l1_ratio::DOUBLE AS l1_ratio,"))
+
+
+def per_series_search_sql() -> str:
+    """Ridge per event type: the same folds inside each series, its best penalty, and the line for all its rows."""
+    return f"""WITH {WAVE},
+    n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i,
+          count(*) OVER (PARTITION BY event_type) AS n FROM x),
+    b AS (SELECT *, CASE WHEN i < n - 3 * (n // 4) THEN 0 ELSE (i - (n - 3 * (n // 4))) // (n // 4) + 1 END AS block FROM n),
+    k AS (SELECT unnest([1, 2, 3]) AS fold), a AS (SELECT unnest([0.1, 1.0, 10.0, 100.0]) AS alpha),
+    s AS (SELECT event_type, fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS cxy, var_pop(x) AS vx
+          FROM b, k WHERE block < fold GROUP BY 1, 2),
+    w AS (SELECT event_type, fold, alpha, mx, my, n * cxy / (n * vx + alpha) AS w FROM s, a),
+    e AS (SELECT event_type, alpha, fold, avg(pow(y - (my + w * (x - mx)), 2)) AS mse
+          FROM b JOIN w USING (event_type) WHERE b.block = w.fold GROUP BY 1, 2, 3),
+    t AS (SELECT event_type, arg_min(alpha, mean_mse) AS alpha FROM (SELECT event_type, alpha, avg(mse) AS mean_mse FROM e
+          GROUP BY 1, 2) GROUP BY 1),
+    f AS (SELECT event_type, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS cxy, var_pop(x) AS vx FROM x GROUP BY 1),
+    g AS (SELECT event_type, n, alpha, mx, my, n * cxy / (n * vx + alpha) AS w FROM f JOIN t USING (event_type))
+    SELECT event_type, n AS n_rows, alpha::DOUBLE AS alpha, {r('my - w * mx')} AS intercept, {r('w')} AS weight FROM g"""
+
+
 def weights_ctes(names: list[str], by: str) -> str:
     scores = ", ".join(f"greatest(coalesce({point('y', c)['r2']}, 0.0), 0.0) AS {c}" for c in names)
     total = " + ".join(names)
@@ -660,6 +693,17 @@ ORACLES: dict[str, str] = {
 }
 
 
+def per_series_sql() -> str:
+    """A line per event type through the value of a day before, applied to that type's last row."""
+    return f"""WITH {grid('sum')},
+    x AS (SELECT event_type, ts, y, coalesce(lag(y, 24) {over(BY_TYPE)}, first_value(y) {over(BY_TYPE)}) AS a FROM h),
+    w AS (SELECT event_type, regr_slope(y, a) AS w, regr_intercept(y, a) AS c, max(ts) AS last, arg_max(a, ts) AS a
+          FROM x GROUP BY 1),
+    f AS (SELECT *, unnest(range(1, 25)) AS step FROM w)
+    SELECT event_type, last + step * INTERVAL 1 HOUR AS ts, step AS horizon_step, {r("c + w * a")} AS yhat,
+    'Linear Regression per Series' AS model_name, '1.0' AS model_version FROM f"""
+
+
 def two_features_sql() -> str:
     """Least squares with two features by the rule for two unknowns, applied to each series' next day."""
     return f"""WITH {grid('sum')},
@@ -690,6 +734,11 @@ ORACLES |= {
     "ensemble_round_trip": f"WITH {days()} SELECT ts, true AS same FROM d",
     "forecast_two_features": two_features_sql(),
     "forecast_saved": two_features_sql(),
+    "forecast_per_series": per_series_sql(),
+    "per_series_search": per_series_search_sql(),
+    "elastic_grid": elastic_grid_sql(),
+    "ridge_grid": "SELECT unnest([0.1, 1.0, 10.0, 100.0])::DOUBLE AS alpha, true AS best_is_least, true AS better, "
+                  "35::BIGINT AS n_features",
 }
 ORACLES["ingest_stream"] = ORACLES["ingest_records"].replace("SELECT event_id, ", "SELECT ", 1)
 ORACLES["report_round_trip"] = (

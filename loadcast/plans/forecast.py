@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..ml import create_model, load_model
+from ..ml import NEED_SPEC, create_model, load_model
 from ..operators.project import fill_constant, fixed_interval, last_row, tail
 from ..operators.resample import future
 from ..series import SeriesSpec
-from ..session import cut_lineage
+from ..session import keep_table
 from ..sources.store import latest_model
 from .features import basic, feature_names, model_table
 
@@ -69,12 +69,15 @@ def train_and_forecast(df: DataFrame, spec: SeriesSpec, model_type: str = "linea
                        training_rows: int | None = None, **params) -> DataFrame:
     """Features, a model fitted on them, and its forecast for every series.
 
+    ``linear_per_series`` and ``enhanced_per_series`` fit one model per series, other types one for all series.
     ``training_rows`` keeps the newest rows of each series for the fit; by default all count. The features are
     stored once: fitting reads them several times.
     """
-    features = cut_lineage(basic(df, spec))
+    features = keep_table(basic(df, spec), "features")
     names = feature_names(features, spec)
     recent = tail(features, spec, training_rows) if training_rows else features
+    if model_type in NEED_SPEC:
+        params = {"spec": spec, **params}
     model = create_model(model_type, **params).fit(model_table(recent, spec, names), names, spec.target)
     return forecast(features, spec, model.transform, horizon, step, with_intervals, model.name, names)
 

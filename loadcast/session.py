@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,11 @@ def keep_table(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reach_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, besides their own path."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])

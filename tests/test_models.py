@@ -77,7 +77,7 @@ def test_elastic_net_is_optimal(table):
     pdf, df = table
     names, alpha, l1 = ["feature1", "feature2", "wave"], 0.3, 0.5
     model = ElasticNet(alpha, l1).fit(df, names)
-    w = np.array(model.pipeline.stages[-1].coefficients)
+    w = np.array(model.coefficients)
     x = pdf[names].to_numpy() - pdf[names].to_numpy().mean(0)
     rest = pdf.y.to_numpy() - pdf.y.mean() - x @ w
     slope = x.T @ rest / len(pdf) - alpha * (1 - l1) * w
