@@ -622,6 +622,25 @@ def boosted_stump(spark, d):
     return presented(fitted.transform(rows).select("ts", "yhat"), 2)
 
 
+def _weekends(spark: SparkSession, d: str) -> DataFrame:
+    return daily(spark, d).withColumn("weekend", cal.is_weekend(F.col("ts")).cast("int"))
+
+
+def leaf_boosting_stumps(spark, d):
+    """Two rounds of two leaves on a yes-or-no feature go half the way to the means of the two groups each time."""
+    rows = _weekends(spark, d)
+    fitted = create_model("lightgbm", n_estimators=2, learning_rate=0.5, num_leaves=2, feature_fraction=1.0,
+                          bagging_fraction=1.0).fit(rows, ["weekend"])
+    return presented(fitted.transform(rows).select("ts", "yhat"), 2)
+
+
+def quantile_boosting_stumps(spark, d):
+    """The same with quantiles: half the way from those of all rows to those of the two groups, twice."""
+    rows = _weekends(spark, d)
+    fitted = create_model("gradient_boosting_quantile", n_estimators=2, learning_rate=0.5, max_depth=1).fit(rows, ["weekend"])
+    return presented(fitted.transform(rows).select("ts", *[quantile_name(p) for p in fitted.quantiles]), 2)
+
+
 def quantile_boosting(spark, d):
     """Each boosted quantile loses less than the plain quantile of the target."""
     rows, names = daily_model_table(spark, d)
@@ -847,6 +866,8 @@ QUERIES: dict[str, Query] = {
     "random_forest": random_forest,
     "gradient_boosting": gradient_boosting,
     "boosted_stump": boosted_stump,
+    "leaf_boosting_stumps": leaf_boosting_stumps,
+    "quantile_boosting_stumps": quantile_boosting_stumps,
     "quantile_boosting": quantile_boosting,
     "ensemble_forecast": ensemble_forecast,
     "ensemble_round_trip": ensemble_round_trip,

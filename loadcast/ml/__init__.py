@@ -14,7 +14,7 @@ from .ensemble import Ensemble, FittedEnsemble
 from .least import FittedLinear
 from .models import FittedModel, read_details
 from .per_series import FittedPerSeries
-from .quantile import FittedQuantileModel, QuantileBoosting
+from .quantile import FittedBoosting, FittedQuantileModel, LeafBoosting, QuantileBoosting
 
 
 def _ensemble(spec: SeriesSpec, members: list | None = None, holdout: bool = False) -> Ensemble:
@@ -26,7 +26,7 @@ def _ensemble(spec: SeriesSpec, members: list | None = None, holdout: bool = Fal
 BUILDERS = {
     "linear": models.linear,
     "random_forest": models.random_forest,
-    "lightgbm": models.leafy_boosting,
+    "lightgbm": LeafBoosting,
     "gradient_boosting": models.boosting,
     "gradient_boosting_quantile": QuantileBoosting,
     "linear_per_series": per_series.PerSeries,
@@ -59,4 +59,4 @@ def load_model(spark: SparkSession, path: str):
     """The fitted model saved at ``path``, of whatever type."""
     kind = read_details(spark, path)["kind"]
     return {"linear": FittedLinear, "pipeline": FittedModel, "quantile": FittedQuantileModel,
-            "ensemble": FittedEnsemble, "per_series": FittedPerSeries}[kind].load(spark, path)
+            "ensemble": FittedEnsemble, "per_series": FittedPerSeries, "boosting": FittedBoosting}[kind].load(spark, path)

@@ -24,7 +24,7 @@ NAMES = {
     "gradient_boosting_quantile": "Gradient Boosting Quantile",
 }
 FOREST = {"numTrees": 100, "seed": 42, "featureSubsetStrategy": "all", "maxDepth": 12}
-LEAFY_BOOSTING = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 5, "featureSubsetStrategy": "0.9",
+BOOSTING = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 5, "featureSubsetStrategy": "0.9",
                   "subsamplingRate": 0.8, "seed": 42}
 BOOSTING = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6, "seed": 42}
 
@@ -98,10 +98,6 @@ def random_forest(n_estimators: int = 100, random_state: int = 42, **params) ->
     return Regressor(NAMES["random_forest"], RandomForestRegressor(**settings))
 
 
-def leafy_boosting(**params) -> Regressor:
-    return Regressor(NAMES["lightgbm"], GBTRegressor(**{**LEAFY_BOOSTING, **params}))
-
-
 def boosting(**params) -> Regressor:
     return Regressor(NAMES["gradient_boosting"], GBTRegressor(**{**BOOSTING, **params}))
 

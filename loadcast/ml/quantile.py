@@ -1,77 +1,29 @@
-"""Boosted trees for quantiles: the pinball loss, which Spark's own boosting lacks.
+"""Boosted trees for quantiles and for the mean, and what fitted ones can do.
 
-Each round fits a regression tree to the sign of the residuals and sets every leaf to the
-wanted quantile of the residuals in it. Leaves are merged sketches, so no leaf's rows are
-gathered; the driver holds at most 2^depth numbers per tree. The table of running
-predictions is cached between rounds and checkpointed every few, so that neither the plan
-nor the loss of an executor makes the work start over.
+A fitted model is one expression of constant size over the feature columns, so predicting stays in the JVM.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import score, score_quantiles
-from ..session import cut_lineage
-from .models import NAMES, VECTOR, read_details, write_details
+from .histograms import Boosting, Growth, Loss
+from .models import NAMES, read_details, write_details
 
 # Default quantiles and boosting settings.
 QUANTILES = [0.1, 0.5, 0.9]
 ROUNDS, RATE, DEPTH, SEED = 100, 0.1, 6, 42
 
-SKETCH_ACCURACY = 10_000
-CHECKPOINT_EVERY = 10
-_LEAF, _TREE = "_leaf", "_tree"
-
 
 def quantile_name(q: float) -> str:
     return f"q{round(q * 100)}"
 
 
-def _step(leaves: dict[int, float]) -> Column:
-    """Leaf number -> value, as a lookup in a literal map."""
-    return F.create_map(*[F.lit(x) for pair in sorted(leaves.items()) for x in pair])[F.col(_LEAF).cast("int")]
-
-
-_SPLIT = re.compile(r"If \(feature (\d+) <= ([^)]+)\)")
-
-
-def _nodes(tree: DecisionTreeRegressionModel, leaves: dict[int, float]) -> list[list[float]]:
-    """A tree as rows feature, threshold, place if not above it, place if above it, value; leaves have feature -1.
-
-    Read from the model's own description, whose numbers are exact. Leaves are numbered from left to right, and
-    hold their value from ``leaves``.
-    """
-    lines = iter(tree.toDebugString.splitlines()[1:])
-    rows: list[list[float]] = []
-    count = 0
-
-    def read(line: str) -> int:
-        nonlocal count
-        place = len(rows)
-        split = _SPLIT.search(line)
-        if split is None:
-            rows.append([-1, 0.0, place, place, leaves.get(count, 0.0)])
-            count += 1
-            return place
-        rows.append([int(split[1]), float(split[2]), 0, 0, 0.0])
-        rows[place][2] = read(next(lines))
-        next(lines)  # Else
-        rows[place][3] = read(next(lines))
-        return place
-
-    read(next(lines))
-    return rows
-
-
 @dataclass
 class Boosted:
     """One quantile: a start value, then trees as rows of nodes."""
@@ -172,46 +124,65 @@ class QuantileBoosting:
         self.seed, self.min_instances, self.sort_crossing = random_state, min_instances, sort_crossing
 
     def fit(self, df: DataFrame, features: list[str], target: str = "y") -> FittedQuantileModel:
-        qs = self.quantiles
-        current = [f"_f{i}" for i in range(len(qs))]
-        rows = (VectorAssembler(inputCols=list(features), outputCol=VECTOR)
-                .transform(df.where(F.col(target).isNotNull())).select(VECTOR, F.col(target).alias("_y")))
-        rows = cut_lineage(rows)
-        start = rows.agg(F.percentile_approx("_y", qs, SKETCH_ACCURACY)).first()[0]
-        members = {q: Boosted(float(s), self.rate) for q, s in zip(qs, start)}
-        state = rows.withColumns({c: F.lit(m.start) for c, m in zip(current, members.values())}).persist()
-        with ThreadPoolExecutor(len(qs)) as pool:
-            for r in range(self.rounds):
-                trees = list(pool.map(lambda i: self._tree(state, current[i], qs[i], r), range(len(qs))))
-                leaves = list(pool.map(
-                    lambda i: self._leaves(state, trees[i], current[i], qs[i]), range(len(qs))))
-                after = state
-                for i, q in enumerate(qs):
-                    members[q].trees.append(_nodes(trees[i], leaves[i]))
-                    after = (trees[i].transform(after)
-                             .withColumn(current[i], F.col(current[i]) + self.rate * _step(leaves[i]))
-                             .drop(_LEAF, _TREE))
-                if (r + 1) % CHECKPOINT_EVERY == 0 and r + 1 < self.rounds:
-                    after = cut_lineage(after)
-                after = after.persist()
-                if r + 1 < self.rounds:
-                    after.count()
-                state.unpersist()
-                state = after
-        state.unpersist()
+        """Each round's trees follow the sign of the residuals; each leaf becomes the wanted quantile of those in it."""
+        found = Boosting(df, features, target, [Loss(q) for q in self.quantiles], self.rate,
+                         Growth(max_depth=self.depth, min_rows=self.min_instances), self.seed).run(self.rounds)
+        members = {q: Boosted(found.start[i], self.rate, [t.rows(found.edges) for t in found.trees[i]])
+                   for i, q in enumerate(self.quantiles)}
         params = {"n_estimators": self.rounds, "learning_rate": self.rate, "max_depth": self.depth,
                   "random_state": self.seed}
         return FittedQuantileModel(self.name, list(features), target, members, params, self.sort_crossing)
 
-    def _tree(self, state: DataFrame, f: str, q: float, r: int) -> DecisionTreeRegressionModel:
-        pull = F.when(F.col("_y") > F.col(f), F.lit(q)).otherwise(F.lit(q - 1))
-        tree = DecisionTreeRegressor(
-            featuresCol=VECTOR, labelCol="_pull", predictionCol=_TREE, leafCol=_LEAF,
-            maxDepth=self.depth, minInstancesPerNode=self.min_instances, seed=self.seed + r)
-        return tree.fit(state.select(VECTOR, pull.alias("_pull")))
-
-    def _leaves(self, state: DataFrame, tree: DecisionTreeRegressionModel, f: str, q: float) -> dict[int, float]:
-        rest = F.col("_y") - F.col(f)
-        found = (tree.transform(state).groupBy(F.col(_LEAF).cast("int").alias("leaf"))
-                 .agg(F.percentile_approx(rest, q, SKETCH_ACCURACY).alias("value")).collect())
-        return {row.leaf: float(row.value) for row in found}
+
+@dataclass
+class FittedBoosting:
+    """Boosted trees for the mean. ``transform`` adds ``yhat``."""
+
+    name: str
+    feature_names: list[str]
+    member: Boosted
+    depth: int
+    target: str = "y"
+    details: dict = field(default_factory=dict)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("yhat", self.member.prediction(self.feature_names, self.depth))
+
+    def evaluate(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
+        return score(self.transform(df), self.target, "yhat", by)
+
+    def save(self, path: str) -> None:
+        write_details(SparkSession.active(), path, {
+            "kind": "boosting", "name": self.name, "feature_names": self.feature_names, "target": self.target,
+            "depth": self.depth, "details": self.details, "start": self.member.start, "rate": self.member.rate,
+            "trees": self.member.trees})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedBoosting:
+        info = read_details(spark, path)
+        return cls(info["name"], info["feature_names"], Boosted(info["start"], info["rate"], info["trees"]),
+                   info["depth"], info["target"], info["details"])
+
+
+class LeafBoosting:
+    """Trees grown leaf by leaf, best first, for the squared error, on samples of features and rows.
+
+    Each tree sees ``feature_fraction`` of the features; ``bagging_fraction`` of the rows are drawn anew every
+    ``bagging_freq`` rounds. A leaf keeps ``min_child_samples`` rows.
+    """
+
+    def __init__(self, n_estimators: int = 100, learning_rate: float = 0.05, num_leaves: int = 31,
+                 feature_fraction: float = 0.9, bagging_fraction: float = 0.8, bagging_freq: int = 5,
+                 min_child_samples: int = 20, random_state: int = 42, name: str = NAMES["lightgbm"]):
+        self.name, self.rounds, self.rate, self.leaves = name, n_estimators, learning_rate, num_leaves
+        self.features, self.rows, self.every = feature_fraction, bagging_fraction, bagging_freq
+        self.least, self.seed = min_child_samples, random_state
+
+    def fit(self, df: DataFrame, features: list[str], target: str = "y") -> FittedBoosting:
+        found = Boosting(df, features, target, [Loss()], self.rate, Growth(max_leaves=self.leaves, min_rows=self.least),
+                         self.seed, self.features, self.rows, self.every).run(self.rounds)
+        trees = found.trees[0]
+        depth = max((max(t.depth) for t in trees), default=0)
+        details = {"n_estimators": self.rounds, "learning_rate": self.rate, "num_leaves": self.leaves}
+        return FittedBoosting(self.name, list(features), Boosted(found.start[0], self.rate, [t.rows(found.edges) for t in trees]),
+                              depth, target, details)

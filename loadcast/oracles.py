@@ -704,6 +704,18 @@ def per_series_sql() -> str:
     'Linear Regression per Series' AS model_name, '1.0' AS model_version FROM f"""
 
 
+def stumps_sql(names: list[str], whole: str, group: str) -> str:
+    """From a statistic of all rows half the way to that of the row's group, twice."""
+    cells = ", ".join(f"{whole.format(q=n)} AS s{i}" for i, n in enumerate(names))
+    parts = ", ".join(f"{group.format(q=n)} AS g{i}" for i, n in enumerate(names))
+    out = ", ".join(f"{r(f's{i} + 0.75 * (g{i} - s{i})', 2)} AS {'yhat' if len(names) == 1 else f'q{round(float(n) * 100)}'}"
+                    for i, n in enumerate(names))
+    return f"""WITH {days()}, w AS (SELECT ts, y, isodow(ts) >= 6 AS g, row_number() OVER (ORDER BY y) AS k, count(*) OVER () AS n,
+          row_number() OVER (PARTITION BY isodow(ts) >= 6 ORDER BY y) AS kg, count(*) OVER (PARTITION BY isodow(ts) >= 6) AS ng FROM d),
+    a AS (SELECT {cells} FROM w), b AS (SELECT g, {parts} FROM w GROUP BY g)
+    SELECT ts, {out} FROM w JOIN b USING (g), a"""
+
+
 def two_features_sql() -> str:
     """Least squares with two features by the rule for two unknowns, applied to each series' next day."""
     return f"""WITH {grid('sum')},
@@ -729,6 +741,8 @@ ORACLES |= {
     "random_forest": f"WITH {days()} SELECT ts, {r('y / 1e6')} AS y, true AS in_range FROM d",
     "gradient_boosting": f"WITH {days()} SELECT count(*) AS n_rows, true AS better_than_mean FROM d",
     "boosted_stump": f"""WITH {days()} SELECT ts, {r("avg(y) OVER (PARTITION BY isodow(ts) >= 6)", 2)} AS yhat FROM d""",
+    "leaf_boosting_stumps": stumps_sql(["0"], "avg(y)", "avg(y)"),
+    "quantile_boosting_stumps": stumps_sql(["0.1", "0.5", "0.9"], "min(y) FILTER (k >= {q} * n)", "min(y) FILTER (kg >= {q} * ng)"),
     "quantile_boosting": "SELECT unnest(['q10', 'q50', 'q90']) AS quantile, true AS better",
     "ensemble_forecast": f"WITH {days()} SELECT ts, true AS adds_up, true AS weights_are_shares FROM d",
     "ensemble_round_trip": f"WITH {days()} SELECT ts, true AS same FROM d",

@@ -88,7 +88,7 @@ def test_elastic_net_is_optimal(table):
 
 def test_forest_and_boosting_learn_the_wave(table):
     _, df = table
-    for kind, params in (("random_forest", {"n_estimators": 10, "maxDepth": 5}), ("lightgbm", {"maxIter": 40}),
+    for kind, params in (("random_forest", {"n_estimators": 10, "maxDepth": 5}), ("lightgbm", {"n_estimators": 40}),
                          ("gradient_boosting", {"maxIter": 10, "maxDepth": 3})):
         model = create_model(kind, **params).fit(df, ["wave", "feature1"])
         assert model.evaluate(df).first().r2 > 0.6

@@ -84,7 +84,7 @@ def test_no_python_and_no_cross_join(spark, folder, name):
 
 
 @pytest.mark.parametrize("name,params", [
-    ("linear", {}), ("random_forest", {"n_estimators": 3, "maxDepth": 3}), ("lightgbm", {"maxIter": 2}),
+    ("linear", {}), ("random_forest", {"n_estimators": 3, "maxDepth": 3}), ("lightgbm", {"n_estimators": 2}),
     ("gradient_boosting_quantile", {"n_estimators": 2, "max_depth": 2})])
 def test_model_plans(spark, folder, name, params):
     """Predicting neither shuffles nor leaves the JVM, and the table it reads is the one that was given."""
