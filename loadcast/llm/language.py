@@ -16,6 +16,7 @@ from .common import filter_texts, map_texts, numbered
 UNKNOWN = "und"
 #: Bound of the training sample: texts per language, and bytes per text.
 SAMPLE_TEXTS, SAMPLE_BYTES = 150, 20_000
+#: Bound of the languages: those with the most labelled texts are learned.
 MAX_LANGUAGES = 200
 BUCKETS = 1 << 18
 #: A language's lexicon: its most frequent words in the sample.
@@ -69,17 +70,21 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Crf:
-    """Weights of features by label, of words of each language's lexicon, and of transitions."""
+    """Weights of features by label, of words of each language's lexicon, and of transitions.
+
+    ``lexicon`` has the row of each word in ``members``, which says whose lexicon it is in; row 0 is for other words.
+    """
 
     labels: list[str]
     weights: np.ndarray
     lexicon: dict[str, int]
+    members: np.ndarray
     lexicon_weights: np.ndarray
     transitions: np.ndarray
 
     def _memberships(self, words: list[str]) -> np.ndarray:
-        codes = np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))
-        return (codes[:, None] >> np.arange(len(self.labels))) & 1
+        rows = np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))
+        return self.members[rows].astype(np.int64)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of each label for each word; long words weigh no more than short ones."""
@@ -165,18 +170,21 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, run: int = 12, step
     """
     labels = sorted(set(langs))
     if not labels:
-        return Crf([], np.zeros((0, 0)), {}, np.zeros((0, 0)), np.zeros((0, 0)))
+        return Crf([], np.zeros((0, 0)), {}, np.zeros((1, 0), bool), np.zeros((0, 0)), np.zeros((0, 0)))
     rng = np.random.default_rng(seed)
     size = len(labels)
     pools: list[list[str]] = [[] for _ in labels]
     for text, lang in sorted(zip(texts, langs, strict=True)):
         pools[labels.index(lang)] += _words(text)
     lexicon: dict[str, int] = {}
+    own = []
     for k, pool in enumerate(pools):
         counts = Counter(pool)
-        for w in sorted(counts, key=lambda w: (-counts[w], w))[:LEXICON]:
-            lexicon[w] = lexicon.get(w, 0) | 1 << k
-    model = Crf(labels, np.zeros((BUCKETS, size), np.float32), lexicon, np.zeros((size, size), np.float32),
+        own += [(lexicon.setdefault(w, len(lexicon) + 1), k) for w in sorted(counts, key=lambda w: (-counts[w], w))[:LEXICON]]
+    members = np.zeros((len(lexicon) + 1, size), bool)
+    for row, k in own:
+        members[row, k] = True
+    model = Crf(labels, np.zeros((BUCKETS, size), np.float32), lexicon, members, np.zeros((size, size), np.float32),
                 np.zeros((size, size), np.float32))
     filled = [k for k in range(size) if pools[k]]
     if not filled:
@@ -238,17 +246,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           per_language: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> Crf:
     """Fit on a bounded sample: per language, ``per_language`` texts of up to ``max_bytes`` bytes.
 
-    Only rows outside ``held_out`` with a known language are learned from. The sample is the rows with the
-    smallest hash of their id, found from short columns first; only its texts come to the driver. No labelled
-    row gives a model without labels, which predicts ``und``.
+    Only rows outside ``held_out`` with a known language are learned from, of the ``MAX_LANGUAGES`` languages with the
+    most ids (ties by name). The sample is the ids with the smallest hash, found from short columns first, and of
+    each its smallest text; only these come to the driver. No labelled row gives a model without labels, which
+    predicts ``und``.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(
         F.col("l").isNotNull() & F.col("i").isNotNull() & F.col("t").isNotNull() & ~held_out("i")
         & (F.octet_length("t") <= max_bytes))
+    ids = rows.select("i", "l").distinct()
+    most = ids.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).select("l")
     nth = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    chosen = [r.i for r in rows.select("i", "l").withColumn("n", nth).where(F.col("n") <= per_language)
-              .limit(per_language * MAX_LANGUAGES).collect()]
-    sample = rows.where(F.col("i").isin(chosen)).select("t", "l").collect() if chosen else []
+    chosen = (ids.join(F.broadcast(most), "l").withColumn("n", nth).where(F.col("n") <= per_language).select("i", "l"))
+    # at most per_language * MAX_LANGUAGES short rows
+    sample = rows.join(F.broadcast(chosen), ["i", "l"]).groupBy("i", "l").agg(F.min("t").alias("t")).collect()
     return fit([r.t for r in sample], [r.l for r in sample])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import fresh, stored
 from .filters import bitmap_of, maybe_in, split_by
 
+#: Characters from which lines within ``THRESHOLD`` edits count as the same; equal ones do at any length.
 MIN_CHARS = 30
 THRESHOLD = 1
 #: Lines in one index entry up to which its pairs are compared; lines of fuller entries go by deletions.
@@ -107,13 +108,17 @@ def within(a: str, b: str, threshold: int) -> Column:
 
 
 def line_table(docs: DataFrame, min_chars: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of long lines (i, th, pos, key) and distinct lines with first place and index entries."""
-    long_lines = _lines(docs).where(F.length("line") >= min_chars)
+    """Occurrences of lines with a word (i, th, pos, key) and distinct lines with first place and index entries.
+
+    Lines under ``min_chars`` have no entries.
+    """
+    worded = _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     at = F.struct("i", "th", "pos").alias("at")
-    occurrences = long_lines.select("i", "th", "pos", _key().alias("key"))
-    line = F.col("line")
-    distinct = (long_lines.select(_key().alias("key"), at, F.array(*index_entries(line, threshold)).alias("index"),
-                                  F.array(*probe_entries(line, threshold)).alias("probe"))
+    occurrences = worded.select("i", "th", "pos", _key().alias("key"))
+    line, long = F.col("line"), F.length("line") >= min_chars
+    distinct = (worded.select(_key().alias("key"), at,
+                              F.when(long, F.array(*index_entries(line, threshold))).alias("index"),
+                              F.when(long, F.array(*probe_entries(line, threshold))).alias("probe"))
                 .groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n"),
                                     F.first("index").alias("index"), F.first("probe").alias("probe")))
     return occurrences, stored(distinct, "lines")
@@ -182,8 +187,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ch
          threshold: int = THRESHOLD, cell_pairs: int = CELL_PAIRS) -> DataFrame:
     """Lines to remove: i, th (hash of the text), pos, equal, links.
 
-    A line of at least ``min_chars`` characters goes if an equal one, or one within ``threshold`` edits, stands
-    earlier; earlier means a smaller (id, hash of text, place), a null id first. ``equal`` tells which, ``links``
+    A line with a word goes if an equal one stands earlier, and one of at least ``min_chars`` characters if another
+    such line within ``threshold`` edits does; earlier means a smaller (id, hash of text, place), a null id first. ``equal`` tells which, ``links``
     counts the other distinct lines within the threshold. Lines that stay are returned too if they have links.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")

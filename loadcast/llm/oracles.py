@@ -53,9 +53,11 @@ _LETTERS = "aehiou nrst"
 _OP6 = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 all_lines AS (SELECT doc_id, unnest(ls) AS ln, generate_subscripts(ls, 1) AS pos FROM docs),
-distinct_lines AS (SELECT ln, min((doc_id, pos)) AS first FROM all_lines WHERE length(ln) >= {MIN_CHARS} GROUP BY ln),
+distinct_lines AS (SELECT ln, min((doc_id, pos)) AS first FROM all_lines
+  WHERE regexp_matches(ln, '[^\\x20\\x09-\\x0D]') GROUP BY ln),
 counted AS (SELECT *, length(ln) AS len,
-  {", ".join(f"length(ln) - length(replace(ln, '{c}', '')) AS c{k}" for k, c in enumerate(_LETTERS))} FROM distinct_lines),
+  {", ".join(f"length(ln) - length(replace(ln, '{c}', '')) AS c{k}" for k, c in enumerate(_LETTERS))}
+  FROM distinct_lines WHERE length(ln) >= {MIN_CHARS}),
 links AS (SELECT a.ln AS ln, b.ln AS other, b.first AS other_first
   FROM counted a JOIN counted b ON a.len BETWEEN b.len - {THRESHOLD} AND b.len + {THRESHOLD} AND a.ln <> b.ln
    AND {" + ".join(f"abs(a.c{k} - b.c{k})" for k in range(len(_LETTERS)))} <= {2 * THRESHOLD}

@@ -19,7 +19,6 @@ import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import map_texts
 
@@ -196,10 +195,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out("i"))
              .groupBy("i").agg(F.max("y").alias("y")))
     known = rows.select("i").distinct().join(marks, "i")
-    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
-    chosen = known.withColumn("n", nth).where(F.col("n") <= F.when(F.col("y") == 1, toxic_texts).otherwise(ordinary_texts))
-    # at most toxic_texts + ordinary_texts short rows
-    chosen = chosen.where(F.col("n") <= max(toxic_texts, ordinary_texts)).select("i", "y")
+    known = known.select("i", "y", F.xxhash64("i").alias("h"))
+
+    def first(label: int, n: int) -> DataFrame:
+        return known.where(F.col("y") == label).orderBy("h", "i").limit(n).select("i", "y")
+
+    chosen = first(1, toxic_texts).union(first(0, ordinary_texts))  # so many short rows at most
     sample = rows.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect()
     return fit([r.t for r in sample], [r.y for r in sample])
 

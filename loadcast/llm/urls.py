@@ -22,11 +22,9 @@ def path_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _expressions(lengths: list[int]) -> Column:
-    """Every host suffix of whole labels, joined to the path's prefixes of the given lengths."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+def _expressions(labels: list[int], lengths: list[int]) -> Column:
+    """The host's suffixes of as many labels as some rule has, joined to the path's prefixes of the rules' lengths."""
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in labels]).cast("array<string>"))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]),
                         lambda p: p.isNotNull())
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(
@@ -49,11 +47,12 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
                       F.concat("host", F.lit("\n"), "path").alias("key"))
               .withColumn("r_digest", F.sha2("key", 256))
               .withColumn("short", F.substring("r_digest", 1, SHORT)).drop("key"))
-    # as many numbers as there are different lengths of paths
-    lengths = [r[0] for r in listed.select(F.length("r_path")).distinct().collect()]
+    # as many numbers as there are different lengths of paths and numbers of labels
+    sizes = listed.agg(F.collect_set(F.size(F.split("r_host", r"\."))), F.collect_set(F.length("r_path"))).first()
+    labels, lengths = map(sorted, sizes)
     urls = pages.select(F.col(url_col).cast("string").alias("url")).distinct().select(
         "url", host_of("url").alias("host"), path_of("url").alias("path"))
-    tried = (urls.select("url", F.explode(_expressions(sorted(lengths))).alias("x"))
+    tried = (urls.select("url", F.explode(_expressions(labels, lengths)).alias("x"))
              .withColumn("digest", F.sha2(F.concat("x.s", F.lit("\n"), "x.p"), 256))
              .withColumn("short", F.substring("digest", 1, SHORT)))
     few = listed.limit(broadcast_rules + 1).count() <= broadcast_rules

@@ -21,7 +21,7 @@ def model(docs):
 
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(1)
-    crf = language.Crf(["a", "b", "c"], np.zeros((1, 3)), {}, np.zeros((3, 3)), rng.normal(size=(3, 3)))
+    crf = language.Crf(["a", "b", "c"], np.zeros((1, 3)), {}, np.zeros((1, 3), bool), np.zeros((3, 3)), rng.normal(size=(3, 3)))
     lengths = np.array([4, 1, 5, 4])
     emissions = rng.normal(size=(lengths.sum(), 3)).astype(np.float32)
     found = crf.marginals(emissions, lengths)
@@ -84,3 +84,39 @@ def test_no_labelled_rows(spark):
     model = language.train(docs)
     assert model.labels == [] and language.language(docs, model).first().lang_pred == "und"
     assert language.in_known_language(docs, model).count() == 0
+
+
+def test_expected_transitions_match_enumeration():
+    rng = np.random.default_rng(2)
+    words = ["aa", "bb", "cc", "aa", "bb", "dd", "cc", "bb"]
+    crf = language.Crf(["x", "y"], np.zeros((language.BUCKETS, 2)), {"aa": 1, "bb": 2, "cc": 3},
+                       np.array([[0, 0], [1, 0], [1, 1], [0, 1]], bool), rng.normal(size=(2, 2)), rng.normal(size=(2, 2)))
+    want = np.zeros((2, 2))
+    for run in (words[:4], words[4:]):
+        emissions = crf.emissions(run)
+        total, part = 0.0, np.zeros((2, 2))
+        for path in product(range(2), repeat=4):
+            weight = np.exp(sum(emissions[t, k] for t, k in enumerate(path))
+                            + sum(crf.transitions[a, b] for a, b in zip(path, path[1:])))
+            total += weight
+            for a, b in zip(path, path[1:]):
+                part[a, b] += weight
+        want += part / total
+    assert np.allclose(language._expected_moves(crf, words, 2, 4), want, atol=1e-5)
+
+
+def test_many_languages_and_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    names = [f"l{k:03d}" for k in range(90)]
+    rows = [(k * 100 + j, " ".join(f"{n[1:].translate(str.maketrans('0123456789', 'abcdefghij'))}{x}" for x in rng.choice(list("uvwxyz"), 12)), n)
+            for k, n in enumerate(names) for j in range(4)]
+    model = language.fit([t for _, t, _ in rows], [n for *_, n in rows], epochs=1)
+    assert len(model.labels) == 90 and model.predict([rows[5][1].encode()])[0] == [rows[5][2]]
+    seen = {}
+    monkeypatch.setattr(language, "fit", lambda texts, langs: seen.update(texts=texts, langs=langs))
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    docs = spark.createDataFrame([*rows, *[(i, f"other {n}", "l007") for i in range(1, 25) for n in range(3)],
+                                  *[(i, "more", "l009") for i in range(40, 60)]], "doc_id long, text string, lang string")
+    language.train(docs, per_language=5)
+    assert set(seen["langs"]) >= {"l007", "l009"} and len(set(seen["langs"])) == 3
+    assert max(seen["langs"].count(n) for n in set(seen["langs"])) <= 5 and seen["langs"].count("l009") == 5

@@ -14,9 +14,10 @@ def brute(rows, min_chars=lines.MIN_CHARS, k=lines.THRESHOLD):
     assert len({d[0] for d in docs}) == len(docs), "the order of equal ids is by hash"
     for i, text in docs:
         for p, line in enumerate(text.split("\n")):
-            if len(line) >= min_chars:
+            if edge.words(line):
                 places.setdefault(line, (i is not None, i or 0, p))
-    links = {a: [b for b in places if a != b and abs(len(a) - len(b)) <= k and edge.edits(a, b) <= k] for a in places}
+    links = {a: [b for b in places if a != b and abs(len(a) - len(b)) <= k and edge.edits(a, b) <= k
+                 and min(len(a), len(b)) >= min_chars] for a in places}
     out = {}
     for i, text in docs:
         kept, equal, near, n = [], 0, 0, 0
@@ -52,7 +53,8 @@ def corpus(seed, n=40, pool=12):
             some.append(line)
         rows.append(edge.row(i, "\n".join(some)))
     return rows + [edge.row(900, None), edge.row(901, ""), edge.row(902, "\n\n"), edge.row(None, base[0]),
-                   edge.row(903, "é" * 40 + "\n" + "é" * 39 + "😀")]
+                   edge.row(903, "é" * 40 + "\n" + "é" * 39 + "😀"), edge.row(904, "short\n \t\nshort\nshots"),
+                   edge.row(905, "short\n \t\n" + "x" * 29 + "\n" + "x" * 30)]
 
 
 @pytest.mark.parametrize("threshold,cell_pairs", [(1, 64), (1, 2), (2, 64), (3, 64)])

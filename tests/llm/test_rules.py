@@ -1,6 +1,7 @@
 """URL rules and licences."""
 
 import random
+import time
 from collections import Counter
 
 import edge
@@ -12,7 +13,7 @@ from loadcast.llm.queries import URL_RULES
 PAGES = [(1, "http://Www.Example.ORG/en/123?x=/fr/"), (2, "https://a.b.com/fr/x#y"), (3, None), (4, "no scheme"), (5, ""),
          (6, "http://example.org/es/"), (7, "http://example.org"), (8, "http://org/x"), (9, "ftp://x.com/de/://y"),
          (10, "http://notexample.org/es/"), (11, "http://x.com:80/fr/"), (12, "http://?x"), (12, "http://?x"), (None, "http://b.com/de/"),
-         (13, "a://b://c/d"), (14, "http://a..org/x"), (15, "http://x.com/de\n/fr/")]
+         (13, "a://b://c/d"), (14, "http://a..org/x"), (15, "http://x.com/de\n/fr/"), (16, "http://.org/es/"), (17, "http://com/de/")]
 
 
 def split(url):
@@ -49,6 +50,17 @@ def test_urls_match_brute_force(spark, broadcast_rules):
     assert Counter(map(tuple, found)) == Counter((i, *brute(u, rules)) for i, u in rows)
 
 
+def test_very_long_hosts(spark):
+    rows = [(1, "http://" + "a." * 300_000 + "example.org/es/x"), (2, "http://" + "b" * 500_000 + ".com/de/" + "c" * 500_000),
+            (3, "x" * 1_000_000), (4, "http://" + "." * 500_000)]
+    given = spark.createDataFrame([*URL_RULES, (".org", "/", "block"), ("a.b.c.com", "/", "block")],
+                                  "host string, path string, verdict string")
+    start = time.perf_counter()
+    found = urls.judge(table(spark, rows), given).collect()
+    assert time.perf_counter() - start < 30
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found} == {i: brute(u, URL_RULES) for i, u in rows}
+
+
 def test_no_rules_and_no_pages(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     assert {r.verdict for r in urls.judge(table(spark, PAGES), rules).collect()} == {"allow"}
