@@ -28,7 +28,8 @@ from .plans import audit, features, forecast
 from .series import SeriesSpec, add, q
 from .session import shared_folder
 from .sources import records, store
-from .streaming.ingest import ingest
+from .sources.merge import read_merged
+from .streaming.ingest import ingest, ingest_merged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,6 +131,18 @@ def ingest_stream(spark, d):
     return _record_columns(spark.read.parquet(f"{folder}/table"), [])
 
 
+def ingest_corrected(spark, d):
+    """Records landed, landed again, and some corrected later: one row each, as corrected."""
+    folder = shared_folder(spark, "corrected")
+    lines = record_lines(spark, d)
+    new = lines.where("event_id % 50 = 0").select(
+        F.regexp_replace("value", '"consommation": [^,}]*', '"consommation": 1.5').alias("value"))
+    for some in (lines.select("value"), lines.select("value"), new):
+        some.write.mode("append").text(f"{folder}/landed")
+        ingest_merged(spark, f"{folder}/landed", f"{folder}/table", f"{folder}/state").awaitTermination()
+    return _record_columns(read_merged(spark, f"{folder}/table"), [])
+
+
 def report_round_trip(spark, d):
     path = shared_folder(spark, "report")
     board = audit.leaderboard(by_model(predictions(spark, d)))
@@ -772,6 +785,7 @@ QUERIES: dict[str, Query] = {
     "fallback_source": fallback_source,
     "ingest_records": ingest_records,
     "ingest_stream": ingest_stream,
+    "ingest_corrected": ingest_corrected,
     "report_round_trip": report_round_trip,
     "forecast_round_trip": forecast_round_trip,
     "model_round_trip": model_round_trip,

@@ -755,6 +755,10 @@ ORACLES |= {
                   "35::BIGINT AS n_features",
 }
 ORACLES["ingest_stream"] = ORACLES["ingest_records"].replace("SELECT event_id, ", "SELECT ", 1)
+ORACLES["ingest_corrected"] = (
+    ORACLES["ingest_stream"].replace(f"{r('value')} AS y, {r('value')} AS consommation",
+                                     f"{r('seen')} AS y, {r('seen')} AS consommation")
+    .replace("FROM events", "FROM (SELECT *, CASE WHEN event_id % 50 = 0 THEN 1.5 ELSE value END AS seen FROM events)"))
 ORACLES["report_round_trip"] = (
     f"WITH {p_ctes()} SELECT model, {columns(point('y', 'yhat'))}, {counts('y', 'yhat')} FROM m GROUP BY 1")
 ORACLES["forecast_round_trip"] = ORACLES["forecast_naive"]

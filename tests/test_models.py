@@ -157,6 +157,36 @@ def test_ensemble(table):
         np.testing.assert_allclose(shares["Linear Regression"] + shares["Random Forest"], total)
 
 
+class Broken:
+    """Fits, but cannot predict: at once, or only when the rows are read."""
+
+    def __init__(self, late):
+        self.name, self.late = f"Broken {late}", late
+
+    def fit(self, df, features, target):
+        return self
+
+    def transform(self, df):
+        return df.selectExpr("*", "raise_error('no prediction') + 0D AS yhat" if self.late else "no_such_column AS yhat")
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_a_member_that_cannot_predict(table, late):
+    _, df = table
+    fitted = Ensemble([Broken(late), create_model("linear")], GRID).fit(df, ["wave"])
+    assert fitted.member_weights == [0, 1] and list(fitted.errors) == [0]
+    assert ("no prediction" if late else "no_such_column") in fitted.errors[0]
+    alone = create_model("linear").fit(df, ["wave"]).evaluate(df).first()
+    assert fitted.evaluate(df).first().rmse == pytest.approx(alone.rmse)
+    shares = fitted.contributions(df).first()
+    assert shares[f"Broken {late}"] == 0 and shares["Linear Regression"] == shares.yhat
+    later = Ensemble([create_model("linear"), create_model("linear")], GRID).fit(df, ["wave"])
+    later.members[0] = Broken(False)  # fails only after it was weighted
+    assert later.transform(df).where("yhat IS NOT NULL").count() == 721 and list(later.errors) == [0]
+    nothing = Ensemble([Broken(late)], GRID).fit(df, ["wave"])
+    assert nothing.member_weights == [0] and nothing.transform(df).first().yhat == 0
+
+
 def test_weights_are_equal_when_all_fail(spark):
     df = spark.createDataFrame([(1.0, 9.0, -9.0), (2.0, 8.0, 7.0), (3.0, -5.0, 6.0)], "y double, a double, b double")
     assert weights(df, "y", ["a", "b"]).first().asDict() == {"weight_a": 0.5, "weight_b": 0.5}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loadcast.series import SeriesSpec
 from loadcast.session import cut_lineage
 from loadcast.sources import records, store
+from loadcast.sources.merge import merge_rows, read_merged
 from loadcast.streaming.ingest import ingest, record_stream
 
 LINES = [
@@ -101,3 +102,37 @@ def test_cut_lineage_uses_the_session_folder(spark):
     assert out.count() == 5
     used = spark.sparkContext.getCheckpointDir()
     assert used and (folder is None or folder in used)
+
+
+def test_merged_table_holds_one_row_each(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert read_merged(spark, path) is None
+
+    def batch(*rows):
+        return spark.createDataFrame([(k, dt.datetime(2024, 1, d) if d else None, v) for k, d, v in rows],
+                                     "k string, ts timestamp_ntz, v double")
+
+    def state():
+        return sorted((r.k, r.ts.day, r.v) for r in read_merged(spark, path).collect())
+
+    first = batch(("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, None), ("a", 1, 1.0), ("c", None, 5.0))
+    merge_rows(first, path, ["k", "ts"], "ts", 0)
+    assert state() == [("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, None)]
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / "_day=2024-01-02").iterdir()}
+    for _ in range(2):  # the second time as after a failure
+        merge_rows(batch(("a", 1, 7.0), ("b", 3, 3.0)), path, ["k", "ts"], "ts", 1)
+        assert state() == [("a", 1, 7.0), ("a", 2, 2.0), ("b", 1, None), ("b", 3, 3.0)]
+    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / "_day=2024-01-02").iterdir()} == before
+    merge_rows(batch(("a", 1, 4.0), ("a", 1, 4.0)), path, ["k", "ts"], "ts", 0)  # an earlier batch repeated
+    assert ("a", 1, 7.0) in state()
+    merge_rows(batch(), path, ["k", "ts"], "ts", 2)
+    assert len(state()) == 4
+
+
+def test_equal_records_are_dropped_and_others_of_the_same_time_kept(spark, tmp_path):
+    landed, sink = tmp_path / "landed", str(tmp_path / "sink")
+    landed.mkdir()
+    lines = ['{"date_heure": "2024-01-01T00:00:00+00:00", "consommation": %d}' % v for v in (1, 2, 1)]
+    (landed / "a.json").write_text("\n".join(lines))
+    ingest(spark, str(landed), sink, str(tmp_path / "state"), late_by="1 day").awaitTermination(120)
+    assert sorted(r.y for r in spark.read.parquet(sink).collect()) == [1, 2]
