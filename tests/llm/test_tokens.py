@@ -1,5 +1,6 @@
 """Word encoder, Arrow id files, packing and SentencePiece against the libraries and by round trip."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loadcast.llm import idfiles, packing, pieces, tokens
@@ -207,8 +209,8 @@ def test_neighbours_are_ranked_by_bm25():
     for seed in (0, 7):
         terms = sorted(set(docs[seed].tolist()), key=lambda t: -weight(t, docs[seed]))[:8]
         score = {i: sum(weight(t, d) for t in terms) for i, d in enumerate(docs)}
-        found = shard.neighbours(seed, 8).tolist()
-        assert set(found) == {i for i, s in score.items() if s > 0}
+        found = shard.neighbours(seed, 8, np.arange(40) != 3).tolist()
+        assert set(found) == {i for i, s in score.items() if s > 0 and i != 3}
         assert all(score[a] >= score[b] - 1e-9 for a, b in zip(found, found[1:]))
 
 
@@ -219,3 +221,29 @@ def test_a_window_holds_the_seed_and_its_nearest():
     placed, left = packing.pack(docs, idf, 30, window=60)
     order = [p[0] for p in placed]
     assert order == [0, 2, 1, 3, 4] and left == 30
+
+
+def test_related_documents_are_dealt_together(spark):
+    """Documents of eight subjects: a task holds far more of a document's subject than chance would put there."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+    subjects = [["".join(rng.choices("abcdefghijklmnoprstuvw", k=5)) for _ in range(40)] for _ in range(8)]
+    rows = [edge.row(i, " ".join(rng.choices(subjects[i % 8], k=60))) for i in range(400)]
+    rows += [edge.row(1000, rows[0][1])] * 100
+    docs = edge.frame(spark, rows)
+    table = packing.stored(packing.tokenised(docs, "doc_id", "text", path, 2, pivot=packing.pivots(
+        docs, "doc_id", "text", path)).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    n = table.agg(F.sum("n")).first()[0]
+    made = packing.dealt(table, n, n // 8 + 1).withColumn("task", F.spark_partition_id())
+    sizes = dict(made.groupBy("task").agg(F.sum(F.length("ids") / 2)).collect())
+    assert len(sizes) == 8 and sum(sizes.values()) == n and max(sizes.values()) <= 1.5 * n / 8
+    tasks = defaultdict(list)
+    for r in made.where("doc_id < 1000").collect():
+        tasks[r.task].append(r.doc_id % 8)
+    together = sum(t.count(x) ** 2 for t in tasks.values() for x in range(8)) / 400 / 50
+    assert together > 0.4  # chance is 0.125
+
+
+def test_routes_of_nothing(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for rows in ([], [edge.row(1, None)], [edge.row(1, ""), edge.row(1, "")]):
+        assert not packing.pivots(edge.frame(spark, rows), "doc_id", "text", path).any()
