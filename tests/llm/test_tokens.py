@@ -230,8 +230,7 @@ def test_related_documents_are_dealt_together(spark):
     rows = [edge.row(i, " ".join(rng.choices(subjects[i % 8], k=60))) for i in range(400)]
     rows += [edge.row(1000, rows[0][1])] * 100
     docs = edge.frame(spark, rows)
-    table = packing.stored(packing.tokenised(docs, "doc_id", "text", path, 2, pivot=packing.pivots(
-        docs, "doc_id", "text", path)).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    table = packing.stored(packing.tokenised(docs, "doc_id", "text", path, 2, pivot=packing.pivots(docs, "text", path)).withColumn("row", F.monotonically_increasing_id()), "tokens")
     n = table.agg(F.sum("n")).first()[0]
     made = packing.dealt(table, n, n // 8 + 1).withColumn("task", F.spark_partition_id())
     sizes = dict(made.groupBy("task").agg(F.sum(F.length("ids") / 2)).collect())
@@ -246,4 +245,4 @@ def test_related_documents_are_dealt_together(spark):
 def test_routes_of_nothing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     for rows in ([], [edge.row(1, None)], [edge.row(1, ""), edge.row(1, "")]):
-        assert not packing.pivots(edge.frame(spark, rows), "doc_id", "text", path).any()
+        assert not packing.pivots(edge.frame(spark, rows), "text", path).any()
