@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..series import without_nan
-from ..session import cut_lineage
-from .chunks import BROADCAST_ROWS
+from ..session import cut_lineage, keep_table
+from .chunks import BROADCAST_ROWS, attach, beside
 
 #: Parts into which a sketch divides a range, and its accuracy in ranks.
 PARTS, ACCURACY = 256, 4096
@@ -22,8 +22,11 @@ SORT_LIMIT = 1_000_000
 
 
 def _select_ranks(values: DataFrame, ids: list[str], ranks: DataFrame, sort_limit: int) -> DataFrame:
-    """Value at each 0-based rank. ``values``: ids + value; ``ranks``: ids + rank, lo, hi, inside."""
-    state = ranks.withColumn("below", F.lit(0).cast("long"))
+    """Value at each 0-based rank. ``values``: ids + value; ``ranks``: ids + rank, lo, hi, below, inside.
+
+    ``values`` holds at least what lies between ``lo`` and ``hi``; ``below`` counts all smaller ones.
+    """
+    state = ranks
     # the values stay in place while the bounds are few, which is known by counting them
     few = state.count() <= BROADCAST_ROWS
 
@@ -68,34 +71,81 @@ def _select_ranks(values: DataFrame, ids: list[str], ranks: DataFrame, sort_limi
             .select(*ids, "rank", "value"))
 
 
+def _near_levels(wide: DataFrame, keys: list[str], count: int, levels: list[float], extent: DataFrame) -> DataFrame:
+    """One row per key with, for column i and level j, bounds of the level (``_lo``, ``_hi``) and how many values lie
+    ``_below`` and ``_inside`` of them. Bounds that miss the level are replaced by the extremes."""
+    spots = [(i, j) for i in range(count) for j in range(len(levels))]
+    counts = [e for i, j in spots for e in (
+        F.count_if(F.col(f"_c{i}") < F.col(f"_from{i}_{j}")).alias(f"_less{i}_{j}"),
+        F.count_if(F.col(f"_c{i}").between(F.col(f"_from{i}_{j}"), F.col(f"_to{i}_{j}"))).alias(f"_within{i}_{j}"))]
+    seen = attach(wide, extent, keys).groupBy(*keys).agg(*counts)
+    out = []
+    for i, j in spots:
+        h, less, within = (F.col(f"_n{i}") - 1) * levels[j], F.col(f"_less{i}_{j}"), F.col(f"_within{i}_{j}")
+        holds = (F.floor(h) >= less) & (F.ceil(h) < less + within)
+        out += [F.when(holds, near).otherwise(far).alias(f"{name}{i}_{j}") for name, near, far in (
+            ("_lo", F.col(f"_from{i}_{j}"), F.col(f"_min{i}")), ("_hi", F.col(f"_to{i}_{j}"), F.col(f"_max{i}")),
+            ("_below", less, F.lit(0).cast("long")), ("_inside", within, F.col(f"_n{i}")))]
+    return cut_lineage(beside(extent, seen, keys).select(*keys, *[f"_n{i}" for i in range(count)], *out))
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], levels: dict[str, float],
                     keys: tuple[str, ...] | list[str] = (),
                     sort_limit: int = SORT_LIMIT) -> DataFrame:
     """Linearly interpolated quantiles: one row per key and column, one column per level.
 
-    A column without any value in a series has no row.
+    A column without any value in a series has no row. ``df`` is read at most three times, with all columns side by
+    side: for sketches, for counts around each level, and for the few values near one, which are stored; what is
+    left to narrow reads those alone.
     """
-    ids = [*keys, "column"]
-    wide = without_nan(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), columns)
-    values = wide.unpivot(list(keys), columns, "column", "value").where(F.col("value").isNotNull())
-    stats = values.groupBy(*ids).agg(
-        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    largest = stats.agg(F.max("n")).first()[0] or 0
+    keys, ids, points = list(keys), [*keys, "column"], list(levels.values())
+    wide = without_nan(df.select(*keys, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]),
+                       [f"_c{i}" for i in range(len(columns))])
+    margin = 2 / ACCURACY
+    around = F.array(*[F.lit(min(max(p + side, 0.0), 1.0)) for p in points for side in (-margin, margin)])
+    aggregates, bounds = [], []
+    for i in range(len(columns)):
+        c = F.col(f"_c{i}")
+        aggregates += [F.count(c).alias(f"_n{i}"), F.min(c).alias(f"_min{i}"), F.max(c).alias(f"_max{i}"),
+                       F.percentile_approx(c, around, ACCURACY).alias(f"_at{i}")]
+        for j, p in enumerate(points):
+            at = F.col(f"_at{i}")
+            bounds += [(F.col(f"_min{i}") if p <= margin else F.get(at, F.lit(2 * j))).alias(f"_from{i}_{j}"),
+                       (F.col(f"_max{i}") if p >= 1 - margin else F.get(at, F.lit(2 * j + 1))).alias(f"_to{i}_{j}")]
+    extent = cut_lineage(wide.groupBy(*keys).agg(*aggregates).select(
+        *keys, *[f"{name}{i}" for i in range(len(columns)) for name in ("_n", "_min", "_max")], *bounds))
+    largest = extent.agg(F.max(F.greatest(*[f"_n{i}" for i in range(len(columns))], F.lit(0)))).first()[0] or 0
     if largest <= sort_limit:
-        points = F.percentile("value", F.array(*[F.lit(p) for p in levels.values()]))
-        return values.groupBy(*ids).agg(points.alias("_p")).select(
-            *ids, *[F.col("_p")[i].alias(name) for i, name in enumerate(levels)])
-    stats = cut_lineage(stats)
-    positions = {name: (F.col("n") - 1) * p for name, p in levels.items()}
-    wanted = [e for h in positions.values() for e in (F.floor(h), F.ceil(h))]
-    ranks = stats.select(*ids, F.explode(F.array_distinct(F.array(*wanted))).alias("rank"),
-                         "lo", "hi", F.col("n").alias("inside"))
-    found = _select_ranks(values, ids, ranks, sort_limit)
-    at = found.groupBy(*ids).agg(
+        names = F.element_at(F.array(*map(F.lit, columns)), F.substring("column", 3, 9).cast("int") + 1)
+        at = F.percentile("value", F.array(*[F.lit(p) for p in points]))
+        return (wide.unpivot(keys, [f"_c{i}" for i in range(len(columns))], "column", "value")
+                .where(F.col("value").isNotNull()).groupBy(*ids).agg(at.alias("_p"))
+                .select(*keys, names.alias("column"), *[F.col("_p")[j].alias(name) for j, name in enumerate(levels)]))
+    near = _near_levels(wide, keys, len(columns), points, extent)
+    ranks, close, totals = [], [], []
+    for i, c in enumerate(columns):
+        totals.append(F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n")))
+        hit = F.lit(False)
+        for j, p in enumerate(points):
+            lo, hi = F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")
+            hit = hit | F.col(f"_c{i}").between(lo, hi)
+            h = (F.col(f"_n{i}") - 1) * p
+            ranks += [F.struct(F.lit(c).alias("column"), rank.alias("rank"), lo.alias("lo"), hi.alias("hi"),
+                               F.col(f"_below{i}_{j}").alias("below"), F.col(f"_inside{i}_{j}").alias("inside"))
+                      for rank in (F.floor(h), F.ceil(h))]
+        close.append(F.when(hit, F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("value"))))
+    stats = near.select(*keys, F.explode(F.array(*totals)).alias("_r")).select(*keys, "_r.*").where("n > 0")
+    wanted = near.select(*keys, F.explode(F.array(*ranks)).alias("_r")).select(*keys, "_r.*").where("inside > 0")
+    values = keep_table(attach(wide, near, keys).select(*keys, F.explode(F.array_compact(F.array(*close))).alias("_v"))
+                        .select(*keys, "_v.*"), "near")
+    # neighbouring levels may want the same rank between different bounds
+    found = _select_ranks(values, ids, cut_lineage(wanted.distinct()), sort_limit)
+    at = found.distinct().groupBy(*ids).agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
     joined = stats.join(at, ids)
     out = []
-    for name, h in positions.items():
+    for name, p in levels.items():
+        h = (F.col("n") - 1) * p
         low, high = F.col("_at")[F.floor(h)], F.col("_at")[F.ceil(h)]
         # no arithmetic between equal ends: infinite values have no difference
         out.append(F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h))).alias(name))
@@ -115,5 +165,6 @@ def value_at_rank(df: DataFrame, value: str, rank: DataFrame, keys: tuple[str, .
     stats = values.groupBy(*ids).agg(
         F.count("*").alias("inside"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     wanted = rank.withColumn("column", F.lit(value))
-    state = cut_lineage(stats.join(wanted, ids).where(F.col("rank").between(0, F.col("inside") - 1)))
+    state = cut_lineage(stats.join(wanted, ids).where(F.col("rank").between(0, F.col("inside") - 1))
+                        .withColumn("below", F.lit(0).cast("long")))
     return _select_ranks(values, ids, state, sort_limit).select(*keys, "value")

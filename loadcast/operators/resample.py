@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..series import DAY_US, SeriesSpec, epoch_us, floor_div, from_epoch_us, step_us, without_nan
-from .chunks import BUCKET, attach, beside, bucket_us
+from ..session import keep_table
+from .chunks import BUCKET, ROWS_PER_BUCKET, attach, beside
 
 BINS_PER_BLOCK = 65536
 
@@ -146,35 +147,52 @@ def rollup(df: DataFrame, spec: SeriesSpec, granularity: str, columns: list[str]
     return resample(df, spec, steps[granularity], {c: "mean" for c in columns})
 
 
-def successive_gaps(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Microseconds between neighbouring rows of each series, as ``gap_us``.
+def _stamps(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Distinct time stamps of each series with their number of rows, stored; a null stamp counts too."""
+    return keep_table(df.groupBy(*spec.keys, epoch_us(df, spec.ts).alias("_us")).agg(F.count("*").alias("_n")), "stamps")
 
-    Gaps inside a time bucket come from a window over the bucket; gaps across buckets
-    from the buckets' first and last time stamps. The data is shuffled once.
-    """
-    keys = list(spec.keys)
-    size = bucket_us(df, spec)
-    slim = df.select(*keys, epoch_us(df, spec.ts).alias("_us")).where(F.col("_us").isNotNull())
-    slim = slim.withColumn(BUCKET, floor_div(F.col("_us"), size))
+
+def _gaps(stamps: DataFrame, keys: list[str], rows_per_range: int) -> DataFrame:
+    known = stamps.where(F.col("_us").isNotNull())
+    parts = -(-max(known.count(), 1) // rows_per_range)
+    if parts > 1:
+        ranged = keep_table(known.repartitionByRange(parts, *keys, "_us")
+                            .withColumn(BUCKET, F.spark_partition_id()), "ranges")
+    else:
+        ranged = known.withColumn(BUCKET, F.lit(0))
+    one = F.lit(1).cast("long").alias("n")
     within = Window.partitionBy(*keys, BUCKET).orderBy("_us")
-    inner = slim.select(*keys, (F.col("_us") - F.lag("_us").over(within)).alias("gap_us"))
-    across = Window.partitionBy(*keys).orderBy(BUCKET)
-    outer = (slim.groupBy(*keys, BUCKET).agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-             .select(*keys, (F.col("_lo") - F.lag("_hi").over(across)).alias("gap_us")))
-    return inner.unionByName(outer).where(F.col("gap_us").isNotNull())
+    inner = ranged.select(*keys, (F.col("_us") - F.lag("_us").over(within)).alias("gap_us"), one)
+    found = inner.unionByName(known.where("_n > 1").select(
+        *keys, F.lit(0).cast("long").alias("gap_us"), (F.col("_n") - 1).alias("n")))
+    if parts > 1:
+        across = Window.partitionBy(*keys).orderBy(BUCKET)
+        ends = ranged.groupBy(*keys, BUCKET).agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+        found = found.unionByName(ends.select(*keys, (F.col("_lo") - F.lag("_hi").over(across)).alias("gap_us"), one))
+    return found.where(F.col("gap_us").isNotNull()).groupBy(*keys, "gap_us").agg(F.sum("n").alias("n"))
+
+
+def successive_gaps(df: DataFrame, spec: SeriesSpec, rows_per_range: int = ROWS_PER_BUCKET) -> DataFrame:
+    """How often (``n``) each gap in microseconds (``gap_us``) lies between neighbouring rows of a series.
+
+    Rows of one time stamp are counted before anything is shuffled, so a burst on a stamp is one row. The distinct
+    stamps are dealt into ranges of their order; a gap inside a range comes from a window over the range, a gap
+    across from the first and last stamps of the ranges. ``df`` is read once.
+    """
+    return _gaps(_stamps(df, spec), list(spec.keys), rows_per_range)
 
 
-def detect_frequency(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+def detect_frequency(df: DataFrame, spec: SeriesSpec, rows_per_range: int = ROWS_PER_BUCKET) -> DataFrame:
     """Most common gap of each series (ties: the smallest) and its name.
 
     Series of fewer than two rows are ``unknown``; a step without a usual name is
     ``custom_<seconds>s``.
     """
     keys = list(spec.keys)
-    counted = successive_gaps(df, spec).groupBy(*keys, "gap_us").count()
-    mode = counted.groupBy(*keys).agg(
-        F.max_by("gap_us", F.struct(F.col("count"), -F.col("gap_us"))).alias("gap_us"))
-    present = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    stamps = _stamps(df, spec)
+    mode = _gaps(stamps, keys, rows_per_range).groupBy(*keys).agg(
+        F.max_by("gap_us", F.struct(F.col("n"), -F.col("gap_us"))).alias("gap_us"))
+    present = stamps.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"))
     both = beside(present, mode, keys)
     seconds = F.col("gap_us") / F.lit(1e6)
     whole = F.col("gap_us") % 1_000_000 == 0

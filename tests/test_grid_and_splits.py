@@ -92,11 +92,32 @@ def test_buckets_shrink_for_bursts(spark):
     assert bucket_us(df, RAW, 10) <= 40
 
 
-def test_frequency_across_buckets(spark, monkeypatch):
-    monkeypatch.setattr(resample, "bucket_us", lambda df, spec: 3_600_000_000 * 5)
+@pytest.mark.parametrize("rows", [3, 10, 10**6])
+def test_gaps_across_ranges(spark, rows):
     pdf = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=48, freq="h"), "y": 1.0})
-    gaps = resample.successive_gaps(to_spark(spark, pdf), RAW).groupBy("gap_us").count().collect()
-    assert [(g.gap_us, g["count"]) for g in gaps] == [(3_600_000_000, 47)]
+    gaps = resample.successive_gaps(to_spark(spark, pdf), RAW, rows).collect()
+    assert [(g.gap_us, g.n) for g in gaps] == [(3_600_000_000, 47)]
+
+
+@pytest.mark.parametrize("rows", [7, 10**6])
+def test_gaps_of_series_with_bursts(spark, rows):
+    """A stamp that holds most rows, other series beside it, stamps that are not known."""
+    rng = np.random.default_rng(8)
+    stamps = [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=int(m)) for m in rng.integers(0, 400, 90)]
+    stamps += [pd.Timestamp("2024-01-02")] * 300 + [pd.NaT] * 3
+    pdf = pd.DataFrame({"ts": stamps, "y": 1.0, "k": [None, "a", "b"] * 131})
+    spec = SeriesSpec(("k",), "ts", "y")
+    df = spark.createDataFrame([(None if pd.isna(t) else t.to_pydatetime(), y, k)
+                                for t, y, k in pdf.itertuples(index=False)], "ts timestamp_ntz, y double, k string")
+    got = {(r.k, r.gap_us): r.n for r in resample.successive_gaps(df, spec, rows).collect()}
+    want = {}
+    for k, part in pdf.groupby("k", dropna=False):
+        for gap in part.ts.dropna().sort_values().diff().dropna():
+            key = (k if isinstance(k, str) else None, int(gap.total_seconds() * 1e6))
+            want[key] = want.get(key, 0) + 1
+    assert got == want
+    found = {r.k: (r.n_rows, r.gap_us) for r in resample.detect_frequency(df, spec, rows).collect() if r.k}
+    assert found == {k: (131, 0) for k in "ab"}
 
 
 def test_newest_rows_beyond_the_group_limit(spark):

@@ -183,3 +183,26 @@ def test_forecast_takes_the_newest_saved_model(spark, folder, tmp_path):
     assert got == want and len(got) > 0
     trained = forecast.forecast_latest(h, cat.HOURLY, runs, "random_forest", 2, n_estimators=2, maxDepth=2)
     assert {r.model_name for r in trained.collect()} == {"Random Forest"}
+
+
+@pytest.mark.parametrize("limit", [20, 10**6])
+def test_quantiles_of_several_columns(spark, limit):
+    """Keys of very different size, a column without values in one of them, equal values, levels at the ends."""
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x), float(round(x)), None) for x in rng.normal(size=3000)]
+    rows += [("b", float(x), 7.0, float(-x) if x > 0 else None) for x in rng.normal(size=40)] + [("c", 1.0, None, float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double")
+    levels = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p51": 0.51, "p100": 1.0}
+    got = {(r.k, r.column): [r[n] for n in levels]
+           for r in exact_quantiles(df, ["x", "y", "z"], levels, ["k"], sort_limit=limit).collect()}
+    want = {}
+    for i, c in enumerate("xyz"):
+        for k in "abc":
+            values = [r[i + 1] for r in rows if r[0] == k and r[i + 1] is not None and r[i + 1] == r[i + 1]]
+            if values:
+                want[k, c] = [float(np.quantile(values, p)) for p in levels.values()]
+    assert got.keys() == want.keys()
+    for spot, values in want.items():
+        assert got[spot] == pytest.approx(values, rel=1e-12), spot
+    empty = exact_quantiles(df.limit(0), ["x", "y"], levels, ["k"], sort_limit=limit)
+    assert empty.count() == 0 and empty.columns == ["k", "column", *levels]
