@@ -621,6 +621,41 @@ def random_forest(spark, d):
         F.col("_lo") - 1e-9, F.col("_hi") + 1e-9).alias("in_range")))
 
 
+def deep_tree(spark, d):
+    """One tree over all rows, grown until it cannot split, predicts the mean of each day of the week."""
+    rows = daily(spark, d).withColumn("dow", F.dayofweek("ts").cast("double"))
+    fitted = create_model("random_forest", n_estimators=1, bootstrap=False).fit(rows, ["dow"])
+    return presented(fitted.transform(rows).select("ts", "yhat"), 2)
+
+
+def _tree_grid(spark, d, kind: str, columns: str) -> DataFrame:
+    """All settings of a search; the chosen one has the least error."""
+    rows, names = daily_model_table(spark, d)
+    search = create_model(kind, spec=DAILY)
+    search.fit(rows, names)
+    least = min(r["mean_mse"] for r in search.results)
+    made = [(*r["params"].values(), (r["mean_mse"] == least) == (r["params"] == search.best_params)) for r in search.results]
+    return presented(spark.createDataFrame(made, f"{columns}, best_is_least boolean"))
+
+
+def forest_grid(spark, d):
+    return _tree_grid(spark, d, "enhanced_random_forest", "trees int, depth int, least_split int, least_leaf int")
+
+
+def boosting_grid(spark, d):
+    return _tree_grid(spark, d, "enhanced_lightgbm", "rounds int, rate double, depth int")
+
+
+def ensemble_default(spark, d):
+    """The three searched members of the default ensemble, each with a share of the forecast."""
+    rows, names = daily_model_table(spark, d)
+    fitted = create_model("ensemble", spec=DAILY).fit(rows, names)
+    whole = abs(sum(fitted.member_weights) - 1) < 1e-9
+    made = [(m.name, len(m.details["results"]), whole and 0 <= w <= 1) for m, w in
+            zip(fitted.members, fitted.member_weights, strict=True)]
+    return presented(spark.createDataFrame(made, "member string, settings int, is_share boolean"))
+
+
 def gradient_boosting(spark, d):
     """Boosted trees explain more of the target than its mean does."""
     rows, names = daily_model_table(spark, d)
@@ -878,6 +913,10 @@ QUERIES: dict[str, Query] = {
     "ensemble_weights": ensemble_weights,
     "contributions": contributions,
     "random_forest": random_forest,
+    "deep_tree": deep_tree,
+    "forest_grid": forest_grid,
+    "boosting_grid": boosting_grid,
+    "ensemble_default": ensemble_default,
     "gradient_boosting": gradient_boosting,
     "boosted_stump": boosted_stump,
     "leaf_boosting_stumps": leaf_boosting_stumps,

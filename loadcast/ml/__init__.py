@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from ..series import SeriesSpec
 from . import models, per_series, search
 from .ensemble import Ensemble, FittedEnsemble
+from .forest import FittedForest
 from .least import FittedLinear
 from .models import FittedModel, read_details
 from .per_series import FittedPerSeries
@@ -59,4 +60,4 @@ def load_model(spark: SparkSession, path: str):
     """The fitted model saved at ``path``, of whatever type."""
     kind = read_details(spark, path)["kind"]
     return {"linear": FittedLinear, "pipeline": FittedModel, "quantile": FittedQuantileModel,
-            "ensemble": FittedEnsemble, "per_series": FittedPerSeries, "boosting": FittedBoosting}[kind].load(spark, path)
+            "ensemble": FittedEnsemble, "per_series": FittedPerSeries, "boosting": FittedBoosting, "forest": FittedForest}[kind].load(spark, path)

@@ -250,6 +250,39 @@ class Grower:
         return out
 
 
+def edges_here(x: np.ndarray) -> list[np.ndarray]:
+    """As ``bin_edges``, from rows that are all in this task."""
+    shares = np.arange(1, BINS) / BINS
+    return [v[:-1] if len(v := np.unique(c)) <= BINS else np.unique(np.quantile(c, shares, method="inverted_cdf")) for c in x.T]
+
+
+def codes_of(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)]).astype(np.uint8)
+
+
+def boosted_here(grower: Grower, codes: np.ndarray, y: np.ndarray, f: np.ndarray, u: np.ndarray, rounds: int, rate: float,
+                 seed: int, row_share: float, row_rounds: int) -> list[list[Tree]]:
+    """The trees of each output from rows that are all in this task; ``f`` (rows, outputs) is moved along."""
+    made: list[list[Tree]] = [[] for _ in grower.losses]
+    for r in range(rounds):
+        in_bag = drawn(u, r // row_rounds, seed, row_share)
+
+        def here(trees: list[Tree], wanted: list[list[int]], in_bag: np.ndarray = in_bag) -> list[np.ndarray]:
+            counter = Counter(grower.losses, codes.shape[1], trees, wanted)
+            counter.add(codes, y, f, in_bag)
+            return counter.histograms()
+
+        for o, tree in enumerate(grower.grown(here)):
+            leaf, q = leaf_of(codes, tree.arrays()), grower.losses[o].quantile
+            if q is not None:
+                order = np.lexsort((rest := (y - f[:, o])[in_bag], leaf[in_bag]))
+                at, start, n = np.unique(leaf[in_bag][order], return_index=True, return_counts=True)
+                for node, x in zip(at, rest[order][start + np.maximum(np.ceil(q * n).astype(int) - 1, 0)], strict=True):
+                    tree.value[node] = float(x)
+            f[:, o] += rate * np.array(tree.value)[leaf]
+            made[o].append(tree)
+    return made
+
 
 class Boosting:
     """One fit: the binned rows, and rounds of one tree per output."""
@@ -384,24 +417,7 @@ class Boosting:
             y, u = rows.column("y").to_numpy(), rows.column("u").to_numpy()
             codes = np.frombuffer(b"".join(rows.column("b").to_pylist()), np.uint8).reshape(len(y), width)
             f = np.array(rows.column("f").combine_chunks().flatten()).reshape(len(y), -1).copy()
-            made: list[list[Tree]] = [[] for _ in grower.losses]
-            for r in range(rounds):
-                in_bag = drawn(u, r // row_rounds, seed, row_share)
-
-                def here(trees: list[Tree], wanted: list[list[int]], in_bag: np.ndarray = in_bag) -> list[np.ndarray]:
-                    counter = Counter(grower.losses, width, trees, wanted)
-                    counter.add(codes, y, f, in_bag)
-                    return counter.histograms()
-
-                for o, tree in enumerate(grower.grown(here)):
-                    leaf, q = leaf_of(codes, tree.arrays()), grower.losses[o].quantile
-                    if q is not None:
-                        order = np.lexsort((rest := (y - f[:, o])[in_bag], leaf[in_bag]))
-                        at, start, n = np.unique(leaf[in_bag][order], return_index=True, return_counts=True)
-                        for node, x in zip(at, rest[order][start + np.maximum(np.ceil(q * n).astype(int) - 1, 0)], strict=True):
-                            tree.value[node] = float(x)
-                    f[:, o] += rate * np.array(tree.value)[leaf]
-                    made[o].append(tree)
+            made = boosted_here(grower, codes, y, f, u, rounds, rate, seed, row_share, row_rounds)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["trees"])
 
         self.trees = pickle.loads(self.table.mapInArrow(work, "trees binary").first()[0])

@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.evaluate import score
+from .forest import DeepForest
 from .least import LeastSquares
 
 VECTOR = "_features"
@@ -90,12 +91,16 @@ def linear() -> LeastSquares:
     return LeastSquares(NAMES["linear"])
 
 
-def random_forest(n_estimators: int = 100, random_state: int = 42, **params) -> Regressor:
-    """100 trees over all features. Depth is bounded: a tree grown to single rows would be
-    as large as the data, and the model is held by the driver. Raise ``maxDepth`` to 30
-    for small data."""
-    settings = {**FOREST, "numTrees": n_estimators, "seed": random_state, **params}
-    return Regressor(NAMES["random_forest"], RandomForestRegressor(**settings))
+def random_forest(n_estimators: int = 100, random_state: int = 42, **params) -> Regressor | DeepForest:
+    """100 trees over all features, grown until nothing is left to split.
+
+    With a ``maxDepth`` that is not null it is Spark's forest on binned features, which predicts inside the JVM;
+    ``FOREST`` has its settings.
+    """
+    settings = {"numTrees": n_estimators, "seed": random_state, **params}
+    if params.get("maxDepth") is None:
+        return DeepForest(NAMES["random_forest"], **settings)
+    return Regressor(NAMES["random_forest"], RandomForestRegressor(**{**FOREST, **settings}))
 
 
 def boosting(**params) -> Regressor:

@@ -8,11 +8,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import score, score_quantiles
-from .histograms import Boosting, Growth, Loss
+from .histograms import Boosting, Grower, Growth, Loss, boosted_here, codes_of, edges_here, leaf_of
 from .models import NAMES, read_details, write_details
 
 # Default quantiles and boosting settings.
@@ -168,21 +169,43 @@ class LeafBoosting:
     """Trees grown leaf by leaf, best first, for the squared error, on samples of features and rows.
 
     Each tree sees ``feature_fraction`` of the features; ``bagging_fraction`` of the rows are drawn anew every
-    ``bagging_freq`` rounds. A leaf keeps ``min_child_samples`` rows.
+    ``bagging_freq`` rounds. A leaf keeps ``min_child_samples`` rows. ``num_leaves`` None grows every node to
+    ``max_depth``.
     """
 
-    def __init__(self, n_estimators: int = 100, learning_rate: float = 0.05, num_leaves: int = 31,
+    def __init__(self, n_estimators: int = 100, learning_rate: float = 0.05, num_leaves: int | None = 31,
                  feature_fraction: float = 0.9, bagging_fraction: float = 0.8, bagging_freq: int = 5,
-                 min_child_samples: int = 20, random_state: int = 42, name: str = NAMES["lightgbm"]):
+                 min_child_samples: int = 20, random_state: int = 42, name: str = NAMES["lightgbm"], max_depth: int = 63):
         self.name, self.rounds, self.rate, self.leaves = name, n_estimators, learning_rate, num_leaves
         self.features, self.rows, self.every = feature_fraction, bagging_fraction, bagging_freq
-        self.least, self.seed = min_child_samples, random_state
+        self.least, self.seed, self.depth = min_child_samples, random_state, max_depth
+
+    @property
+    def growth(self) -> Growth:
+        return Growth(self.depth, self.leaves, self.least)
 
     def fit(self, df: DataFrame, features: list[str], target: str = "y") -> FittedBoosting:
-        found = Boosting(df, features, target, [Loss()], self.rate, Growth(max_leaves=self.leaves, min_rows=self.least),
+        found = Boosting(df, features, target, [Loss()], self.rate, self.growth,
                          self.seed, self.features, self.rows, self.every).run(self.rounds)
         trees = found.trees[0]
         depth = max((max(t.depth) for t in trees), default=0)
         details = {"n_estimators": self.rounds, "learning_rate": self.rate, "num_leaves": self.leaves}
         return FittedBoosting(self.name, list(features), Boosted(found.start[0], self.rate, [t.rows(found.edges) for t in trees]),
                               depth, target, details)
+
+    def errors_here(self, train: tuple[np.ndarray, ...], test: tuple[np.ndarray, ...], rounds: list[int]) -> list[float]:
+        """Mean squared errors on ``test`` after each number of ``rounds``; both are features, targets and row numbers
+        that are all in this task."""
+        x, y, u = train
+        edges = edges_here(x)
+        grower = Grower([Loss()], self.growth, x.shape[1], self.features, np.random.default_rng(self.seed))
+        start = float(y.mean())
+        trees = boosted_here(grower, codes_of(x, edges), y, np.full((len(y), 1), start), u, max(rounds), self.rate,
+                             self.seed, self.rows, self.every)[0]
+        codes, f, found = codes_of(test[0], edges), np.full(len(test[0]), start), {}
+        for r, tree in enumerate(trees, 1):
+            arrays = tree.arrays()
+            f += self.rate * arrays[4][leaf_of(codes, arrays)]
+            if r in rounds:
+                found[r] = float(((f - test[1]) ** 2).mean())
+        return [found[r] for r in rounds]

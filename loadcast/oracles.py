@@ -739,6 +739,17 @@ ORACLES |= {
     "quantile_leaderboard": ORACLES["metrics_quantile"],
     "feature_selection": f"WITH {days()} SELECT count(*) AS n_rows, 3::BIGINT AS n_chosen, true AS all_given FROM d",
     "random_forest": f"WITH {days()} SELECT ts, {r('y / 1e6')} AS y, true AS in_range FROM d",
+    "deep_tree": f"""WITH {days()} SELECT ts, {r("avg(y) OVER (PARTITION BY dayofweek(ts))", 2)} AS yhat FROM d""",
+    "forest_grid": """SELECT t::BIGINT AS trees, d::BIGINT AS depth, s::BIGINT AS least_split, l::BIGINT AS least_leaf,
+                      true AS best_is_least
+                      FROM (SELECT unnest([50, 100, 200]) AS t), (SELECT unnest([10, 20, NULL]) AS d),
+                      (SELECT unnest([2, 5, 10]) AS s), (SELECT unnest([1, 2, 4]) AS l)""",
+    "boosting_grid": f"""SELECT i::BIGINT AS rounds, {r("s::DOUBLE")} AS rate, d::BIGINT AS depth, true AS best_is_least
+                      FROM (SELECT unnest([100, 200]) AS i), (SELECT unnest([0.05, 0.1, 0.2]) AS s),
+                      (SELECT unnest([3, 5, 7]) AS d)""",
+    "ensemble_default": """SELECT * FROM (VALUES ('Enhanced Ridge', 4::BIGINT, true),
+                      ('Enhanced Random Forest', 81::BIGINT, true), ('Enhanced Gradient Boosting', 18::BIGINT, true))
+                      AS m(member, settings, is_share)""",
     "gradient_boosting": f"WITH {days()} SELECT count(*) AS n_rows, true AS better_than_mean FROM d",
     "boosted_stump": f"""WITH {days()} SELECT ts, {r("avg(y) OVER (PARTITION BY isodow(ts) >= 6)", 2)} AS yhat FROM d""",
     "leaf_boosting_stumps": stumps_sql(["0"], "avg(y)", "avg(y)"),
