@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import tokens
 from .common import byte_texts, map_arrow, steps, stored
@@ -17,8 +18,12 @@ from .common import byte_texts, map_arrow, steps, stored
 WINDOW = 4096
 #: Tokens of the documents that one inverted index holds; neighbours come from the same shard.
 SHARD_TOKENS = 1 << 21
-#: Documents on which the routing to shards is fitted, and the leading characters of each that it reads.
-ROUTE_SAMPLE, ROUTE_CHARS = 2_000, 10_000
+#: Passes over all documents that fit the routing to shards, and tokens that one task of a pass reads, about.
+ROUNDS, ROUND_TOKENS = 5, 1 << 25
+#: Documents whose leading ids may be the first pivots, and how many ids of each.
+STARTS, START_IDS = 256, 10_000
+#: Weights in a pass are whole numbers, so that their sums do not depend on the order of the rows.
+WHOLE = 1 << 16
 #: Pivots of the routing, how many of them, nearest first, make a route, and how many of these count tokens.
 PIVOTS, ROUTE, PREFIX = 16, 8, 4
 #: Tokens of the documents that one task packs, about; only its last sequence may be short.
@@ -30,61 +35,128 @@ PIECES = ("doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequen
           "ids binary")
 
 
-def pivots(docs: DataFrame, text_col: str, path: str, sample: int = ROUTE_SAMPLE,
-           chars: int = ROUTE_CHARS, rounds: int = 10) -> np.ndarray:
-    """One row per id of the vocabulary, one column per pivot: what the id adds to a document's closeness to it.
+def pivots(docs: DataFrame, text_col: str, path: str) -> np.ndarray:
+    """One row per id of the vocabulary, one column per pivot: what the id adds to a document's closeness to it."""
+    made = stored(tokenised(docs.withColumn("doc_id", F.lit(0)), "doc_id", text_col, path, 0), "tokens")
+    n_docs, n_tokens = made.agg(F.count("*"), F.sum("n")).first()
+    vocabulary = tokens.encoder(path, False).vocabulary
+    return fitted(made, document_frequencies(made, vocabulary), n_docs, n_tokens or 0)
+
+
+def fitted(table: DataFrame, counts: np.ndarray, n_docs: int, n_tokens: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The pivots of ``tokenised`` documents: means of all of them as vectors of inverse document frequencies.
 
-    Pivots are means of documents as vectors of inverse document frequencies (spherical k-means), fitted on about
-    ``sample`` rows drawn at random; similar pivots get neighbouring numbers. Every document is routed by them.
+    Spherical k-means: each round is a pass over all documents, in which tasks add up the weights of the ids by nearest
+    pivot. One row of sums per id of the vocabulary comes back, whatever the corpus. The first pivots are documents far
+    from each other among those with the smallest hashes of their ids; they are replaced in the first round. An id that
+    all documents hold counts nothing. Similar pivots get neighbouring numbers. Neither the order of the rows nor how
+    they are partitioned matters.
     """
-    encoder = tokens.encoder(path, False)
-    rows = docs.select(F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, chars).alias("t"))
-    share = min(1.0, sample / max(rows.count(), 1))
-    # the limit only guards the driver: about ``sample`` rows are drawn
-    some = rows.sample(share, seed=7).limit(2 * sample).collect()
-    held: list[np.ndarray] = []
-    for _, ids, n in encoder.encoded([r.t.encode() for r in some]):
-        held += [np.unique(x) for x in np.split(ids.astype(np.int64), np.cumsum(n)[:-1])]
-    held = [x for x in held if len(x)]
-    if not held:
-        return np.zeros((encoder.vocabulary, PIVOTS), np.float32)
-    flat, sizes = np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
-    owner, first = np.repeat(np.arange(len(held)), sizes), np.cumsum(sizes) - sizes
-    counts = np.bincount(flat, minlength=encoder.vocabulary)
-    idf = np.where(counts > 0, np.log1p((len(held) - counts + 0.5) / (counts + 0.5)), 0)
-    weight = idf[flat]
-    weight /= np.maximum(np.sqrt(np.add.reduceat(weight * weight, first)), 1e-9)[owner]
-    means = np.zeros((encoder.vocabulary, PIVOTS))
-    # the first documents are the first pivots
-    nearest = np.where(np.arange(len(held)) < PIVOTS, np.arange(len(held)), -1)
+    vocabulary = len(counts)
+    width = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    idf = np.where((counts > 0) & (counts < n_docs), np.log1p((n_docs - counts + 0.5) / (counts + 0.5)), 0)
+    means = _first_pivots(table, idf, width)
+    if not means.any():
+        return np.zeros((vocabulary, PIVOTS), np.float32)
+    spark = table.sparkSession
+    # few tasks, as each returns a row per id
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_tokens // ROUND_TOKENS))
+    names = [f"s{j}" for j in range(PIVOTS)]
     for _ in range(rounds):
-        for j in range(PIVOTS):
-            mine = nearest[owner] == j
-            if mine.any():
-                mean = np.bincount(flat[mine], weight[mine], encoder.vocabulary)
-                means[:, j] = mean / max(np.sqrt((mean * mean).sum()), 1e-9)
-        nearest = np.add.reduceat(means[flat] * weight[:, None], first, axis=0).argmax(1)
+        shared = spark.sparkContext.broadcast(((means * idf[:, None]).astype(np.float32), idf))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            pivot, idf = shared.value
+            total = np.zeros(vocabulary * PIVOTS)
+            for batch in batches:
+                held = [np.unique(x) for x in _arrays(batch.column(0), width)]
+                nearest = _closeness(held, pivot).argmax(1)
+                owner, flat, weight = _weights(held, idf)
+                total += np.bincount(flat * PIVOTS + nearest[owner], np.rint(weight * WHOLE), vocabulary * PIVOTS)
+            total = total.reshape(-1, PIVOTS)
+            some = np.flatnonzero(total.any(1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some), *(pa.array(total[some, j].astype(np.int64)) for j in range(PIVOTS))], ["id", *names])
+
+        fields = ", ".join(f"{name} bigint" for name in ("id", *names))
+        found = map_arrow(table.select("ids").coalesce(tasks), run, fields)
+        sums = found.groupBy("id").agg(*(F.sum(name).alias(name) for name in names)).toArrow()
+        shared.unpersist()
+        fresh = np.zeros((vocabulary, PIVOTS))
+        fresh[sums.column("id").to_numpy()] = np.stack([sums.column(name).to_numpy() for name in names], axis=1)
+        size = np.sqrt((fresh * fresh).sum(0))
+        # a pivot that is nearest to no document stays as it is
+        means = np.where(size > 0, fresh / np.maximum(size, 1e-9), means)
     alike = means.T @ means
     centred = alike - alike.mean(0) - alike.mean(1)[:, None] + alike.mean()
     order = np.argsort(np.linalg.eigh(centred)[1][:, -1], kind="stable")
     return (means[:, order] * idf[:, None]).astype(np.float32)
 
 
+def _weights(held: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the document, id and weight for each id of each document; a document's weights have length 1."""
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    flat = np.concatenate(held).astype(np.int64)
+    owner, first = np.repeat(np.arange(len(held)), sizes), np.cumsum(sizes) - sizes
+    weight = idf[flat]
+    return owner, flat, weight / np.maximum(np.sqrt(np.add.reduceat(weight * weight, first)), 1e-9)[owner]
+
+
+def _first_pivots(table: DataFrame, idf: np.ndarray, width: str) -> np.ndarray:
+    """Up to ``PIVOTS`` different documents as columns, each the farthest from those before it."""
+    short = F.substring("ids", 1, START_IDS * np.dtype(width).itemsize)
+    rows = table.select(F.xxhash64("ids").alias("h"), short.alias("ids"))
+    # equal documents count once; their hashes alone are shuffled
+    least = rows.select("h").distinct().orderBy("h").limit(STARTS)
+    some = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min("ids").alias("ids")).orderBy("h").collect()
+    means = np.zeros((len(idf), PIVOTS))
+    held = [x for x in (np.unique(np.frombuffer(r.ids, width)) for r in some) if idf[x].any()]
+    if not held:
+        return means
+    owner, flat, weight = _weights(held, idf)
+    near, j = np.full(len(held), -1.0), 0
+    for k in range(PIVOTS):
+        means[flat[owner == j], k] = weight[owner == j]
+        near = np.maximum(near, np.bincount(owner, means[flat, k] * weight, len(held)))
+        near[j] = np.inf
+        j = int(near.argmin())
+        if near[j] > 1 - 1e-9:
+            break
+    return means
+
+
+def _closeness(held: list[np.ndarray], pivot: np.ndarray) -> np.ndarray:
+    """Of each document to each pivot; ``held``: its distinct ids."""
+    first = np.cumsum([0] + [len(x) for x in held[:-1]])
+    return np.add.reduceat(pivot[np.concatenate(held)], first, axis=0)
+
+
 def routes(held: list[np.ndarray], pivot: np.ndarray) -> np.ndarray:
     """The nearest pivots of each document, nearest first, as digits of one number; ``held``: its distinct ids."""
-    first = np.cumsum([0] + [len(x) for x in held[:-1]])
-    close = np.add.reduceat(pivot[np.concatenate(held)], first, axis=0)
-    best = np.argsort(-close, axis=1, kind="stable")[:, :ROUTE].astype(np.int64)
+    best = np.argsort(-_closeness(held, pivot), axis=1, kind="stable")[:, :ROUTE].astype(np.int64)
     return best @ (PIVOTS ** np.arange(ROUTE - 1, -1, -1, dtype=np.int64))
 
 
+def routed(table: DataFrame, pivot: np.ndarray) -> DataFrame:
+    """``tokenised`` documents with their route."""
+    shared = table.sparkSession.sparkContext.broadcast(pivot)
+    width = "<u2" if len(pivot) <= 1 << 16 else "<u4"
+    at = table.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(x) for x in _arrays(batch.column(at), width)]
+            yield batch.append_column("route", pa.array(routes(held, shared.value)))
+
+    return map_arrow(table, run, StructType([*table.schema.fields, StructField("route", LongType())]))
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, spaced: bool = False,
               pivot: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n (ids with the end id), ids (little-endian, 16 bits if the vocabulary allows, else 32) and route.
+    """doc_id, n (ids with the end id), ids (little-endian, 16 bits if the vocabulary allows, else 32), held and route.
 
-    ``held`` has, in some of the rows, how many documents of a batch hold each id. ``route`` is null without pivots.
+    ``held`` has, in some of the rows, how many documents of a batch hold each id. ``route`` is there with pivots only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pivot)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
@@ -103,13 +175,13 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
                 # what these documents add to the document frequencies goes with the first of them
                 of_doc = [np.unique(small[a:b]) for a, b in zip(begin.tolist(), (begin + n).tolist(), strict=True)]
                 held = np.bincount(np.concatenate(of_doc), minlength=encoder.vocabulary).astype("<u4")
-                route = pa.nulls(len(n), pa.int64()) if shared.value is None else pa.array(routes(of_doc, shared.value))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(n), data.cast(pa.binary()), route,
+                    [rows.column(0), pa.array(n), data.cast(pa.binary()),
                      pa.array([held.tobytes()] + [None] * (len(n) - 1), pa.binary())],
-                    ["doc_id", "n", "ids", "route", "held"])
+                    ["doc_id", "n", "ids", "held"])
 
-    return map_arrow(rows, run, f"doc_id {kind}, n bigint, ids binary, route bigint, held binary")
+    made = map_arrow(rows, run, f"doc_id {kind}, n bigint, ids binary, held binary")
+    return made if pivot is None else routed(made, pivot)
 
 
 def dealt(table: DataFrame, n_tokens: int, task_tokens: int) -> DataFrame:
@@ -228,20 +300,20 @@ def packed(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text
            terms: int = QUERY_TERMS) -> DataFrame:
     """Pieces of documents in sequences: the columns of ``PIECES``; ``ids`` are little-endian 32 bits.
 
-    Document frequencies and the mean length cover all documents. Documents are routed by the pivots they are closest
-    to, so that related ones meet in a shard, and dealt to tasks by tokens. Every id lies in one piece; sequences are full but for the last one of a task. Null
-    texts count as empty and give a piece with the end id alone; repeated rows are packed each for itself; an
+    Document frequencies, the mean length and the pivots are those of all documents. Documents are routed by the pivots
+    they are closest to, so that related ones meet in a shard, and dealt to tasks by tokens. Every id lies in one piece;
+    sequences are full but for the last one of a task. Null texts count as empty and give a piece with the end id alone; repeated rows are packed each for itself; an
     empty table gives no rows. ``path`` is a word-level tokenizer file.
     """
     spark = docs.sparkSession
     vocabulary = tokens.encoder(path, False).vocabulary
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     kind = docs.schema[id_col].dataType.simpleString()
-    pivot = pivots(docs, text_col, path)
-    table = stored(tokenised(docs, id_col, text_col, path, end_id, pivot=pivot)
+    table = stored(tokenised(docs, id_col, text_col, path, end_id)
                    .withColumn("row", F.monotonically_increasing_id()), "tokens")
     n_docs, n_tokens = table.agg(F.count("*"), F.sum("n")).first()
     counts = document_frequencies(table, vocabulary)
+    table = routed(table.drop("held"), fitted(table, counts, n_docs, n_tokens or 0))
     idf = np.log1p((n_docs - counts + 0.5) / (counts + 0.5))
     mean = (n_tokens or 1) / max(n_docs, 1)
     shared = spark.sparkContext.broadcast(idf)

@@ -246,3 +246,17 @@ def test_routes_of_nothing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     for rows in ([], [edge.row(1, None)], [edge.row(1, ""), edge.row(1, "")]):
         assert not packing.pivots(edge.frame(spark, rows), "text", path).any()
+
+
+def test_pivots_are_fitted_on_all_documents(spark):
+    """Each pivot is the mean of its documents, all of them, however the table is partitioned."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    subjects = [["".join(rng.choices("abcdefghijklmnoprstuvw", k=5)) for _ in range(30)] for _ in range(20)]
+    rows = [edge.row(i, " ".join(rng.choices(subjects[i % 20], k=8))) for i in range(3000)]
+    found = packing.pivots(edge.frame(spark, rows).repartition(3), "text", path)
+    again = packing.pivots(edge.frame(spark, rows).repartition(7, "doc_id"), "text", path)
+    assert np.array_equal(found, again)
+    library = Tokenizer.from_file(path)
+    held = [np.array(sorted({*library.encode(r[1], add_special_tokens=False).ids})) for r in rows]
+    # no id is left out: each adds something to some pivot
+    assert found[np.unique(np.concatenate(held))].any(1).all()
