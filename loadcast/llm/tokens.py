@@ -6,7 +6,7 @@ import os
 import re
 import string
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -16,14 +16,19 @@ from .common import numbered
 STEP_BYTES, PART_BYTES = 8_000_000, 2_000_000
 #: Remembered words, and the longest of them.
 REMEMBERED, SHORT = 400_000, 12
-#: Words in one call of the library, whose results take many times their size.
+#: Texts in one call of the library, whose results take many times their size.
 CALL = 1_000
 #: Texts in which a space is followed by white space or ends the text; there a token may span words.
 _SPANNING = re.compile(r" (?=[\s᠎​﻿]|\Z)")
 #: Bytes after a space that may begin white space.
 _DOUBTFUL = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_PUNCTUATION = string.punctuation.encode()
+#: ASCII bytes: punctuation, and letters and numbers; every byte in lower case.
+_PUNCTUATION = np.isin(np.arange(256), list(string.punctuation.encode()))
+_ALNUM = np.isin(np.arange(256), list((string.ascii_letters + string.digits).encode()))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Letters below are letters in every version of Unicode, and composed already.
+_COMMON = "\u0250"
 #: Masks of the lowest 0 to 8 bytes.
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _OPEN: dict[tuple[str, bool], "WordEncoder"] = {}
@@ -49,93 +54,140 @@ class WordEncoder:
         self.lead = " " if spaced else ""
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        # byte-level ids that begin with a space, or word-level ids that end a word
-        self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
         # ids of words seen lately; forgotten when they are too many
         self.recent: dict[bytes, bytes] = {}
 
-    def _split(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word, in lower case where the tokenizer does that, and the punctuation at its end."""
-        core = word.rstrip(_PUNCTUATION)
-        tail = word[len(core) :]
-        if word.isascii():
-            # only after a letter or number the punctuation is sure to be a token of its own
-            return (core if self.lead else core.lower(), tail) if core[-1:].isalnum() else (word, b"")
-        text = core.decode()
-        if not text[-1:].isalnum():
-            return word, b""
-        # lower case before or after normalising is the same for these
-        lower = not self.lead and "Σ" not in text and unicodedata.is_normalized("NFC", text)
-        return text.lower().encode() if lower else core, tail
-
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the number of ids of each, one call of the library per text."""
-        made = [e.ids for at in range(0, len(texts), CALL)
-                for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        return np.fromiter((i for ids in made for i in ids), np.int64, int(sizes.sum())), sizes
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made: list[int] = []
+        ends = [0]
+        for at in range(0, len(texts), CALL):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False):
+                made += e.ids
+                ends.append(len(made))
+        return np.array(made, np.int64), np.diff(ends)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words and the number of ids of each.
 
-        Words whose ids show where one begins or ends are joined by spaces and encoded in one call.
+        What is all letters is one token of the pre-tokenizer and goes to the library's model as that token, which
+        spares the way through normalising and splitting; other words go all the way.
         """
-        plain = np.fromiter((True if self.lead else w.isalpha() for w in words), bool, len(words))
-        some = [w for w, p in zip(words, plain, strict=True) if p]
-        parts = [np.zeros(0, np.int64)]
-        for at in range(0, len(some), CALL):
-            few = some[at : at + CALL]
-            joined = "".join(self.lead + w for w in few) if self.lead else " ".join(few)
-            parts.append(np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64))
-        ids = np.concatenate(parts)
-        marks = np.flatnonzero(self.edge[ids])
-        if len(marks) != len(some):
-            # a normaliser has split or dropped a letter
-            plain[:], some, ids, marks = False, [], ids[:0], marks[:0]
-        cuts = np.append(marks, len(ids)) if self.lead else np.append(0, marks + 1)
-        rest, rest_sizes = self._whole([self.lead + w for w, p in zip(words, plain, strict=True) if not p])
-        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        sizes[plain], starts[plain] = np.diff(cuts)[: len(some)], cuts[: len(some)]
-        sizes[~plain], starts[~plain] = rest_sizes, len(ids) + np.cumsum(rest_sizes) - rest_sizes
-        return np.concatenate([ids, rest])[places(starts, sizes)], sizes
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit numbers."""
-        ids, sizes = self._words(words)
-        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def _lookup(self, words: list[bytes], make: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
-        """Ids of each word, made for those only that were not seen lately."""
+        model = self.tokenizer.model.tokenize
+        ids: list[int] = []
+        # lists of lists would keep the collector of cycles busy
+        ends, rest = [0], []
+        for word in words:
+            bare = word[1:] if word[0] == 32 else word
+            if bare.isalpha():
+                ids += [t.id for t in model(word.decode().replace(" ", "Ġ"))]
+            elif bare.isascii():
+                rest.append(len(ends) - 1)
+            else:
+                text = bare.decode()
+                # lower case before or after normalising is the same for these
+                if not self.lead and "Σ" not in text and unicodedata.is_normalized("NFC", text):
+                    text = text.lower()
+                if text.isalpha() and max(text) < _COMMON:
+                    raw = word if self.lead else text.encode()
+                    ids += [t.id for t in model(raw.decode("latin-1").translate(_VISIBLE))]
+                else:
+                    rest.append(len(ends) - 1)
+            ends.append(len(ids))
+        found = np.array(ids, np.int64)
+        sizes = np.diff(ends)
+        if not rest:
+            return found, sizes
+        rest_ids, rest_sizes = self._whole([words[i].decode() for i in rest])
+        starts = np.array(ends[:-1])
+        starts[rest] = len(found) + np.cumsum(rest_sizes) - rest_sizes
+        sizes[rest] = rest_sizes
+        return np.concatenate([found, rest_ids])[places(starts, sizes)], sizes
+
+    def _remembered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and the number of ids of each, made for those only that were not seen lately."""
         recent = self.recent
         found = list(map(recent.get, words))
         at = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(at, make([words[i] for i in at]), strict=True):
-            found[i] = ids
+        ids, sizes = self._encoded([words[i] for i in at])
+        raw, end = ids.astype("<u4").tobytes(), 0
+        for i, n in zip(at, (4 * sizes).tolist(), strict=True):
+            found[i] = raw[end : end + n]
+            end += n
             if len(words[i]) <= SHORT:
-                recent[words[i]] = ids
-        return found
-
-    def _from_cores(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words, each put together from its core and its punctuation."""
-        split = list(map(self._split, words))
-        code, cores = numbered([core for core, _ in split])
-        tail_code, tails = numbered([tail for _, tail in split])
-        ids = self._lookup(cores, lambda some: self._encoded([w.decode() for w in some]))
-        tail_ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(
-            [t.decode() for t in tails], add_special_tokens=False)] if tails else []
-        return [ids[c] + tail_ids[t] for c, t in zip(code.tolist(), tail_code.tolist(), strict=True)]
-
-    def _distinct(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words and the number of ids of each."""
-        found = self._lookup(words, self._from_cores)
-        if len(self.recent) > REMEMBERED:
-            self.recent.clear()
+                recent[words[i]] = found[i]
+        if len(recent) > REMEMBERED:
+            recent.clear()
         return (np.frombuffer(b"".join(found), "<u4").astype(np.int64),
                 np.fromiter(map(len, found), np.int64, len(found)) // 4)
 
+    def _distinct(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, which are ``size`` bytes at ``start``, and the number of ids of each.
+
+        A word is put together from its core and the punctuation at its end, if the core ends in a letter or number:
+        only then the punctuation is sure to be a token of its own.
+        """
+        owner, start, size, spaced = self._pieces(data, start, size)
+        core, live = size.copy(), np.arange(len(size))
+        while len(live):
+            live = live[_PUNCTUATION[data[start[live] + core[live] - 1]]]
+            core[live] -= 1
+            live = live[core[live] > 0]
+        last = data[start + np.maximum(core, 1) - 1]
+        sure = (core > 0) & _ALNUM[last]
+        for i in np.flatnonzero((core < size) & (last > 127)).tolist():
+            sure[i] = data[start[i] : start[i] + core[i]].tobytes().decode()[-1].lower()[-1].isalnum()
+        core = np.where(sure, core, size)
+        if self.lead:
+            lower, begin = data, start - spaced
+        else:
+            # words of ASCII alone are taken from a copy in lower case
+            wide = np.concatenate([[0], np.cumsum(data > 127, dtype=np.int32)])
+            lower = np.concatenate([data, _LOWER[data]])
+            begin = np.where(sure & (wide[start + size] == wide[start]), start + len(data), start)
+        code, of = distinct_words(lower, begin, core + spaced)
+        tail_code, tail_of = distinct_words(data, start + core, size - core)
+        ids, sizes = self._remembered(_cut(lower, begin[of], (core + spaced)[of]))
+        tails, tail_sizes = self._whole([t.decode() for t in _cut(data, (start + core)[tail_of], (size - core)[tail_of])])
+        starts = np.stack([(np.cumsum(sizes) - sizes)[code], (len(ids) + np.cumsum(tail_sizes) - tail_sizes)[tail_code]], 1)
+        both = np.stack([sizes[code], tail_sizes[tail_code]], 1)
+        per_word = np.bincount(owner, both.sum(1)).astype(np.int64)
+        return np.concatenate([ids, tails])[places(starts.ravel(), both.ravel())], per_word
+
+    def _pieces(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Words cut at the line ends in them: number of the word, place and size of each piece, and 1 where the space
+        before it belongs to it.
+
+        Byte-level pre-tokenizers make tokens of one or two line ends between other signs than white space. Words with
+        more in a row, with one at an end, or that may hold other white space stay whole.
+        """
+        start, size = start.astype(np.int64), size.astype(np.int64)
+        whole = np.arange(len(size)), start, size, np.full(len(size), int(bool(self.lead)))
+        if not self.lead or not len(size):
+            return whole
+        line = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)])
+        odd = np.concatenate([[0], np.cumsum(_DOUBTFUL[data] & (data != 10), dtype=np.int32)])
+        end = start + size
+        some = np.flatnonzero((line[end] > line[start]) & (odd[end] == odd[start])
+                              & (data[start] != 10) & (data[end - 1] != 10))
+        at, own = places(start[some], size[some]), np.repeat(some, size[some])
+        here = data[at] == 10
+        # no word begins or ends with one, so three in a row are in one word
+        three = own[2:][here[2:] & here[1:-1] & here[:-2]]
+        keep = ~np.isin(own, three)
+        at, own, here = at[keep], own[keep], here[keep]
+        if not len(at):
+            return whole
+        first = np.diff(own, prepend=-1) != 0
+        cut = np.flatnonzero(first | here | np.concatenate([[False], here[:-1]]))
+        count = np.ones(len(size), np.int64)
+        words, n = np.unique(own[cut], return_counts=True)
+        count[words] = n
+        made = [np.repeat(x, count) for x in whole]
+        to = places((np.cumsum(count) - count)[words], n)
+        made[1][to], made[2][to], made[3][to] = at[cut], np.diff(cut, append=len(at)), first[cut]
+        return tuple(made)
+
     def _spanning(self, data: np.ndarray, texts: list[bytes], begin: np.ndarray) -> list[int]:
         """Texts that have to be encoded whole."""
         found = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
@@ -181,7 +233,7 @@ class WordEncoder:
             found.append((code, owner, start[of], size[of]))
         start, size = (np.concatenate([f[k] for f in found]) for k in (2, 3))
         codes, of = distinct_words(data, start, size)
-        flat, sizes = self._distinct([raw[a : a + n] for a, n in zip(start[of].tolist(), size[of].tolist(), strict=True)])
+        flat, sizes = self._distinct(data, start[of], size[of])
         del raw, data
         starts, base = np.cumsum(sizes) - sizes, 0
         for (part, _, _), (code, owner, own, _) in zip(parts, found, strict=True):
@@ -195,6 +247,21 @@ class WordEncoder:
             yield part, np.concatenate([flat, head_ids])[places(order, np.insert(n, at, head_sizes))], per_text
 
 
+def _visible() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+_VISIBLE = _visible()
+
+
+def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+
 def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All texts with a space after each and eight spaces more, the same as numbers, and where each text begins."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1

@@ -260,3 +260,25 @@ def test_pivots_are_fitted_on_all_documents(spark):
     held = [np.array(sorted({*library.encode(r[1], add_special_tokens=False).ids})) for r in rows]
     # no id is left out: each adds something to some pivot
     assert found[np.unique(np.concatenate(held))].any(1).all()
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_across_lines_and_of_many_letters(name, spaced):
+    path, rng = public_tokenizers.path(name), random.Random(3)
+    signs = ["a", "the", "Bär", "É", "ǅ", "ɐ", "İ", "ß", "Σ", "Ж", "中", "7", "ª", "²", ".", "'s", "...", "\n", "\n\n", "\n\n\n",
+             "\r", "\t", "\xa0", "　", " ", " ", "  ", "\x85", "é"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000)]
+    plain, encoder = Tokenizer.from_file(path), tokens.WordEncoder(path, spaced)
+    ids, n = encoder.encode([t.encode() for t in texts])
+    for t, found in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+        assert found.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_of_letters_go_to_the_model_alone():
+    """The way through normalising and splitting is for other words, and lines are no reason to take it."""
+    encoder = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    seen = []
+    whole = encoder._whole
+    encoder._whole = lambda texts: seen.extend(texts) or whole(texts)
+    encoder.encode([("x " + "one twö.\n\nthree, föur\nfive six-seven " * 3).strip().encode()])
+    assert set(seen) <= {"x", "\n", "", ".", ",", " six-seven"}
