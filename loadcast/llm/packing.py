@@ -20,8 +20,8 @@ WINDOW = 4096
 SHARD_TOKENS = 1 << 21
 #: Passes over all documents that fit the routing to shards, and tokens that one task of a pass reads, about.
 ROUNDS, ROUND_TOKENS = 5, 1 << 25
-#: Documents whose leading ids may be the first pivots, and how many ids of each.
-STARTS, START_IDS = 256, 10_000
+#: Documents that may be the first pivots.
+STARTS = 256
 #: Weights in a pass are whole numbers, so that their sums do not depend on the order of the rows.
 WHOLE = 1 << 16
 #: Pivots of the routing, how many of them, nearest first, make a route, and how many of these count tokens.
@@ -69,7 +69,7 @@ def fitted(table: DataFrame, counts: np.ndarray, n_docs: int, n_tokens: int, rou
             pivot, idf = shared.value
             total = np.zeros(vocabulary * PIVOTS)
             for batch in batches:
-                held = [np.unique(x) for x in _arrays(batch.column(0), width)]
+                held = _arrays(batch.column(0), width)
                 nearest = _closeness(held, pivot).argmax(1)
                 owner, flat, weight = _weights(held, idf)
                 total += np.bincount(flat * PIVOTS + nearest[owner], np.rint(weight * WHOLE), vocabulary * PIVOTS)
@@ -79,7 +79,7 @@ def fitted(table: DataFrame, counts: np.ndarray, n_docs: int, n_tokens: int, rou
                 [pa.array(some), *(pa.array(total[some, j].astype(np.int64)) for j in range(PIVOTS))], ["id", *names])
 
         fields = ", ".join(f"{name} bigint" for name in ("id", *names))
-        found = map_arrow(table.select("ids").coalesce(tasks), run, fields)
+        found = map_arrow(table.select("distinct").coalesce(tasks), run, fields)
         sums = found.groupBy("id").agg(*(F.sum(name).alias(name) for name in names)).toArrow()
         shared.unpersist()
         fresh = np.zeros((vocabulary, PIVOTS))
@@ -104,13 +104,12 @@ def _weights(held: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _first_pivots(table: DataFrame, idf: np.ndarray, width: str) -> np.ndarray:
     """Up to ``PIVOTS`` different documents as columns, each the farthest from those before it."""
-    short = F.substring("ids", 1, START_IDS * np.dtype(width).itemsize)
-    rows = table.select(F.xxhash64("ids").alias("h"), short.alias("ids"))
+    rows = table.select(F.xxhash64("distinct").alias("h"), "distinct")
     # equal documents count once; their hashes alone are shuffled
     least = rows.select("h").distinct().orderBy("h").limit(STARTS)
-    some = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min("ids").alias("ids")).orderBy("h").collect()
+    some = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min("distinct").alias("ids")).orderBy("h").collect()
     means = np.zeros((len(idf), PIVOTS))
-    held = [x for x in (np.unique(np.frombuffer(r.ids, width)) for r in some) if idf[x].any()]
+    held = [x for x in (np.frombuffer(r.ids, width) for r in some) if idf[x].any()]
     if not held:
         return means
     owner, flat, weight = _weights(held, idf)
@@ -141,21 +140,23 @@ def routed(table: DataFrame, pivot: np.ndarray) -> DataFrame:
     """``tokenised`` documents with their route."""
     shared = table.sparkSession.sparkContext.broadcast(pivot)
     width = "<u2" if len(pivot) <= 1 << 16 else "<u4"
-    at = table.columns.index("ids")
+    at = table.columns.index("distinct")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.unique(x) for x in _arrays(batch.column(at), width)]
-            yield batch.append_column("route", pa.array(routes(held, shared.value)))
+            made = pa.array(routes(_arrays(batch.column(at), width), shared.value))
+            yield batch.remove_column(at).append_column("route", made)
 
-    return map_arrow(table, run, StructType([*table.schema.fields, StructField("route", LongType())]))
+    fields = [field for field in table.schema.fields if field.name != "distinct"]
+    return map_arrow(table, run, StructType([*fields, StructField("route", LongType())]))
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, spaced: bool = False,
               pivot: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n (ids with the end id), ids (little-endian, 16 bits if the vocabulary allows, else 32), held and route.
+    """doc_id, n (ids with the end id), ids (little-endian, 16 bits if the vocabulary allows, else 32), distinct and held.
 
-    ``held`` has, in some of the rows, how many documents of a batch hold each id. ``route`` is there with pivots only.
+    ``distinct`` has the different ids in ascending order, ``held``, in some of the rows, how many documents of a batch
+    hold each id. With pivots there is ``route`` in place of ``distinct``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -168,33 +169,40 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
                 rows = some.slice(part.start, part.stop - part.start)
                 ids, n = tokens.end_each(ids, n, end_id)
                 small = ids.astype(width)
-                offsets = np.concatenate([[0], np.cumsum(n)]) * np.dtype(width).itemsize
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [
-                    None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(small)])
                 begin = np.cumsum(n) - n
                 # what these documents add to the document frequencies goes with the first of them
                 of_doc = [np.unique(small[a:b]) for a, b in zip(begin.tolist(), (begin + n).tolist(), strict=True)]
-                held = np.bincount(np.concatenate(of_doc), minlength=encoder.vocabulary).astype("<u4")
+                distinct = np.concatenate(of_doc)
+                held = np.bincount(distinct, minlength=encoder.vocabulary).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(n), data.cast(pa.binary()),
+                    [rows.column(0), pa.array(n), _binary(small, n),
+                     _binary(distinct, np.fromiter(map(len, of_doc), np.int64, len(n))),
                      pa.array([held.tobytes()] + [None] * (len(n) - 1), pa.binary())],
-                    ["doc_id", "n", "ids", "held"])
+                    ["doc_id", "n", "ids", "distinct", "held"])
 
-    made = map_arrow(rows, run, f"doc_id {kind}, n bigint, ids binary, held binary")
+    made = map_arrow(rows, run, f"doc_id {kind}, n bigint, ids binary, distinct binary, held binary")
     return made if pivot is None else routed(made, pivot)
 
 
-def dealt(table: DataFrame, n_tokens: int, task_tokens: int) -> DataFrame:
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary value for each run of so many numbers."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * flat.itemsize
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def dealt(table: DataFrame, n_tokens: int, task_tokens: int, sizes: DataFrame | None = None) -> DataFrame:
     """The rows in as many partitions as ``task_tokens`` asks for, about equal in tokens, in the order of routes.
 
     Tokens are counted by the first ``PREFIX`` pivots of a route (at most ``PIVOTS ** PREFIX`` numbers). A prefix
     takes its share of the whole order and spreads its rows over it by a hash of the stored row number, so that a
-    prefix or a repeated id of any number of rows is split.
+    prefix or a repeated id of any number of rows is split. ``sizes`` has route and n of the same rows, if they are
+    quicker to get without the ids.
     """
     prefix = F.expr(f"route div {PIVOTS ** (ROUTE - PREFIX)}").alias("prefix")
-    counted = sorted(table.groupBy(prefix).agg(F.sum("n")).collect())
-    sizes = [size for _, size in counted]
-    spans = [(p, int(end) - size, size) for (p, size), end in zip(counted, np.cumsum(sizes), strict=True)]
+    counted = sorted((table if sizes is None else sizes).groupBy(prefix).agg(F.sum("n")).collect())
+    ends = np.cumsum([size for _, size in counted])
+    spans = [(p, int(end) - size, size) for (p, size), end in zip(counted, ends, strict=True)]
     known = table.sparkSession.createDataFrame(spans, "prefix bigint, begin bigint, size bigint")
     tasks = max(1, -(-n_tokens // task_tokens))
     place = F.col("begin") + F.pmod(F.xxhash64("row"), F.lit(1 << 20)) / (1 << 20) * F.col("size")
@@ -313,7 +321,9 @@ def packed(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text
                    .withColumn("row", F.monotonically_increasing_id()), "tokens")
     n_docs, n_tokens = table.agg(F.count("*"), F.sum("n")).first()
     counts = document_frequencies(table, vocabulary)
-    table = routed(table.drop("held"), fitted(table, counts, n_docs, n_tokens or 0))
+    pivot = fitted(table, counts, n_docs, n_tokens or 0)
+    sizes = routed(table.select("n", "distinct"), pivot)
+    rows = dealt(routed(table.select("doc_id", "ids", "distinct", "row"), pivot), n_tokens or 0, task_tokens, sizes)
     idf = np.log1p((n_docs - counts + 0.5) / (counts + 0.5))
     mean = (n_tokens or 1) / max(n_docs, 1)
     shared = spark.sparkContext.broadcast(idf)
@@ -351,4 +361,4 @@ def packed(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text
         return made, (last if left else last + 1), left
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    return map_arrow(dealt(table, n_tokens or 0, task_tokens), run, PIECES.format(kind=kind))
+    return map_arrow(rows, run, PIECES.format(kind=kind))
