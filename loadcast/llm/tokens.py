@@ -22,7 +22,7 @@ CALL = 1_000
 _SPANNING = re.compile(r" (?=[\s᠎​﻿]|\Z)")
 #: Bytes after a space that may begin white space.
 _DOUBTFUL = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: ASCII bytes: punctuation, and letters and numbers; every byte in lower case.
 _PUNCTUATION = np.isin(np.arange(256), list(string.punctuation.encode()))
 _ALNUM = np.isin(np.arange(256), list((string.ascii_letters + string.digits).encode()))
@@ -147,8 +147,8 @@ class WordEncoder:
             begin = np.where(sure & (wide[start + size] == wide[start]), start + len(data), start)
         code, of = distinct_words(lower, begin, core + spaced)
         tail_code, tail_of = distinct_words(data, start + core, size - core)
-        ids, sizes = self._remembered(_cut(lower, begin[of], (core + spaced)[of]))
-        tails, tail_sizes = self._whole([t.decode() for t in _cut(data, (start + core)[tail_of], (size - core)[tail_of])])
+        ids, sizes = self._remembered(cut(lower, begin[of], (core + spaced)[of]))
+        tails, tail_sizes = self._whole([t.decode() for t in cut(data, (start + core)[tail_of], (size - core)[tail_of])])
         starts = np.stack([(np.cumsum(sizes) - sizes)[code], (len(ids) + np.cumsum(tail_sizes) - tail_sizes)[tail_code]], 1)
         both = np.stack([sizes[code], tail_sizes[tail_code]], 1)
         per_word = np.bincount(owner, both.sum(1)).astype(np.int64)
@@ -209,19 +209,20 @@ class WordEncoder:
         """Slices of the texts with their ids in one array and the number of ids of each text."""
         if not texts:
             return
-        raw, data, begin = _joined(texts)
+        raw, data, begin = joined(texts)
         whole = self._spanning(data, texts, begin)
         heads = [b""] * len(texts)
         for i in whole:
             heads[i] = texts[i]
         if whole:
-            raw, data, begin = _joined([b"" if heads[i] else t for i, t in enumerate(texts)])
+            raw, data, begin = joined([b"" if heads[i] else t for i, t in enumerate(texts)])
         parts, found = _parts(begin, len(data)), []
         for part, a, b in parts:
             gap = data[a:b] == 32 if self.lead else (data[a:b] == 32) | (data[a:b] == 10)
             edge = np.flatnonzero(np.diff(gap, prepend=True, append=True)).astype(np.int32) + np.int32(a)
             start, size = edge[::2], np.diff(edge)[::2]
-            owner = (np.searchsorted(begin[part], start, side="right") - 1 + part.start).astype(np.int32)
+            many = np.diff(np.searchsorted(start, begin[part]), append=len(start))
+            owner = np.repeat(np.arange(part.start, part.stop, dtype=np.int32), many)
             if self.lead:
                 # the first word of a text has no space before it
                 first = start == begin[owner]
@@ -257,12 +258,13 @@ def _visible() -> dict[int, str]:
 _VISIBLE = _visible()
 
 
-def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
+def cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The bytes of each word."""
     raw = data.tobytes()
     return [raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
 
 
-def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All texts with a space after each and eight spaces more, the same as numbers, and where each text begins."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     raw = b" ".join([*texts, b" " * 8])
@@ -301,13 +303,8 @@ def distinct_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tup
         for live, at, mask in chunks(a):
             mixed = (key[live] ^ eight[start[live] + at] & mask) * _ODD
             key[live] = mixed ^ mixed >> np.uint64(29)
-    order = np.argsort(key)
-    key = key[order]
-    new = np.diff(key, prepend=~key[:1]) != 0
-    codes = np.empty(len(key), np.int32)
-    codes[order] = np.cumsum(new) - 1
-    of = order[new]
-    del key, order, new
+    codes, of = _classes(key)
+    del key
     same = all(np.array_equal(size[a : a + block], size[of[codes[a : a + block]]]) and all(
         np.array_equal(eight[start[live] + at] & mask, eight[start[of[codes[live]]] + at] & mask)
         for live, at, mask in chunks(a)) for a in blocks)
@@ -319,6 +316,31 @@ def distinct_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tup
     return codes, of
 
 
+def _classes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each key, equal for equal keys, and a place of each.
+
+    Keys are thrown into as many slots as there are keys, where one of each slot stays; those that differ from the one in
+    their slot are thrown again by other bits.
+    """
+    codes, number = np.empty(len(key), np.int32), np.empty(len(key), np.int32)
+    live, found, count = np.arange(len(key), dtype=np.int32), [np.zeros(0, np.int32)], 0
+    while len(live):
+        bits = max(len(live).bit_length(), 8)
+        slot = (key >> np.uint64(64 - bits)).astype(np.int64)
+        last = np.empty(1 << bits, np.int32)
+        last[slot] = np.arange(len(live), dtype=np.int32)
+        chosen = last[slot]
+        same = key[chosen] == key
+        stay = np.flatnonzero(chosen == np.arange(len(live)))
+        number[stay] = np.arange(count, count + len(stay))
+        codes[live[same]] = number[chosen[same]]
+        found.append(live[stay])
+        count += len(stay)
+        live, key = live[~same], key[~same]
+        key = (key ^ key >> np.uint64(29)) * _OTHER
+    return codes, np.concatenate(found).astype(np.int64)
+
+
 def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``s, s + 1, ..., s + n - 1`` for every start and size, one after the other."""
     some = sizes > 0

@@ -120,3 +120,34 @@ def test_many_languages_and_repeated_ids(spark, monkeypatch):
     language.train(docs, per_language=5)
     assert set(seen["langs"]) >= {"l007", "l009"} and len(set(seen["langs"])) == 3
     assert max(seen["langs"].count(n) for n in set(seen["langs"])) <= 5 and seen["langs"].count("l009") == 5
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    """Long texts, more than a few hundred of a language, and words that one text alone has."""
+    own = ["w" + "".join(chr(97 + int(d)) for d in f"{i:03d}") for i in range(400)]
+    rows = [(4 * i, f"{w} ist hier und dort", "de") for i, w in enumerate(own)]
+    rows += [(4 * i + 1, "la casa verde " * 2000, "es") for i in range(8)]
+    rows += [(4 * i + 2, "here and there", "en") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = docs.where(~language.held_out())
+    counts = {(r.l, r.w): r.n for r in language.word_counts(learned.selectExpr("text t", "lang l")).where("n > 0").collect()}
+    want = {}
+    for r in learned.collect():
+        for w in r.text.split():
+            want[r.lang, w] = want.get((r.lang, w), 0) + 1
+    assert counts == want
+    model = language.train(docs)
+    assert model.labels == sorted({n for n, _ in want}) and "es" in model.labels and "casa" in model.lexicon
+    assert sum(w in model.lexicon for w in own) > 200
+    assert model.predict([b"la casa verde", b"hier und dort"])[0] == ["es", "de"]
+
+
+def test_tasks_are_mixed_alike_however_rows_lie(spark, docs, monkeypatch):
+    """Several tasks and blocks, with rows in another order and other partitions."""
+    monkeypatch.setattr(language, "TASK_BYTES", 700_000)
+    monkeypatch.setattr(language, "BLOCK_BYTES", 200_000)
+    a, b = (language.train(d) for d in (docs, docs.orderBy("text").repartition(5)))
+    assert a.labels == b.labels and np.array_equal(a.weights, b.weights) and np.array_equal(a.transitions, b.transitions)
+    held = language.language(docs, a).join(docs.select("doc_id", "lang"), "doc_id").where(
+        language.held_out() & F.col("lang").isNotNull())
+    assert held.where("lang = lang_pred").count() / held.count() > 0.97
