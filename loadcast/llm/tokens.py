@@ -6,7 +6,7 @@ import os
 import re
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -14,8 +14,8 @@ from .common import numbered
 
 #: Bytes of text whose distinct words are encoded together, and of those whose ids are laid out at once.
 STEP_BYTES, PART_BYTES = 8_000_000, 2_000_000
-#: Remembered words, and the longest of them.
-REMEMBERED, SHORT = 400_000, 12
+#: Remembered words, and the bytes of the longest of them, 16 at most.
+REMEMBERED, SHORT = 1 << 20, 16
 #: Texts in one call of the library, whose results take many times their size.
 CALL = 1_000
 #: Texts in which a space is followed by white space or ends the text; there a token may span words.
@@ -34,6 +34,79 @@ _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _OPEN: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
+class Memory:
+    """Ids of short words seen lately, as a table sorted by the words' hashes.
+
+    Words are compared byte by byte. When they are too many, those go that were not asked for the longest.
+    """
+
+    def __init__(self) -> None:
+        #: hash, bytes (two numbers), size, number of ids, and when last asked for
+        self.table = [np.zeros(0, kind) for kind in ("u8", "u8", "u8", "u1", "i4", "i4")]
+        self.starts, self.ids, self.time = np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+
+    def ids_of(self, data: np.ndarray, start: np.ndarray, size: np.ndarray,
+               encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, which are different, and the number of ids of each.
+
+        ``encode`` takes the numbers of the words that are not known, and returns the same of these. ``data`` has eight
+        more bytes behind the last word.
+        """
+        self.time += 1
+        short = np.flatnonzero(size <= SHORT)
+        entry = _short_words(data, start[short], size[short])
+        at = np.searchsorted(self.table[0], entry[0])
+        same = at < len(self.table[0])
+        for column, asked in zip(self.table, entry[:4], strict=False):
+            same[same] = column[at[same]] == asked[same]
+        at = at[same]
+        self.table[5][at] = self.time
+        known = np.zeros(len(size), bool)
+        known[short[same]] = True
+        missing = np.flatnonzero(~known)
+        ids, n = encode(missing)
+        sizes = np.empty(len(size), np.int64)
+        sizes[missing], sizes[known] = n, self.table[4][at]
+        ends = np.cumsum(sizes)
+        found = np.empty(int(sizes.sum()), np.int64)
+        found[places(ends[missing] - n, n)] = ids
+        found[places((ends - sizes)[known], sizes[known])] = self.ids[places(self.starts[at], sizes[known])]
+        new = ~same
+        self._add([x[new] for x in entry], sizes[short[new]], found, (ends - sizes)[short[new]])
+        return found, sizes
+
+    def _add(self, entry: list[np.ndarray], n: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+        # of words with one hash the first is remembered
+        key, of = np.unique(entry[0], return_index=True)
+        at = np.searchsorted(self.table[0], key)
+        new = np.ones(len(key), bool)
+        new[at < len(self.table[0])] = self.table[0][at[at < len(self.table[0])]] != key[at < len(self.table[0])]
+        at, of = at[new], of[new]
+        added = [*(x[of] for x in entry), n[of], np.full(len(of), self.time)]
+        begin = len(self.ids) + np.cumsum(n[of]) - n[of]
+        self.ids = np.concatenate([self.ids, ids[places(starts[of], n[of])].astype(np.uint32)])
+        self.starts = np.insert(self.starts, at, begin)
+        self.table = [np.insert(column, at, x) for column, x in zip(self.table, added, strict=True)]
+        if len(self.starts) > REMEMBERED:
+            used = self.table[5]
+            # the newer half stays, and nothing where that is not less
+            stay = used > np.partition(used, len(used) // 2)[len(used) // 2]
+            self.table = [column[stay] for column in self.table]
+            n = self.table[4].astype(np.int64)
+            self.ids = self.ids[places(self.starts[stay], n)]
+            self.starts = np.cumsum(n) - n
+
+
+def _short_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Hash, first and last eight bytes, and size of words of up to 16 bytes."""
+    eight = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+    first = eight[start] & _LOW[np.minimum(size, 8)]
+    second = eight[np.minimum(start + 8, len(eight) - 1)] & _LOW[np.maximum(size - 8, 0)]
+    key = (first ^ size.astype(np.uint64) * _OTHER) * _ODD
+    key = (key ^ key >> np.uint64(29) ^ second) * _OTHER
+    return [key ^ key >> np.uint64(32), first, second, size.astype(np.uint8)]
+
+
 class WordEncoder:
     """Encodes each distinct word of many texts once.
 
@@ -54,8 +127,7 @@ class WordEncoder:
         self.lead = " " if spaced else ""
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        # ids of words seen lately; forgotten when they are too many
-        self.recent: dict[bytes, bytes] = {}
+        self.memory = Memory()
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the number of ids of each, one call of the library per text."""
@@ -104,23 +176,6 @@ class WordEncoder:
         sizes[rest] = rest_sizes
         return np.concatenate([found, rest_ids])[places(starts, sizes)], sizes
 
-    def _remembered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words and the number of ids of each, made for those only that were not seen lately."""
-        recent = self.recent
-        found = list(map(recent.get, words))
-        at = [i for i, ids in enumerate(found) if ids is None]
-        ids, sizes = self._encoded([words[i] for i in at])
-        raw, end = ids.astype("<u4").tobytes(), 0
-        for i, n in zip(at, (4 * sizes).tolist(), strict=True):
-            found[i] = raw[end : end + n]
-            end += n
-            if len(words[i]) <= SHORT:
-                recent[words[i]] = found[i]
-        if len(recent) > REMEMBERED:
-            recent.clear()
-        return (np.frombuffer(b"".join(found), "<u4").astype(np.int64),
-                np.fromiter(map(len, found), np.int64, len(found)) // 4)
-
     def _distinct(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, which are ``size`` bytes at ``start``, and the number of ids of each.
 
@@ -147,7 +202,8 @@ class WordEncoder:
             begin = np.where(sure & (wide[start + size] == wide[start]), start + len(data), start)
         code, of = distinct_words(lower, begin, core + spaced)
         tail_code, tail_of = distinct_words(data, start + core, size - core)
-        ids, sizes = self._remembered(cut(lower, begin[of], (core + spaced)[of]))
+        ids, sizes = self.memory.ids_of(lower, begin[of], (core + spaced)[of],
+                                        lambda at: self._encoded(cut(lower, begin[of][at], (core + spaced)[of][at])))
         tails, tail_sizes = self._whole([t.decode() for t in cut(data, (start + core)[tail_of], (size - core)[tail_of])])
         starts = np.stack([(np.cumsum(sizes) - sizes)[code], (len(ids) + np.cumsum(tail_sizes) - tail_sizes)[tail_code]], 1)
         both = np.stack([sizes[code], tail_sizes[tail_code]], 1)
