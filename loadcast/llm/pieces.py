@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts, numbered
-from .tokens import places
+from .tokens import Memory, joined, places
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -133,6 +133,7 @@ class PieceModel:
                                 else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
         self.pair_key = np.full(PAIRS, -1, np.int64)
         self.pair_stands = np.zeros(PAIRS, bool)
+        self.memory = Memory()
 
     @staticmethod
     def _mixed(chars: np.ndarray) -> np.ndarray:
@@ -269,7 +270,11 @@ class PieceModel:
         of_text = np.fromiter(map(len, split), np.int64, len(split))
         words = [w for s in split for w in s]
         codes, distinct = numbered(words)
-        ids, sizes = self.encode_words(distinct)
+        # what was encoded lately is remembered
+        raw = [w.encode("utf-8", "surrogatepass") for w in distinct]
+        _, data, begin = joined(raw)
+        ids, sizes = self.memory.ids_of(data, begin, np.fromiter(map(len, raw), np.int64, len(raw)),
+                                        lambda at: self.encode_words([distinct[i] for i in at.tolist()]))
         starts = np.cumsum(sizes) - sizes
         n = sizes[codes]
         owner = np.repeat(np.arange(len(texts)), of_text)

@@ -282,3 +282,33 @@ def test_words_of_letters_go_to_the_model_alone():
     encoder._whole = lambda texts: seen.extend(texts) or whole(texts)
     encoder.encode([("x " + "one twö.\n\nthree, föur\nfive six-seven " * 3).strip().encode()])
     assert set(seen) <= {"x", "\n", "", ".", ",", " six-seven"}
+
+
+def test_words_seen_lately_are_not_encoded_again(monkeypatch):
+    """Far more words than a batch has are known, and when they are too many, the ones in use stay."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 2000)
+    rng, made = random.Random(6), []
+    words = [w.encode() for w in {"".join(rng.choices("abcdeäß中'.\x00", k=rng.randrange(1, 15))) for _ in range(2000)}]
+    kept, memory = words[:50], tokens.Memory()
+    for at in (50, 50, 400, 800, 1200, 1600, 1600):
+        part = kept + words[at : at + 300]
+        _, data, begin = tokens.joined(part)
+
+        def encode(which):
+            made.append([part[i] for i in which.tolist()])
+            return (np.array([b for w in made[-1] for b in w], np.int64), np.array([len(w) for w in made[-1]], np.int64))
+
+        ids, n = memory.ids_of(data, begin, np.array(list(map(len, part))), encode)
+        assert ids.tolist() == [b for w in part for b in w] and n.tolist() == list(map(len, part))
+    short = [[w for w in m if len(w) <= tokens.SHORT] for m in made]
+    assert len(memory.starts) <= 2000 and not short[1] and not short[6]
+    assert not {w for m in short[1:] for w in m} & set(kept)
+    monkeypatch.setattr(tokens, "REMEMBERED", 1 << 20)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    seen, whole = [], model.encode_words
+    model.encode_words = lambda words: seen.append(len(words)) or whole(words)
+    for _ in range(2):
+        ids, n = model.encode([t.encode().decode() for t in TEXTS])
+        assert ids.tolist() == [i for t in TEXTS for i in library.encode(t)]
+    assert seen[1] < seen[0] / 2
